@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import table  # noqa: F401  (queries take it from here)
+
 _written: list = []
 
 
@@ -43,10 +45,6 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def id_hash(column: str = "doc_id"):
     """crc32 of the id written as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

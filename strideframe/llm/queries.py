@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import op3_tree_merge
+from .language_id import op5_naive_bayes
 from .sharding import op1_hilbert
 
 
@@ -15,6 +16,10 @@ def op3_digest_tree_merge(spark, sf_dir):
     return op3_tree_merge(table(spark, sf_dir, "documents"))
 
 
+def op5_language_naive_bayes(spark, sf_dir):
+    return op5_naive_bayes(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -23,5 +28,5 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_digest_tree_merge)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_digest_tree_merge, op5_language_naive_bayes)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL}
