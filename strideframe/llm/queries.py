@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import op3_tree_merge
 from .language_id import op5_naive_bayes
+from .quality_rules import RULES, STOP_WORDS, op6_rules
 from .sharding import op1_hilbert
 
 
@@ -20,6 +21,10 @@ def op5_language_naive_bayes(spark, sf_dir):
     return op5_naive_bayes(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return op6_rules(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -28,5 +33,37 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_digest_tree_merge, op5_language_naive_bayes)}
-ORACLES = {"op3_digest_tree_merge": OP3_SQL}
+
+
+def _op6_sql() -> str:
+    checks = []
+    for name, measure, per, least, most in RULES:
+        parts = [f"1000 * {measure} >= {least} * {per}"] * (least is not None) + [f"1000 * {measure} <= {most} * {per}"] * (most is not None)
+        checks.append(f"{' AND '.join(parts)} AS rule_{name}")
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+g AS (SELECT r, unnest(generate_series(1, len(words) - 2)) AS i, words FROM t),
+w AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+p AS (SELECT r, count(DISTINCT i + k) AS n FROM w, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
+m AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+    len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…')) AS n_ellipsis_lines,
+    len(list_filter(lines, lambda x: ltrim(x)[1] IN ('-', '*', '•'))) AS n_bullet_lines,
+    len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words,
+    len(list_filter(words, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper_words,
+    len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) AS n_letter_words
+  FROM t LEFT JOIN p USING (r)),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(checks)} FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(f"rule_{r[0]}" for r in RULES)} AS kept, {", ".join(f"rule_{r[0]}" for r in RULES)} FROM c
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules)}
+ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql()}
