@@ -5,14 +5,25 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import op3_tree_merge
 from .language_id import op5_naive_bayes
+from .packing import op2_bin_slack
 from .quality_rules import RULES, STOP_WORDS, op6_rules
 from .sharding import op1_hilbert
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_hilbert_sharding(spark, sf_dir):
     return op1_hilbert(table(spark, sf_dir, "documents"))
 
 
+def op2_minimum_bin_slack(spark, sf_dir):
+    return op2_bin_slack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op3_digest_tree_merge(spark, sf_dir):
     return op3_tree_merge(table(spark, sf_dir, "documents"))
 
@@ -65,5 +76,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql()}
