@@ -8,6 +8,7 @@ from .language_id import op5_naive_bayes
 from .packing import op2_bin_slack
 from .quality_rules import RULES, STOP_WORDS, op6_rules
 from .sharding import op1_hilbert
+from .toxicity import op8_convolution
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +37,10 @@ def op6_quality_rules(spark, sf_dir):
     return op6_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_convolution(spark, sf_dir):
+    return op8_convolution(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -76,5 +81,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql()}
