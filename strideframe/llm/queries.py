@@ -7,6 +7,8 @@ from .exact_dedup import op3_tree_merge
 from .language_id import op5_naive_bayes
 from .packing import op2_bin_slack
 from .quality_rules import RULES, STOP_WORDS, op6_rules
+from .secret_scan import RULES as SECRET_RULES
+from .secret_scan import op9_trigram_index
 from .sharding import op1_hilbert
 from .toxicity import op8_convolution
 
@@ -41,6 +43,10 @@ def op8_toxicity_convolution(spark, sf_dir):
     return op8_convolution(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secret_trigram_index(spark, sf_dir):
+    return op9_trigram_index(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -81,5 +87,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution)}
-ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql()}
+def secrets_sql(source: str) -> str:
+    """Common table expressions ending in `secrets` (r, doc_id, t, k, kind, s, e) and `rows` (r, doc_id, t) over a table with doc_id and text."""
+    parts = []
+    for k, rule in enumerate(SECRET_RULES):
+        regex = rule.regex.replace("'", "''")
+        parts.append(f"""
+  SELECT r, {k} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, '{regex}', 0) AS w, regexp_extract_all(t, '{regex}', {rule.group}) AS m,
+    string_split_regex(t, '{regex}') AS b, {rule.least} AS least FROM rows WHERE regexp_matches(t, '{regex}')""")
+    return f"""
+rows AS (SELECT row_number() OVER () AS r, *, coalesce(text, '') AS t FROM {source}),
+found AS ({" UNION ALL ".join(parts)}),
+each AS (SELECT r, k, kind, w, b, m, least, unnest(generate_series(1, len(w))) AS i FROM found),
+sized AS (SELECT r, k, kind, i, length(b[i]) AS skip, length(w[i]) AS n, length(m[i]) >= least AS ok FROM each),
+placed AS (SELECT *, sum(skip + n) OVER (PARTITION BY r, k ORDER BY i) AS e FROM sized),
+secrets AS (SELECT r, k, kind, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed WHERE ok)"""
+
+
+OP9_SQL = f"""
+WITH {secrets_sql("documents")},
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM secrets GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans FROM rows LEFT JOIN g USING (r)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index)}
+ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL}
