@@ -98,11 +98,11 @@ def postings(keyed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """Rows (row_key, kinds): intersects postings by clause, then unites the clauses of a rule."""
+    """Rows (row_key, __kinds): intersects postings by clause, then unites the clauses of a rule."""
     clauses = [(rule.kind, k, len(clause), gram) for rule in rules for k, clause in enumerate(trigram_query(rule.regex)) for gram in sorted(clause)]
     terms = index.sparkSession.createDataFrame(clauses, "kind string, clause int, needed int, trigram string")  # a line per rule, clause and trigram
     met = index.join(F.broadcast(terms), "trigram").groupBy("row_key", "kind", "clause", "needed").agg(F.count_distinct("trigram").alias("n"))
-    return met.where("n = needed").groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
+    return met.where("n = needed").groupBy("row_key").agg(F.collect_set("kind").alias("__kinds"))
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     for rule in rules:
         worth = F.col("__text").rlike(rule.regex)
         if trigram_query(rule.regex):
-            worth = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & worth
+            worth = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) & worth
         df = df.withColumn(f"__{rule.kind}", F.when(worth, spans(F.col("__text"), rule)).otherwise(none))
     found = [_labelled(F.col(f"__{rule.kind}"), k, rule.kind) for k, rule in enumerate(rules)]
     return df.select(*columns, F.array_sort(F.concat(*found)).alias("secrets"))
