@@ -6,6 +6,7 @@ from .common import table
 from .exact_dedup import op3_tree_merge
 from .jaccard_join import op10_universe_partition
 from .language_id import op5_naive_bayes
+from .line_dedup import op7_line_chunks
 from .packing import op2_bin_slack
 from .quality_rules import RULES, STOP_WORDS, op6_rules
 from .secret_scan import RULES as SECRET_RULES
@@ -52,6 +53,10 @@ def op10_universe_partition_join(spark, sf_dir):
     return op10_universe_partition(table(spark, sf_dir, "documents"))
 
 
+def op7_line_chunk_dedup(spark, sf_dir):
+    return op7_line_chunks(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -121,5 +126,5 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL}
