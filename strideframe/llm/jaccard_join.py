@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, byte_blocks, mixed, saved, span_hashes, word_spans
@@ -364,7 +364,7 @@ def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Every row of `docs` with n_shingles and component_id."""
+    """Every row of `docs` as (doc_id, row_key, n_shingles, component, component_id); component, a set key, is null for empty sets."""
     docs = docs.select("doc_id", "text")
     rows = saved(described(docs), "sets")
     sets = rows.where("hot IS NULL")
@@ -388,9 +388,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             labels = saved(components(links), "labels")
     classes = sets.where("n_shingles > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = classes.join(names, "component").select("doc_id", "n_shingles", "component_id", "row_key")
-    alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
-    return linked.unionByName(alone)
+    columns = ["doc_id", "row_key", "n_shingles", "component", "component_id"]
+    alone = sets.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return classes.join(names, "component").select(*columns).unionByName(alone.select(*columns))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each component: the smallest doc_id, then the smallest text hash. Rows with an empty set all stay."""
+    rows = saved(jaccard_components(docs), "components")
+    leads = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("lead"))
+    stay = leads.select(F.col("lead.row_key").alias("__key"), F.lit(True).alias("__once"))
+    stay = stay.unionByName(rows.where("component IS NULL").select(F.col("row_key").alias("__key"), F.lit(False).alias("__once"))).distinct()
+    out = docs.withColumn("__own", F.xxhash64("doc_id", "text")).join(stay, F.col("__own") == F.col("__key"))
+    copy = F.row_number().over(Window.partitionBy("__own").orderBy("__once"))  # rows that repeat share id and text
+    return out.withColumn("__copy", copy).where("NOT __once OR __copy = 1").select(*docs.columns)
 
 
 def op10_universe_partition(docs: DataFrame) -> DataFrame:
