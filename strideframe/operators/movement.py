@@ -113,7 +113,7 @@ def movement_summary(obs: DataFrame, policy: MovementPolicy, court: Court, key:
         F.round("feet", 6).alias("distance_feet"),
         F.round(F.col("feet") * policy.feet_to_metres, 6).alias("distance_metres"),
         F.round(G.ratio_or_zero(F.col("feet"), observed), 9).alias("feet_per_second"),
-        F.round("mean_x", 6).alias("mean_x"),
-        F.round("mean_y", 6).alias("mean_y"),
+        F.round("mean_x", 9).alias("mean_x"),
+        F.round("mean_y", 9).alias("mean_y"),
         *[F.round(F.coalesce(F.try_divide(F.col(z), total) * 100, F.lit(0.0)), 6).alias(f"{z}_percent") for z in ("kitchen", "transition", "baseline")],
     )

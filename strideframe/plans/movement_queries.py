@@ -39,7 +39,7 @@ e AS (SELECT player_id, coalesce(sum(step) FILTER (near AND nt > ts_us), 0) AS f
 SELECT d.player_id, observations, in_court, round(o / 1000000.0::DOUBLE, 6) AS observed_seconds,
   round(greatest(0, span - o) / 1000000.0::DOUBLE, 6) AS unobserved_seconds, round(coalesce(feet, 0), 6) AS distance_feet,
   round(coalesce(feet, 0) * 0.3048::DOUBLE, 6) AS distance_metres, round(coalesce(feet / nullif(o / 1000000.0::DOUBLE, 0), 0), 9) AS feet_per_second,
-  round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(coalesce(k / nullif(k + t + b, 0) * 100, 0), 6) AS kitchen_percent,
+  round(mx, 9) AS mean_x, round(my, 9) AS mean_y, round(coalesce(k / nullif(k + t + b, 0) * 100, 0), 6) AS kitchen_percent,
   round(coalesce(t / nullif(k + t + b, 0) * 100, 0), 6) AS transition_percent, round(coalesce(b / nullif(k + t + b, 0) * 100, 0), 6) AS baseline_percent
 FROM d LEFT JOIN e USING (player_id)
 """
@@ -132,7 +132,7 @@ r AS (SELECT *, list_filter([CASE WHEN duration < 86400 THEN 'short_duration' EN
 
 TRACK_SQL = f"""
 WITH {OBS_SQL}, {_TRACKS}
-SELECT track_id, player_id, first_frame, last_frame, observations, round(duration, 6) AS duration_seconds, round(confidence, 6) AS confidence, round(inside_ratio, 6) AS inside_ratio,
+SELECT track_id, player_id, first_frame, last_frame, observations, round(duration, 6) AS duration_seconds, round(confidence, 9) AS confidence, round(inside_ratio, 6) AS inside_ratio,
   round(extended_ratio, 6) AS extended_ratio, round(feet, 6) AS distance_feet, round(rate, 9) AS feet_per_second, array_to_string(reasons, ',') AS rejection_reasons, len(reasons) = 0 AS eligible FROM r
 """
 
@@ -164,7 +164,7 @@ SELECT track_id, frame_index, confidence, score FROM s QUALIFY row_number() OVER
 
 def fragment_summary(spark, sf_dir):
     df = T.fragments(observations(spark, sf_dir), COURT, POLICY)
-    return df.select("track_id", "player_id", "analysis_id", "first_us", "last_us", "observations", *[F.round(c, 6).alias(c) for c in ("first_x", "first_y", "last_x", "last_y", "area", "median_y")], "side")
+    return df.select("track_id", "player_id", "analysis_id", "first_us", "last_us", "observations", *[F.round(c, 9).alias(c) for c in ("first_x", "first_y", "last_x", "last_y", "area", "median_y")], "side")
 
 
 FRAGMENTS_CTE = """
@@ -177,8 +177,8 @@ fr AS (SELECT track_id, player_id, analysis_id, first_us, last_us, observations,
 
 FRAGMENT_SQL = f"""
 WITH {OBS_SQL}, {FRAGMENTS_CTE}
-SELECT track_id, player_id, analysis_id, first_us, last_us, observations, round(first_x, 6) AS first_x, round(first_y, 6) AS first_y, round(last_x, 6) AS last_x, round(last_y, 6) AS last_y,
-  round(area, 6) AS area, round(median_y, 6) AS median_y, side FROM fr
+SELECT track_id, player_id, analysis_id, first_us, last_us, observations, round(first_x, 9) AS first_x, round(first_y, 9) AS first_y, round(last_x, 9) AS last_x, round(last_y, 9) AS last_y,
+  round(area, 9) AS area, round(median_y, 9) AS median_y, side FROM fr
 """
 
 
@@ -197,7 +197,7 @@ SELECT track_id, list_sort(list(gap))[count(*) // 2 + 1] AS upper_median_us FROM
 def range_mean(spark, sf_dir):
     obs = W.sessions(observations(spark, sf_dir).where("inside"), ["track_id"], "ts_us", 21_600_000_000, ["frame_index"])
     out = W.range_mean(obs, ["track_id", "segment"], "ts_us", 14_400_000_000, ["court_x", "court_y"])
-    return out.select("track_id", "segment", "frame_index", F.round("mean_court_x", 6).alias("mean_x"), F.round("mean_court_y", 6).alias("mean_y"))
+    return out.select("track_id", "segment", "frame_index", F.round("mean_court_x", 9).alias("mean_x"), F.round("mean_court_y", 9).alias("mean_y"))
 
 
 SMOOTH_CTE = """
@@ -206,7 +206,7 @@ g2 AS (SELECT *, (sum(brk) OVER (PARTITION BY track_id ORDER BY ts_us, frame_ind
 g3 AS (SELECT *, avg(court_x) OVER w AS mean_x, avg(court_y) OVER w AS mean_y FROM g2
   WINDOW w AS (PARTITION BY track_id, segment ORDER BY ts_us RANGE BETWEEN 14400000000 PRECEDING AND 14400000000 FOLLOWING))"""
 
-RANGE_SQL = f"WITH {OBS_SQL}, {SMOOTH_CTE} SELECT track_id, segment, frame_index, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM g3"
+RANGE_SQL = f"WITH {OBS_SQL}, {SMOOTH_CTE} SELECT track_id, segment, frame_index, round(mean_x, 9) AS mean_x, round(mean_y, 9) AS mean_y FROM g3"
 
 
 def session_windows(spark, sf_dir):

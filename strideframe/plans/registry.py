@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import movement_queries
+from . import activity_queries, movement_queries
 
-MODULES = (movement_queries,)
+MODULES = (movement_queries, activity_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
