@@ -16,7 +16,7 @@ result. Extra columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -88,12 +88,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = saved(entries(docs), "line-entries")
     order = F.struct("doc_id", "row_key", "start")
     # rows that repeat are one document: occurrences are told apart by (row_key, start)
-    first = found.groupBy("hash").agg(F.min(order).alias("lead"), F.max(order).alias("tail")).where("lead <> tail").select("hash", "lead")
-    again = saved(found.join(first, "hash").select("row_key", "start", "n", "hash", "lead").distinct(), "line-again")
+    first = found.groupBy("hash").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "lead")
+    again = found.join(first, "hash").where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start"))))
+    # an entry within a longer one that also occurs earlier adds no line: only the outermost are compared
+    inner = Window.partitionBy("row_key").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    again = again.withColumn("reach", F.max(F.col("start") + F.col("n")).over(inner)).where("reach IS NULL OR reach < start + n")
+    again = saved(again.select("row_key", "start", "n", "hash", "lead").distinct(), "line-again")
     leads = again.select(F.col("lead.row_key").alias("row_key"), F.col("lead.start").alias("start"), "n", "hash").distinct()
     wanted = again.select("row_key", "start", "n", "hash").union(leads).distinct()
     wanted = wanted.groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "hash")).alias("entries"))  # as many as a document has lines, times two
-    texts = docs.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key").dropDuplicates(["row_key"])
+    texts = docs.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key")
     texts = texts.select("row_key", F.split("text", "\n").alias("lines"), "entries")
     with_bytes = F.transform(
         "entries",
@@ -103,9 +107,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     )
     texts = texts.select("row_key", F.explode_outer(F.when(F.size("lines") > 0, with_bytes)).alias("e")).select("row_key", "e.start", "e.n", "e.hash", "e.bytes")
     texts = saved(texts, "line-bytes")
-    leads = texts.join(leads.select("row_key", "start", "hash"), ["row_key", "start", "hash"], "left_semi").select("hash", F.col("bytes").alias("lead_bytes"))
-    later = again.where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start")))).select("row_key", "start", "hash")
-    equal = texts.join(later, ["row_key", "start", "hash"], "left_semi").join(leads, "hash").where("bytes = lead_bytes")
+    place = ["row_key", "start", "hash"]
+    leads = texts.join(leads.select(*place), place, "left_semi").groupBy("hash").agg(F.first("bytes").alias("lead_bytes"))
+    equal = texts.join(again.select(*place), place, "left_semi").join(leads, "hash").where("bytes = lead_bytes")
     lines = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
     return equal.groupBy("row_key").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
 

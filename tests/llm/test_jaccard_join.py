@@ -59,9 +59,10 @@ def made(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,small_group", [(1, 8), (2, 2)])
-def test_components_match_brute_force(spark, monkeypatch, seed, small_group):
+@pytest.mark.parametrize("seed,small_group,tile", [(1, 8, 2048), (2, 2, 4)])
+def test_components_match_brute_force(spark, monkeypatch, seed, small_group, tile):
     monkeypatch.setattr(J, "SMALL_GROUP", small_group)
+    monkeypatch.setattr(J, "TILE", tile)
     rows = made(seed, 500)
     got = J.op10_universe_partition(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got)) == brute_force(rows)
