@@ -10,8 +10,9 @@ the last resort.
 
 Signatures go to buckets as packed blocks. In a bucket, few sets with one signature give all their pairs (SMALL_GROUP at most); more give links to their
 first set and are remembered as a group. Candidates pass a parity sketch, whose distance never exceeds the true one, and are verified on the two
-texts. Groups that the verified links leave in more than one component then give their remaining pairs across components, once; so no link between
-components is missed, and a group of near copies costs about as many pairs as it has members.
+texts. Groups that the verified links leave in more than one component give a pair for each component, and what is still apart then gives all
+pairs across components that sketches allow; so no link between components is missed, and a group of near copies costs about as many pairs
+as it has members.
 
 Equal sets are one class from the start. Frequent shingles are a cost estimate only (HOT_MOST entries); results do not depend on them.
 
@@ -32,11 +33,13 @@ from .components import components
 SHINGLE = 5
 SMALL_BAND = 64
 SMALL_GROUP = 8
-HOT_MOST = 20_000
-HOT_LOCAL = 8
+HOT_MOST = 200_000
+HOT_LOCAL = 4
+HOT_FLUSH = 4_000_000
 ENTRIES_PER_BUCKET = 1_500_000
 FLUSH = 2_000_000
 MEMBERS = 50_000
+TILE = 2_048
 _U = np.uint64
 _STEPS = np.array([1, 0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -98,14 +101,18 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes % _U(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").astype(np.uint8).tobytes()
 
 
+def _folded(held: bytes, width: int) -> np.ndarray:
+    """The sketch of the same set over `width` bytes."""
+    out = np.frombuffer(held, np.uint64)
+    while 8 * len(out) > width:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """A lower bound of the distance of two sets."""
-    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum())
 
 
 def _probe_levels(k: np.ndarray, rare: np.ndarray, deletable: np.ndarray, doc: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -232,9 +239,17 @@ DESCRIBED = "doc_id long, n_shingles long, key long, key2 long, row_key long, sk
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """One row per document with its set's size, keys and sketch; and rows (hot, hot_n) of locally frequent shingles."""
+    """One row per document with its set's size, keys and sketch; and rows (hot, hot_n) of shingles frequent among a task's different sets."""
+    numbers = ("doc_id", "n_shingles", "key", "key2", "row_key")
+
+    def frequent(parts):
+        shingles, n = np.unique(np.concatenate(parts), return_counts=True)
+        keep = np.flatnonzero(n >= HOT_LOCAL)
+        out = pd.DataFrame({"hot": shingles[keep].view(np.int64), "hot_n": n[keep]})
+        return out.reindex(columns=[*numbers, "sketch", "hot", "hot_n"]).astype(dict.fromkeys(numbers, "Int64"))
 
     def run(batches):
+        parts, held, seen = [], 0, set()
         for pdf in batches:
             for rows, sizes, hashes in shingle_sets(pdf["text"].tolist()):
                 key, key2 = class_keys(hashes, sizes)
@@ -243,10 +258,14 @@ def described(docs: DataFrame) -> DataFrame:
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 out["sketch"] = [sketch(hashes[e - n : e]) if n else None for n, e in zip(sizes, ends)]
                 yield out.assign(hot=pd.NA, hot_n=pd.NA)
-                shingles, n = np.unique(hashes, return_counts=True)
-                shingles, n = shingles[n >= HOT_LOCAL], n[n >= HOT_LOCAL]
-                if len(shingles):
-                    yield pd.DataFrame({"hot": shingles.view(np.int64), "hot_n": n}).reindex(columns=[*out.columns, "hot", "hot_n"]).astype(dict.fromkeys(("doc_id", "n_shingles", "key", "key2", "row_key"), "Int64"))
+                new = np.array([not (k in seen or seen.add(k)) for k in key.tolist()], bool)
+                parts.append(hashes[np.repeat(new, sizes)])
+                held += len(parts[-1])
+                if held >= HOT_FLUSH:
+                    yield frequent(parts)
+                    parts, held, seen = [], 0, set()
+        if held:
+            yield frequent(parts)
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, DESCRIBED)
 
@@ -345,8 +364,8 @@ def word_shingles(text: str) -> set:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components within the groups whose members have more than one component."""
+def _open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (group, key, component) of the groups whose members have more than one component."""
 
     def members(batches):
         for pdf in batches:
@@ -355,12 +374,50 @@ def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = groups.mapInPandas(members, "group string, key long").join(labels.withColumnRenamed("node", "key"), "key", "left")
     rows = rows.withColumn("component", F.coalesce("component", "key"))
-    open_groups = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rows = saved(rows.join(open_groups.select("group"), "group"), "open-groups")
-    left = rows.select("group", F.col("key").alias("a"), F.col("component").alias("of_a"))
-    right = rows.select("group", F.col("key").alias("b"), F.col("component").alias("of_b"))
-    # a set key is unsigned in the groups' order; least() puts a pair into one order for distinct()
-    return left.join(right, "group").where("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return rows.join(several.select("group", F.col("low").alias("lead_component")), "group")
+
+
+def _between_leaders(rows: DataFrame) -> DataFrame:
+    """One pair for each component of a group but its first: the smallest members of both."""
+    first = rows.groupBy("group", "lead_component", "component").agg(F.min("key").alias("key"))
+    leads = first.where("component = lead_component").select("group", F.col("key").alias("lead"))
+    others = first.where("component <> lead_component").join(leads, "group")
+    return others.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs across components of a group that their sizes and sketches allow.
+
+    A group is dealt in tiles of TILE x TILE members, so that no task holds one whole; in a tile the sketches are compared in numpy and only what
+    they allow leaves the task.
+    """
+    counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    rows = rows.join(counts, "group").join(facts.select("key", "n_shingles", "sketch"), "key")
+    parts = F.ceil(F.col("members") / TILE)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def compared(key, pdf):
+        pdf = pdf.drop_duplicates("key")
+        width = min(map(len, pdf["sketch"]))
+        parity = np.stack([_folded(x, width) for x in pdf["sketch"]])
+        n, component, keys = pdf["n_shingles"].to_numpy(), pdf["component"].to_numpy(), pdf["key"].to_numpy()
+        side = pdf["part"].to_numpy()
+        found = []
+        for i in range(len(pdf)):
+            rest = slice(i + 1, None)
+            ok = (component[rest] != component[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))
+            ok &= (side[rest] != side[i]) if key[1] != key[2] else True
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                at = at[np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1) <= (n[at] + n[i]) // 7]
+                found.append(np.stack([np.minimum(keys[at], keys[i]), np.maximum(keys[at], keys[i])], axis=1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    rows = rows.select("group", "low", "high", "key", "component", "part", "n_shingles", "sketch")
+    return rows.groupBy("group", "low", "high").applyInPandas(compared, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -380,8 +437,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = saved(verified(pairs, facts, docs), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = saved(components(links), "labels")
     groups = found.where("group IS NOT NULL").select("group", "members")
-    if not groups.isEmpty():
-        more = _across(groups, labels).join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+    # first the components' leaders, which joins most of what belongs together; then whatever pairs are left across components
+    for rest in (lambda rows: _between_leaders(rows), lambda rows: _across(rows, facts)):
+        rows = saved(_open_members(groups, labels), "open-groups")
+        if rows.isEmpty():
+            break
+        more = rest(rows).join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
         extra = saved(verified(more, facts, docs), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not extra.isEmpty():
             links = links.union(extra)
