@@ -38,8 +38,8 @@ def box_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def angle_degrees(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """The angle between two vectors, 0 to 180; null for a zero vector."""
     norm = F.sqrt(x1 * x1 + y1 * y1) * F.sqrt(x2 * x2 + y2 * y2)
-    cosine = F.when(norm > 0, (x1 * x2 + y1 * y2) / norm)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (x1 * x2 + y1 * y2) / norm))
+    return F.when(norm > 0, F.degrees(F.acos(cosine)))
 
 
 def seconds(us: Column) -> Column:
