@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors.
+
+    small: ids and links, far smaller than the texts they are about; written by an eighth of the shuffle partitions, in as many files.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # `df` runs once: its shuffles need not outlive the write
     before = spark.conf.get(CLEANUP, None)

@@ -21,13 +21,13 @@ def components(links: DataFrame) -> DataFrame:
     links are rows, never one group; the rounds grow with the logarithm of the nodes.
     """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", small=True)
     while True:
         large = _least_neighbour(both(edges)).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = large.where("u <> v").distinct()
         small = _least_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
-        after = saved(small.where("u <> v").distinct(), "links")
+        after = saved(small.where("u <> v").distinct(), "links", small=True)
         # both tables are sets: as many rows, all found in the other, is equality
         same = edges.count() == after.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
         edges = after

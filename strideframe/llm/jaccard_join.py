@@ -331,7 +331,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
             ok = [sketch_distance(x, y) <= (m + n) // 7 for x, y, m, n in zip(pdf["sketch_a"], pdf["sketch_b"], pdf["n_a"], pdf["n_b"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    near = saved(near.mapInPandas(pruned, "a long, b long"), "near-pairs")
+    near = saved(near.mapInPandas(pruned, "a long, b long"), "near-pairs", small=True)
     wanted = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
     rows = facts.join(wanted, "key", "left_semi").select("key", "row_key")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(rows.hint("shuffle_hash"), "row_key").select("key", "text")
@@ -434,19 +434,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     facts = sets.where("n_shingles > 0").groupBy("key", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key", "sketch")).alias("own"))
     facts = saved(facts.select("key", "n_shingles", "own.row_key", "own.sketch"), "facts")
     pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = saved(verified(pairs, facts, docs), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = saved(components(links), "labels")
+    links = saved(verified(pairs, facts, docs), "verified", small=True).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = saved(components(links), "labels", small=True)
     groups = found.where("group IS NOT NULL").select("group", "members")
     # first the components' leaders, which joins most of what belongs together; then whatever pairs are left across components
     for rest in (lambda rows: _between_leaders(rows), lambda rows: _across(rows, facts)):
-        rows = saved(_open_members(groups, labels), "open-groups")
+        rows = saved(_open_members(groups, labels), "open-groups", small=True)
         if rows.isEmpty():
             break
         more = rest(rows).join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
-        extra = saved(verified(more, facts, docs), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        extra = saved(verified(more, facts, docs), "verified", small=True).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not extra.isEmpty():
             links = links.union(extra)
-            labels = saved(components(links), "labels")
+            labels = saved(components(links), "labels", small=True)
     classes = sets.where("n_shingles > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     columns = ["doc_id", "row_key", "n_shingles", "component", "component_id"]

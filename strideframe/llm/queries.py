@@ -11,6 +11,7 @@ from .packing import op2_bin_slack
 from .quality_rules import RULES, STOP_WORDS, op6_rules
 from .secret_scan import RULES as SECRET_RULES
 from .secret_scan import op9_trigram_index
+from .sentencepiece_bpe import op4_merge_dropout
 from .sharding import op1_hilbert
 from .toxicity import op8_convolution
 
@@ -57,6 +58,10 @@ def op7_line_chunk_dedup(spark, sf_dir):
     return op7_line_chunks(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_merge_dropout(spark, sf_dir):
+    return op4_merge_dropout(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -126,5 +131,5 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL}
