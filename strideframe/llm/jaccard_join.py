@@ -22,6 +22,8 @@ component's name unless all ids there are null. An empty table gives an empty re
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -190,7 +192,7 @@ def packed_blocks(keys: np.ndarray, doc: np.ndarray, sig: np.ndarray, flags: np.
 
 
 def bucket_candidates(keys, counts, entries):
-    """From a bucket's blocks: pairs (a < b) of set keys, and the groups above SMALL_GROUP as (group, members)."""
+    """From a bucket's blocks: pairs (a < b) of set keys, and the different groups above SMALL_GROUP as their ascending members."""
     raw = np.concatenate([np.frombuffer(x, np.uint8) for x in entries]).reshape(-1, 7)
     entry = np.zeros((len(raw), 8), np.uint8)
     entry[:, :7] = raw
@@ -230,7 +232,7 @@ def bucket_candidates(keys, counts, entries):
             continue
         members = key[lo : lo + n]
         found.append(np.stack([np.full(n - 1, members[0]), members[1:]], axis=1))
-        groups[hash(members.tobytes())] = (int(sig[lo]), members)
+        groups[members.tobytes()] = members
     pairs = np.concatenate(found)
     return np.unique(pairs, axis=0) if len(pairs) else pairs, list(groups.values())
 
@@ -309,16 +311,17 @@ def blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """Rows (a, b) of candidate pairs and rows (group, members) of larger groups."""
+    """Rows (a, b) of candidate pairs and rows (group, part, members) of larger groups."""
 
     def run(pdf):
         pairs, groups = bucket_candidates(pdf["keys"], pdf["counts"], pdf["entries"])
-        bucket = int(pdf["bucket"].iloc[0])
-        cut = [(f"{bucket}:{g}", members[i : i + MEMBERS].tobytes()) for g, members in groups for i in range(0, len(members), MEMBERS)]
+        # a group goes by its members, so that the same group of another signature has the same name
+        cut = [(hashlib.sha256(members.tobytes()).hexdigest()[:32], i, members[i : i + MEMBERS].tobytes()) for members in groups for i in range(0, len(members), MEMBERS)]
         out = pd.DataFrame({"a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64)}).astype("Int64")
-        return pd.concat([out, pd.DataFrame(cut, columns=["group", "members"])], ignore_index=True)[["a", "b", "group", "members"]]
+        out = pd.concat([out, pd.DataFrame(cut, columns=["group", "part", "members"])], ignore_index=True)
+        return out.astype({"part": "Int64"})[["a", "b", "group", "part", "members"]]
 
-    return packed.groupBy("bucket").applyInPandas(run, "a long, b long, group string, members binary")
+    return packed.groupBy("bucket").applyInPandas(run, "a long, b long, group string, part long, members binary")
 
 
 def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -367,10 +370,20 @@ def word_shingles(text: str) -> set:
 def _open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (group, key, component) of the groups whose members have more than one component."""
 
+    def frame(part):
+        return pd.DataFrame({"group": np.repeat([g for g, _ in part], [len(k) for _, k in part]), "key": np.concatenate([k for _, k in part])})
+
     def members(batches):
         for pdf in batches:
-            keys = [np.frombuffer(x, "<i8") for x in pdf["members"]]
-            yield pd.DataFrame({"group": np.repeat(pdf["group"].to_numpy(), [len(k) for k in keys]), "key": np.concatenate(keys) if keys else []})
+            part, held = [], 0
+            for group, packed in zip(pdf["group"], pdf["members"]):
+                part.append((group, np.frombuffer(packed, "<i8")))
+                held += len(part[-1][1])
+                if held >= MEMBERS:  # a frame holds less than twice as many keys, however large the groups are
+                    yield frame(part)
+                    part, held = [], 0
+            if part:
+                yield frame(part)
 
     rows = groups.mapInPandas(members, "group string, key long").join(labels.withColumnRenamed("node", "key"), "key", "left")
     rows = rows.withColumn("component", F.coalesce("component", "key"))
@@ -436,7 +449,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = saved(verified(pairs, facts, docs), "verified", small=True).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = saved(components(links), "labels", small=True)
-    groups = found.where("group IS NOT NULL").select("group", "members")
+    groups = saved(found.where("group IS NOT NULL").groupBy("group", "part").agg(F.first("members").alias("members")), "groups", small=True)
     # first the components' leaders, which joins most of what belongs together; then whatever pairs are left across components
     for rest in (lambda rows: _between_leaders(rows), lambda rows: _across(rows, facts)):
         rows = saved(_open_members(groups, labels), "open-groups", small=True)
