@@ -2,7 +2,7 @@
 
 Every input partition makes runs of (digest, rows, kept id), one for each lane, where a lane is a fixed slice of the
 digest space. In each round the partitions numbered k*fan_in .. k*fan_in+fan_in-1 of a lane exchange their runs: these meet
-in one task, sorted by digest, and are merged by a streaming aggregation, so that equal digests become one entry
+in one task, sorted by digest, and are merged in that order, the best id first, so that equal digests become one entry
 again. After ceil(log_fan_in(partitions)) rounds each lane has one run. A group of copies, however large, is one entry of
 each run from the start, and lanes keep the last rounds parallel.
 
@@ -15,7 +15,7 @@ group's ids are null. An empty table gives an empty result. Extra columns are ig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -41,15 +41,15 @@ def tree_merge(rows: DataFrame, keep: str = "smallest", fan_in: int = 8, lanes:
     run_count = (rows.agg(F.max("run")).first()[0] or 0) + 1
     runs = rows.withColumn("lane", F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(lanes)).cast("int"))
     runs = runs.groupBy("lane", "run", *KEY).agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    own = ["lane", "run", *KEY]
+    best = {"smallest": F.asc_nulls_last, "largest": F.desc_nulls_last}[keep]("keep_id")
+    first = Window.partitionBy(*own).orderBy(best)
+    whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
         run_count = -(-run_count // fan_in)
-        runs = (
-            runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .repartition(tasks, "lane", "run")
-            .sortWithinPartitions("lane", "run", *KEY)
-            .groupBy("lane", "run", *KEY)
-            .agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+        # a window, as an aggregation would drop the order: it has fan_in rows of a key at most
+        runs = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition(tasks, "lane", "run")
+        runs = runs.withColumns({"group_size": F.sum("group_size").over(whole), "__place": F.row_number().over(first)}).where("__place = 1").drop("__place")
         if run_count == 1:
             return runs.select(*KEY, "keep_id", "group_size")
 
