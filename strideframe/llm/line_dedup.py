@@ -1,9 +1,10 @@
 """Line deduplication by content-defined chunks of lines, in DataFrame functions only.
 
-Every line is hashed; a rolling hash over ROLL line hashes closes a chunk after a line where it falls on a multiple of AVERAGE. Boundaries depend on the
+Every line is hashed; a rolling hash over two line hashes closes a chunk after a line where it falls on a multiple of AVERAGE. Boundaries depend on the
 nearby lines alone, so a passage is cut alike wherever it stands, and insertions before it shift nothing. A chunk is cut after MOST_LINES lines
-at the latest. Besides the whole chunk, its beginnings and its ends of two lines or more are entries too, and so are the two lines on either side of each
-boundary: a passage that begins or ends within a chunk is found from its first line to its last.
+at the latest. Besides the whole chunk, the shortest run from each line on and the shortest run up to each line are entries, of two lines or more and
+LEAST_BYTES or more: a repeated run of lines of that size is found from its first line to its last, wherever the boundaries fall. (Each of its lines is in
+one of these runs within it. Only where MOST_LINES neighbouring lines together stay below LEAST_BYTES is there no run.)
 
 An entry that occurs again anywhere is a candidate by its hash; the candidates' bytes are compared with those of the entry's first occurrence (by doc_id,
 then by place), and the lines of equal later occurrences are removed. The first occurrence stays, so every distinct line stays somewhere. Entries
@@ -24,6 +25,7 @@ from .common import saved
 AVERAGE = 4
 MOST_LINES = 16
 LEAST_BYTES = 48
+PLACE = 64  # over MOST_LINES
 
 
 def _cuts(hashes: Column) -> Column:
@@ -46,21 +48,34 @@ def _chunks(cuts: Column) -> Column:
     return F.flatten(parts)
 
 
-def _entries(chunks: Column, n_lines: Column) -> Column:
-    """(start, n) of each chunk, its beginnings and its ends, of two lines or more, and of the two lines around each boundary."""
-    own = lambda c: F.concat(
-        F.when(
-            c["n"] > 1, F.transform(F.sequence(F.lit(2), c["n"]), lambda k: F.struct(c["start"].alias("start"), k.alias("n")))
-        ).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
-        F.when(c["start"] + c["n"] < n_lines, F.array(F.struct((c["start"] + c["n"] - 1).alias("start"), F.lit(2).alias("n")))).otherwise(
-            F.array().cast("array<struct<start:int,n:int>>")
-        ),
-        F.when(
-            c["n"] > 2,
-            F.transform(F.sequence(F.lit(2), c["n"] - 1), lambda k: F.struct((c["start"] + c["n"] - k).alias("start"), k.alias("n"))),
-        ).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
+def _shortest(b: Column, first: Column, n: Column, flip: bool) -> Column:
+    """How many of the `n` lines from `first` on (`flip`: of those, from the last one back) make the shortest run; null where they don't."""
+    part = F.slice(b, first + 1, n)
+    enough = lambda x: (x["n"] >= 2) & (x["b"] >= LEAST_BYTES)
+    return F.aggregate(
+        F.reverse(part) if flip else part,
+        F.struct(F.lit(0).alias("b"), F.lit(0).alias("n")),
+        lambda x, y: F.when(enough(x), x).otherwise(F.struct((x["b"] + y).alias("b"), (x["n"] + 1).alias("n"))),
+        lambda x: F.when(enough(x), x["n"]),
     )
-    return F.flatten(F.transform(chunks, own))
+
+
+def _entries(chunks: Column, b: Column) -> Column:
+    """Numbers start * PLACE + n of the chunks of two lines or more, and of the shortest runs from each line and up to each line; `b`: bytes of the lines."""
+    size, most = F.size(b), F.lit(MOST_LINES)
+    number = lambda start, n: start.cast("long") * PLACE + n
+    pair = lambda i: (F.get(b, i) + F.get(b, i + 1)) >= LEAST_BYTES
+    every = F.sequence(F.lit(0), size - 1)
+    whole = F.transform(F.filter(chunks, lambda c: c["n"] > 1), lambda c: number(c["start"], c["n"]))
+    onward = F.transform(every, lambda i: number(i, F.when(pair(i), F.lit(2)).otherwise(_shortest(b, i, most, False))))
+
+    def up_to(i):
+        first = F.greatest(i + 1 - most, F.lit(0))
+        n = _shortest(b, first, i + 1 - first, True)
+        # a pair is the run from its first line on
+        return F.when((i > 0) & ~F.coalesce(pair(i - 1), F.lit(False)), number(i + 1 - n, n))
+
+    return F.filter(F.array_distinct(F.concat(whole, onward, F.transform(every, up_to))), lambda e: e.isNotNull())
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -68,7 +83,10 @@ def entries(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.instr("text", "\n") > 0).select("row_key", "doc_id", F.split("text", "\n").alias("lines"))
     rows = rows.select("row_key", "doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.octet_length(x)).alias("b"))
     rows = rows.withColumn("cuts", _cuts(F.col("h")))
-    rows = rows.withColumn("e", _entries(_chunks(F.col("cuts")), F.size("h")))
+    rows = rows.withColumn("chunks", _chunks(F.col("cuts")))
+    rows = rows.withColumn("e", F.when(F.size("chunks") > 0, _entries(F.col("chunks"), F.col("b"))))
+    at = lambda e: F.struct(F.floor(e / PLACE).cast("int").alias("start"), (e % PLACE).cast("int").alias("n"))
+    rows = rows.withColumn("e", F.transform("e", at))
     # the entries are measured before they become rows, so that no row carries its document's arrays
     part = lambda c, e: F.slice(F.col(c), e["start"] + 1, e["n"])
     measured = F.transform(

@@ -65,3 +65,35 @@ def test_edges(spark):
     assert D.op7_line_chunks(spark.createDataFrame([], SCHEMA)).count() == 0
     row = D.op7_line_chunks(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 4").first()
     assert row.n_removed_lines == 2 and row.text_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def runs_that_repeat(texts):
+    """By doc_id the numbers of the lines in a run of 2 to 16 lines and 48 bytes that stands somewhere at an earlier (doc_id, place)."""
+    seen, want = set(), {i: set() for i in texts}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        for start in range(len(lines)):
+            for n in range(2, min(16, len(lines) - start) + 1):
+                run = tuple(lines[start : start + n])
+                if sum(len(x.encode()) for x in run) >= 48:
+                    if run in seen:
+                        want[i] |= set(range(start, start + n))
+                    seen.add(run)
+    return want
+
+
+def test_every_repeated_run_goes_wherever_boundaries_fall(spark):
+    rng = random.Random(21)
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 9)))
+    passages = [[fresh() for _ in range(rng.randint(2, 6))] for _ in range(25)]
+    pool = ["", "ab", "a short one", "line of twenty bytes", "a line that is over twenty-four bytes"]
+    texts = {}
+    for i in range(150):
+        lines = [fresh() for _ in range(rng.randint(2, 9))]
+        if i % 3 == 2:
+            lines = [rng.choice(pool) for _ in range(rng.randint(1, 20))]
+        at = rng.randint(0, len(lines))
+        lines[at:at] = rng.choice(passages)
+        texts[i] = "\n".join(lines)
+    got = {r.doc_id: set(r.removed_lines or []) for r in run(spark, [(i, t, "k", None) for i, t in texts.items()])}
+    assert got == runs_that_repeat(texts)
