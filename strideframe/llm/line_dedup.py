@@ -25,6 +25,7 @@ from .common import saved
 AVERAGE = 4
 MOST_LINES = 16
 LEAST_BYTES = 48
+LONG_WORDS = 50
 PLACE = 64  # over MOST_LINES
 
 
@@ -60,8 +61,16 @@ def _shortest(b: Column, first: Column, n: Column, flip: bool) -> Column:
     )
 
 
-def _entries(chunks: Column, b: Column) -> Column:
-    """Numbers start * PLACE + n of the chunks of two lines or more, and of the shortest runs from each line and up to each line; `b`: bytes of the lines."""
+def _long(line: Column) -> Column:
+    """Whether the line has LONG_WORDS words or more."""
+    # so many words have so many bytes, and as many spaces less one between them
+    return F.when(F.octet_length(line) >= 2 * LONG_WORDS - 1, F.regexp_count(line, F.lit(r"\S+")) >= LONG_WORDS).otherwise(F.lit(False))
+
+
+def _entries(chunks: Column, b: Column, long: Column) -> Column:
+    """Numbers start * PLACE + n of the chunks of two lines or more, of the shortest runs from each line and up to each line, and of the `long` lines.
+
+    `b`: bytes of the lines."""
     size, most = F.size(b), F.lit(MOST_LINES)
     number = lambda start, n: start.cast("long") * PLACE + n
     pair = lambda i: (F.get(b, i) + F.get(b, i + 1)) >= LEAST_BYTES
@@ -75,16 +84,23 @@ def _entries(chunks: Column, b: Column) -> Column:
         # a pair is the run from its first line on
         return F.when((i > 0) & ~F.coalesce(pair(i - 1), F.lit(False)), number(i + 1 - n, n))
 
-    return F.filter(F.array_distinct(F.concat(whole, onward, F.transform(every, up_to))), lambda e: e.isNotNull())
+    single = F.transform(F.filter(every, lambda i: long[i]), lambda i: number(i, F.lit(1)))
+    return F.filter(F.array_distinct(F.concat(whole, onward, F.transform(every, up_to), single)), lambda e: e.isNotNull())
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """Rows (row_key, doc_id, start, n, hash): every entry of every document with a text of several lines."""
-    rows = docs.where(F.instr("text", "\n") > 0).select("row_key", "doc_id", F.split("text", "\n").alias("lines"))
-    rows = rows.select("row_key", "doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.octet_length(x)).alias("b"))
+    """Rows (row_key, doc_id, start, n, hash): every entry of every document with a text."""
+    rows = docs.where(F.col("text").isNotNull()).select("row_key", "doc_id", F.split("text", "\n").alias("lines"))
+    rows = rows.select(
+        "row_key",
+        "doc_id",
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
+        F.transform("lines", lambda x: F.octet_length(x)).alias("b"),
+        F.transform("lines", _long).alias("long"),
+    )
     rows = rows.withColumn("cuts", _cuts(F.col("h")))
     rows = rows.withColumn("chunks", _chunks(F.col("cuts")))
-    rows = rows.withColumn("e", F.when(F.size("chunks") > 0, _entries(F.col("chunks"), F.col("b"))))
+    rows = rows.withColumn("e", F.when((F.size("chunks") > 0) & (F.size("long") > 0), _entries(F.col("chunks"), F.col("b"), F.col("long"))))
     at = lambda e: F.struct(F.floor(e / PLACE).cast("int").alias("start"), (e % PLACE).cast("int").alias("n"))
     rows = rows.withColumn("e", F.transform("e", at))
     # the entries are measured before they become rows, so that no row carries its document's arrays

@@ -97,3 +97,12 @@ def test_every_repeated_run_goes_wherever_boundaries_fall(spark):
         texts[i] = "\n".join(lines)
     got = {r.doc_id: set(r.removed_lines or []) for r in run(spark, [(i, t, "k", None) for i, t in texts.items()])}
     assert got == runs_that_repeat(texts)
+
+
+def test_long_lines_go_by_themselves(spark):
+    words = lambda n, seed: " ".join(f"w{random.Random(seed + k).randrange(10**6)}" for k in range(n))
+    long, short = words(60, 100), words(49, 900)
+    texts = {1: f"before one\n{long}\nafter one", 2: f"before two\n{long}\nafter two", 3: long, 4: f"before four\n{short}\nafter four", 5: short, 6: f"{short}\nafter six", 7: words(60, 500)}
+    got = {r.doc_id: r for r in run(spark, [(i, t, "k", None) for i, t in texts.items()])}
+    assert {i: r.removed_lines for i, r in got.items()} == {1: None, 2: [1], 3: [0], 4: None, 5: None, 6: None, 7: None}
+    assert got[2].text == "before two\nafter two" and got[3].text == "" and got[7].text == texts[7]
