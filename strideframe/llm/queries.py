@@ -7,7 +7,7 @@ from .exact_dedup import op3_tree_merge
 from .jaccard_join import op10_universe_partition
 from .language_id import op5_naive_bayes
 from .line_dedup import op7_line_chunks
-from .packing import op2_bin_slack
+from .packing import op2_bin_slack, special_tokens
 from .quality_rules import RULES, STOP_WORDS, op6_rules
 from .secret_scan import RULES as SECRET_RULES
 from .secret_scan import op9_trigram_index
@@ -27,7 +27,7 @@ def op1_hilbert_sharding(spark, sf_dir):
 
 
 def op2_minimum_bin_slack(spark, sf_dir):
-    return op2_bin_slack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return op2_bin_slack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), special_tokens(tokenizer_path("byte_bpe_50k.json")))
 
 
 def op3_digest_tree_merge(spark, sf_dir):

@@ -60,3 +60,18 @@ def test_pieces_tile_documents_and_sequences(spark, n):
             at += length
         assert at <= 1024
     assert sorted(sequences) == list(range(len(sequences)))
+
+
+def test_queries_give_special_tokens_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    from strideframe.llm import queries
+
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b <|endoftext|", "x" * 9 + "<|endoftext|>'s  \n", "plain  text \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert ids[0] == [31373, 220, 50256, 995, 0]
+    want = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+    for got in (queries.op2_minimum_bin_slack(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got.collect()} == want
