@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..plans.policy import ActivityPolicy
+from ..plans.policy import ActivityPolicy, Court
 from . import windows as W
 
 KEYS = ["analysis_id", "player_id", "track_id"]
@@ -44,8 +44,10 @@ def observed_islands(obs: DataFrame, rule: ActivityPolicy) -> DataFrame:
     return W.islands(pairs, ["analysis_id", "player_id"], "start_us", "end_us")
 
 
-def window_features(obs: DataFrame, rule: ActivityPolicy) -> DataFrame:
-    """One row per analysis and window with observations: reliable players, shares, speeds, turns and their states' inputs."""
+def window_features(obs: DataFrame, rule: ActivityPolicy, court: Court | None = None) -> DataFrame:
+    """One row per analysis and window with observations: reliable players, shares, speeds, turns and their states' inputs.
+
+    With a `court` also `kitchen_players`: reliable players that stand still and have at least half of their in-court rows of the window in the kitchen."""
     width = rule.window_us
     clips = W.clipped(observed_islands(obs, rule), "start_us", "end_us", width)
     cover = clips.groupBy("analysis_id", "player_id", "win").agg(F.sum(F.col("clip_end") - F.col("clip_start")).alias("cover_us"))
@@ -67,6 +69,12 @@ def window_features(obs: DataFrame, rule: ActivityPolicy) -> DataFrame:
     )
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("overlap", "moving_us", "stationary_us", "turns", "change_n")}
     players = reliable.join(players, keys, "left").withColumns(zero)
+    kitchen = []
+    if court:
+        seen = obs.where("inside").groupBy("analysis_id", "player_id", F.floor(F.col("ts_us") / width).alias("win"))
+        share = F.avg((G.zone(F.col("court_y"), court) == "kitchen").cast("int"))
+        players = players.join(seen.agg(share.alias("kitchen_share")), keys, "left")
+        kitchen = [F.count_if((F.col("stationary_us") >= rule.idle_stationary * width) & (F.col("kitchen_share") >= 0.5)).alias("kitchen_players")]
     moving = v.where(F.col("speed") >= rule.moving_speed)
     both = W.concurrency(moving, ["analysis_id", "win"], "clip_start", "clip_end", rule.min_players).withColumnRenamed("length", "simultaneous_us")
     out = players.groupBy("analysis_id", "win").agg(
@@ -77,6 +85,7 @@ def window_features(obs: DataFrame, rule: ActivityPolicy) -> DataFrame:
         F.avg("stationary_us").alias("stationary_us"),
         F.sum("turns").alias("turns"),
         F.try_divide(F.sum("change_sum"), F.sum("change_n")).alias("speed_change"),
+        *kitchen,
     )
     out = out.join(together, ["analysis_id", "win"], "left").join(both, ["analysis_id", "win"], "left")
     visible = obs.select("analysis_id", "player_id", F.floor(F.col("ts_us") / width).alias("win")).groupBy("analysis_id", "win").agg(F.count_distinct("player_id").alias("visible_players"))
@@ -95,17 +104,19 @@ def window_features(obs: DataFrame, rule: ActivityPolicy) -> DataFrame:
         F.coalesce("moving_players", F.lit(0)).alias("moving_players"),
         F.coalesce("simultaneous_us", F.lit(0)).alias("simultaneous_us"),
         (F.coalesce("stationary_us", F.lit(0.0)) / width).alias("stationary_share"),
+        *([F.coalesce("kitchen_players", F.lit(0)).alias("kitchen_players")] if court else []),
     )
 
 
 def window_states(features: DataFrame, rule: ActivityPolicy, coverage: float = 0.3) -> DataFrame:
-    """ACTIVE, IDLE or UNKNOWN with the reasons that decided."""
+    """ACTIVE, IDLE or UNKNOWN with the reasons that decided. Where the features count `kitchen_players`, a window with one is not IDLE."""
     c = F.col
+    kitchen = c("kitchen_players") > 0 if "kitchen_players" in features.columns else F.lit(False)
     gate = (c("reliable_players") < rule.min_players) | (c("coverage") < coverage)
     active = (c("moving_players") >= 2) & (c("simultaneous_us") >= rule.min_simultaneous_share * rule.window_us) & (c("intensity") >= rule.active_intensity)
-    idle = (c("moving_players") == 0) & (c("intensity") <= rule.idle_intensity) & (c("stationary_share") >= 0.55)
+    idle = (c("moving_players") == 0) & ~kitchen & (c("intensity") <= rule.idle_intensity) & (c("stationary_share") >= rule.idle_stationary)
     state = F.when(gate, "UNKNOWN").when(active, "ACTIVE").when(idle, "IDLE").otherwise("UNKNOWN")
-    reason = F.when(c("reliable_players") < rule.min_players, "FEW_PLAYERS").when(c("coverage") < coverage, "LOW_COVERAGE").when(active, "MOVING_TOGETHER").when(idle, "STATIONARY").otherwise("CONFLICTING_EVIDENCE")
+    reason = F.when(c("reliable_players") < rule.min_players, "FEW_PLAYERS").when(c("coverage") < coverage, "LOW_COVERAGE").when(active, "MOVING_TOGETHER").when(idle, "STATIONARY").when(kitchen, "CONFLICTING_EVIDENCE,KITCHEN_LOW_MOVEMENT_SAFEGUARD").otherwise("CONFLICTING_EVIDENCE")
     gap = 1 - c("coverage")
     severity = F.when(gap >= rule.severe_gap, "SEVERE").when(gap >= rule.minor_gap, "MINOR").otherwise("NONE")
     return features.withColumns({"state": state, "reason": reason, "gap_severity": severity})
@@ -127,6 +138,7 @@ def state_intervals(states: DataFrame, rule: ActivityPolicy) -> DataFrame:
         F.sum("simultaneous_us").alias("simultaneous_us"),
         F.avg("intensity").alias("intensity"),
         F.max_by("gap_severity", rank).alias("gap_severity"),
-        F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("reason", ","))))), ",").alias("reasons"),
+        *([F.max("kitchen_players").alias("kitchen_players")] if "kitchen_players" in states.columns else []),
     )
     return out.drop("__island")

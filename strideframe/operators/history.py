@@ -22,6 +22,20 @@ def chronological_split(df: DataFrame, keys: list[str], order: list[str], window
     return df.withColumn("n", n).withColumn("split", F.when(F.col("back") <= F.ceil(F.col("n") / 2), "recent").otherwise("earlier")).drop("back")
 
 
+def even_split(df: DataFrame, keys: list[str], own: str, order: str, window: int = 8, least: int = 4) -> DataFrame:
+    """Of each id `own` of a key the newest row by `order`; of these the newest `window`, the first n // 2 'earlier', the last n // 2 'recent'.
+
+    The middle row of an odd n has a null split, as have all rows of a key with fewer than `least`."""
+    last = F.row_number().over(Window.partitionBy(*keys, own).orderBy(F.desc(order)))
+    df = df.withColumn("back", last).where(F.col("back") == 1)
+    w = Window.partitionBy(*keys)
+    df = df.withColumn("back", F.row_number().over(w.orderBy(F.desc(order), F.desc(own)))).where(F.col("back") <= window)
+    df = df.withColumn("n", F.count(F.lit(1)).over(w))
+    half = F.floor(F.col("n") / 2)
+    split = F.when(F.col("n") < least, None).when(F.col("back") <= half, "recent").when(F.col("back") > F.col("n") - half, "earlier")
+    return df.withColumn("split", split).drop("back")
+
+
 def trend(change: Column, tolerance: float) -> Column:
     return F.when(F.abs(change) < tolerance, "STABLE").when(change > 0, "HIGHER").when(change < 0, "LOWER")
 

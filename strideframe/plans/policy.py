@@ -66,6 +66,7 @@ class ActivityPolicy:
     min_players: int = 2
     minor_gap: float = 0.15
     severe_gap: float = 0.35
+    idle_stationary: float = 0.55
 
 
 @dataclass(frozen=True)

@@ -43,3 +43,32 @@ def test_observation_lines_round_trip_and_bad_lines(spark, tmp_path):
     assert bad.where(F.col("_corrupt_record").isNotNull()).count() == 1
     S.write_observations(kept, str(tmp_path / "out"))
     assert S.read_observations(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_low_movement_in_the_kitchen_is_not_idle(spark):
+    from strideframe.operators import activity
+    from strideframe.plans.policy import ActivityPolicy, Court
+
+    places = {0: [(3.0, 18.0), (15.0, 26.0)], 1: [(3.0, 5.0), (15.0, 40.0)], 2: [(3.0, 15.0), (15.0, 40.0)]}
+    rows = [(a, 10 * a + p, 10 * a + p, f, f * 100_000, *at, True) for a, own in places.items() for p, at in enumerate(own) for f in range(60)]
+    obs = spark.createDataFrame(rows, "analysis_id long, player_id long, track_id long, frame_index long, ts_us long, court_x double, court_y double, inside boolean")
+    rule = ActivityPolicy()
+    states = activity.window_states(activity.window_features(obs, rule, Court()), rule).cache()
+    idle, kept = (False, "IDLE", "STATIONARY"), (True, "UNKNOWN", "CONFLICTING_EVIDENCE,KITCHEN_LOW_MOVEMENT_SAFEGUARD")
+    first = {r.analysis_id: r for r in states.where("win = 0").collect()}
+    assert {a: (r.kitchen_players > 0, r.state, r.reason) for a, r in first.items()} == {0: kept, 1: idle, 2: kept}
+    assert {a: r.kitchen_players for a, r in first.items()} == {0: 2, 1: 0, 2: 1}
+    runs = {r.analysis_id: r for r in activity.state_intervals(states, rule).where("first_win = 0").collect()}
+    assert runs[0].kitchen_players == 2 and runs[0].reasons == "CONFLICTING_EVIDENCE,KITCHEN_LOW_MOVEMENT_SAFEGUARD"
+
+
+def test_even_split_omits_the_middle(spark):
+    rows = [(k, i, i) for k, n in ((1, 5), (2, 3), (3, 11), (4, 4)) for i in range(n)] + [(4, 0, 9)]
+    df = spark.createDataFrame(rows, "k long, id long, t long")
+    got = {k: {} for k in (1, 2, 3, 4)}
+    for r in history.even_split(df, ["k"], "id", "t").collect():
+        got[r.k][r.id] = r.split
+    e, s = "earlier", "recent"
+    assert got[1] == {0: e, 1: e, 2: None, 3: s, 4: s} and got[2] == {0: None, 1: None, 2: None}
+    assert got[3] == {3: e, 4: e, 5: e, 6: e, 7: s, 8: s, 9: s, 10: s}
+    assert got[4] == {1: e, 2: e, 3: s, 0: s}
