@@ -89,7 +89,7 @@ def _entries(chunks: Column, b: Column, long: Column) -> Column:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """Rows (row_key, doc_id, start, n, hash): every entry of every document with a text."""
+    """Rows (row_key, doc_id, start, n, hash, alone): every entry of every document with a text; `alone`: the text is one line."""
     rows = docs.where(F.col("text").isNotNull()).select("row_key", "doc_id", F.split("text", "\n").alias("lines"))
     rows = rows.select(
         "row_key",
@@ -97,6 +97,7 @@ def entries(docs: DataFrame) -> DataFrame:
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
         F.transform("lines", lambda x: F.octet_length(x)).alias("b"),
         F.transform("lines", _long).alias("long"),
+        (F.size("lines") == 1).alias("alone"),
     )
     rows = rows.withColumn("cuts", _cuts(F.col("h")))
     rows = rows.withColumn("chunks", _chunks(F.col("cuts")))
@@ -113,17 +114,19 @@ def entries(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("e", F.when((F.size("h") > 0) & (F.size("b") > 0), F.filter(measured, lambda e: e["n_bytes"] >= LEAST_BYTES)))
     # explode() would evaluate the whole expression once more in a filter on its size
-    rows = rows.select("row_key", "doc_id", F.explode_outer("e").alias("e")).where("e IS NOT NULL")
-    return rows.select("row_key", "doc_id", "e.start", "e.n", "e.hash")
+    rows = rows.select("row_key", "doc_id", "alone", F.explode_outer("e").alias("e")).where("e IS NOT NULL")
+    return rows.select("row_key", "doc_id", "e.start", "e.n", "e.hash", "alone")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     """Rows (row_key, lines): the numbers of the lines to be removed from each document with (row_key, doc_id, text)."""
     found = saved(entries(docs), "line-entries")
-    order = F.struct("doc_id", "row_key", "start")
+    order = F.struct("doc_id", "row_key", "start", "alone")
     # rows that repeat are one document: occurrences are told apart by (row_key, start)
     first = found.groupBy("hash").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "lead")
     again = found.join(first, "hash").where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start"))))
+    if not whole:
+        again = again.where(~(F.col("alone") & F.col("lead.alone")))
     # an entry within a longer one that also occurs earlier adds no line: only the outermost are compared
     inner = Window.partitionBy("row_key").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     again = again.withColumn("reach", F.max(F.col("start") + F.col("n")).over(inner)).where("reach IS NULL OR reach < start + n")
@@ -148,12 +151,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return equal.groupBy("row_key").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with the text that stays, and `removed_lines`: the numbers of the lines that went (null: none)."""
+def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
+    """`docs` with the text that stays, and `removed_lines`: the numbers of the lines that went (null: none).
+
+    Without `whole`, a text of one line that repeats another text of one line stays, for a later step that removes whole copies."""
     columns = [c for c in docs.columns if c not in ("removed_lines", "text")]
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(key.alias("row_key"), "doc_id", "text")
-    gone = repeated_lines(keyed).select(F.col("row_key").alias("__key"), "removed")
+    gone = repeated_lines(keyed, whole).select(F.col("row_key").alias("__key"), "removed")
     out = docs.select(*columns, "text", key.alias("__own")).join(gone.hint("shuffle_hash"), F.col("__own") == F.col("__key"), "left")
     # runs of lines that stay: between -1, the removed lines and the end
     lines = F.split("text", "\n")
