@@ -17,22 +17,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of this process where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session without other machines gets one of its own where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strideframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def saved(df: DataFrame, name: str, small: bool = False) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors.
-
-    small: ids and links, far smaller than the texts they are about; written by an eighth of the shuffle partitions, in as many files.
-    """
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    if small:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # `df` runs once: its shuffles need not outlive the write
     before = spark.conf.get(CLEANUP, None)
@@ -45,18 +42,55 @@ def saved(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Where discard() starts from."""
+    return len(_written)
+
+
+def discard(since: int, keep_last: bool = True) -> None:
+    """Deletes what saved() has written since mark() gave `since`, but for the last table."""
+    spent = _written[since : -1 if keep_last else None]
+    del _written[since : len(_written) - keep_last]
+    for spark, path in spent:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  a session that has ended can delete nothing; others may
+        pass
+
+
 def _remove() -> None:
     for spark, path in _written:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session has ended; its folder goes with it
-            return
+        _delete(spark, path)
+
+
+HOT_PART = 1_000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """`rows`, `total` of them, joined to their row of `groups` (unique `key`, `size` rows each), however large a group is.
+
+    Groups of more than a HOT_PART-th of the rows are fewer than HOT_PART, so they are broadcast and their rows stay where they are.
+    """
+    hot = F.col(size) * HOT_PART > total
+    marked = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~hot), key)
+    return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 
 atexit.register(_remove)
 
 
+def row_id():
+    """A row's identity by doc_id and text, in 128 bits."""
+    parts = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("\n", *parts)))
+
+
 def id_hash(column: str = "doc_id"):
     """crc32 of the id written as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
@@ -66,7 +100,7 @@ def id_hash(column: str = "doc_id"):
 
 _MASK = (1 << 64) - 1
 _RADIX = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_byte_values: dict = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 BLOCK = 1 << 19
 SPACE = np.zeros(256, bool)
@@ -85,6 +119,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _bytes_of(seed: int) -> np.ndarray:
+    if seed not in _byte_values:
+        _byte_values[seed] = np.random.default_rng(20240101 + seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _byte_values[seed]
+
+
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     for k, radix in enumerate((_RADIX, pow(_RADIX, -1, 1 << 64))):
         while len(_powers[k]) < n:
@@ -101,11 +141,11 @@ def word_spans(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.
     return edges[0::2], edges[1::2]
 
 
-def span_hashes(buf: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """64-bit hashes of byte spans, from prefix sums of a polynomial over per-byte random values."""
+def span_hashes(buf: np.ndarray, *spans: tuple[np.ndarray, np.ndarray], seed: int = 0) -> list[np.ndarray]:
+    """64-bit hashes of byte spans, from prefix sums of a polynomial over per-byte random values; each seed has values of its own."""
     up, down = _grown(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
+    np.cumsum(_bytes_of(seed)[buf] * up[: len(buf)], out=total[1:])
     return [mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)) for s, e in spans]
 
 

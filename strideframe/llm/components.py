@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, with_group
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """Pairs (u, v) with `low`, the least of u and its v."""
-    lows = pairs.groupBy("u").agg(F.min("v").alias("low"))
-    return pairs.join(lows.select("u", F.least("u", "low").alias("low")), "u")
+def _least_neighbour(pairs: DataFrame, total: int) -> DataFrame:
+    """Pairs (u, v), `total` of them, with `low`, the least of u and its v."""
+    lows = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("links"))
+    return with_group(pairs, lows.select("u", F.least("u", "low").alias("low"), "links"), ["u"], "links", total)
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Equal for equal sets of links, and only for them but for a chance of 2**-64."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +26,16 @@ def components(links: DataFrame) -> DataFrame:
     links are rows, never one group; the rounds grow with the logarithm of the nodes.
     """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", small=True)
+    edges = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    state = _fingerprint(edges)
     while True:
-        large = _least_neighbour(both(edges)).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = _least_neighbour(both(edges), 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = large.where("u <> v").distinct()
-        small = _least_neighbour(large)
+        # a node has few smaller neighbours left
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("low")), "u")
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
-        after = saved(small.where("u <> v").distinct(), "links", small=True)
-        # both tables are sets: as many rows, all found in the other, is equality
-        same = edges.count() == after.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        edges = saved(small.where("u <> v").distinct(), "links")
+        before, state = state, _fingerprint(edges)
+        if before == state:
             roots = edges.select(F.col("v").alias("node")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

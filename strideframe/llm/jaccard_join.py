@@ -10,11 +10,12 @@ the last resort.
 
 Signatures go to buckets as packed blocks. In a bucket, few sets with one signature give all their pairs (SMALL_GROUP at most); more give links to their
 first set and are remembered as a group. Candidates pass a parity sketch, whose distance never exceeds the true one, and are verified on the two
-texts. Groups that the verified links leave in more than one component give a pair for each component, and what is still apart then gives all
-pairs across components that sketches allow; so no link between components is missed, and a group of near copies costs about as many pairs
-as it has members.
+texts. Groups that the verified links leave in more than one component give a pair for each component; what is still apart is compared whole in
+tiles, on sets of 32-bit hashes, and gives a spanning forest of the links there. Should verification reject a pair of a forest (two shingles with one hash), the
+tiles are compared once more with other hashes. So no link between components is missed, and a group gives fewer pairs than it has members.
 
-Equal sets are one class from the start. Frequent shingles are a cost estimate only (HOT_MOST entries); results do not depend on them.
+Equal sets are one class from the start, known by 128 bits. Frequent shingles are a cost estimate only (HOT_MOST entries); results do not depend on them.
+Texts are read whole, however long; a component's name is its smallest id, so ties decide nothing.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows that repeat link like any copies. A null id is never a
 component's name unless all ids there are null. An empty table gives an empty result. Extra columns are ignored.
@@ -26,10 +27,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_blocks, mixed, saved, span_hashes, word_spans
+from .common import LOWER, SPACE, byte_blocks, mixed, row_id, saved, span_hashes, with_group, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -42,6 +43,8 @@ ENTRIES_PER_BUCKET = 1_500_000
 FLUSH = 2_000_000
 MEMBERS = 50_000
 TILE = 2_048
+TILE_SHINGLES = 1 << 20
+WIDE = 8
 _U = np.uint64
 _STEPS = np.array([1, 0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -58,12 +61,12 @@ LOW, HIGH = _bands()
 SEGMENTS = np.maximum(1, -(-2 * HIGH // 5))
 
 
-def shingle_sets(texts):
+def shingle_sets(texts, seed: int = 0):
     """Blocks (row numbers, set sizes, the sets' 64-bit shingle hashes one after another, ascending in each set) of whole texts."""
     for rows, group in byte_blocks(texts):
         buf = LOWER[np.frombuffer(b" ".join(group) + b" ", np.uint8)]
         starts, ends = word_spans(buf, SPACE)
-        (words,) = span_hashes(buf, (starts, ends))
+        (words,) = span_hashes(buf, (starts, ends), seed=seed)
         counts = np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in group])), prepend=0)
         first = np.concatenate([[0], np.cumsum(counts)])
         doc = np.repeat(np.arange(len(rows)), counts)
@@ -237,18 +240,20 @@ def bucket_candidates(keys, counts, entries):
     return np.unique(pairs, axis=0) if len(pairs) else pairs, list(groups.values())
 
 
-DESCRIBED = "doc_id long, n_shingles long, key long, key2 long, row_key long, sketch binary, hot long, hot_n long"
+DESCRIBED = "doc_id long, n_shingles long, key long, set_id binary, row_id binary, sketch binary, hot long, hot_n long"
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """One row per document with its set's size, keys and sketch; and rows (hot, hot_n) of shingles frequent among a task's different sets."""
-    numbers = ("doc_id", "n_shingles", "key", "key2", "row_key")
+    """One row per document with its set's size, identity and sketch; and rows (hot, hot_n) of shingles frequent among a task's different sets.
+
+    `set_id` has 128 bits, the first 64 of which are `key`.
+    """
 
     def frequent(parts):
         shingles, n = np.unique(np.concatenate(parts), return_counts=True)
         keep = np.flatnonzero(n >= HOT_LOCAL)
         out = pd.DataFrame({"hot": shingles[keep].view(np.int64), "hot_n": n[keep]})
-        return out.reindex(columns=[*numbers, "sketch", "hot", "hot_n"]).astype(dict.fromkeys(numbers, "Int64"))
+        return out.reindex(columns=["doc_id", "n_shingles", "key", "set_id", "row_id", "sketch", "hot", "hot_n"]).astype(dict.fromkeys(("doc_id", "n_shingles", "key"), "Int64"))
 
     def run(batches):
         parts, held, seen = [], 0, set()
@@ -256,8 +261,10 @@ def described(docs: DataFrame) -> DataFrame:
             for rows, sizes, hashes in shingle_sets(pdf["text"].tolist()):
                 key, key2 = class_keys(hashes, sizes)
                 ends = np.cumsum(sizes)
-                out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[rows], "n_shingles": sizes, "key": key.view(np.int64), "key2": key2.view(np.int64), "row_key": pdf["row_key"].to_numpy()[rows]})
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[rows], "n_shingles": sizes, "key": key.view(np.int64)})
                 out["doc_id"] = out["doc_id"].astype("Int64")
+                out["set_id"] = [x.tobytes() for x in np.stack([key, key2], axis=1).astype(">u8")]
+                out["row_id"] = pdf["row_id"].to_numpy()[rows]
                 out["sketch"] = [sketch(hashes[e - n : e]) if n else None for n, e in zip(sizes, ends)]
                 yield out.assign(hot=pd.NA, hot_n=pd.NA)
                 new = np.array([not (k in seen or seen.add(k)) for k in key.tolist()], bool)
@@ -269,12 +276,11 @@ def described(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent(parts)
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, DESCRIBED)
+    return docs.select("doc_id", row_id().alias("row_id"), "text").mapInPandas(run, DESCRIBED)
 
 
-def blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def blocks(docs: DataFrame, held_hot, buckets: int) -> DataFrame:
     """Packed signature blocks of all documents; equal sets that follow each other in a task go in once."""
-    held_hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         seen, parts, held, at = set(), [], 0, 0
@@ -285,9 +291,9 @@ def blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
         for pdf in batches:
             for _, sizes, hashes in shingle_sets(pdf["text"].tolist()):
-                keys, _ = class_keys(hashes, sizes)
+                keys, more = class_keys(hashes, sizes)
                 new = np.zeros(len(keys), bool)
-                for i, key in enumerate(keys.tolist()):
+                for i, key in enumerate(zip(keys.tolist(), more.tolist())):
                     if sizes[i] and key not in seen:
                         seen.add(key)
                         new[i] = True
@@ -324,23 +330,22 @@ def candidates(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "a long, b long, group string, part long, members binary")
 
 
-def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of set keys whose texts have a similarity of 3/4 or more."""
-    side = lambda s: facts.select(F.col("key").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, by: str = "set_id") -> DataFrame:
+    """Those of the pairs (a, b), named by the column `by` of `facts`, whose texts have a similarity of 3/4 or more, as set_ids a < b."""
+    side = lambda s: facts.select(F.col(by).alias(s), F.col("set_id").alias(f"id_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where("id_a <> id_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
 
     def pruned(batches):
         for pdf in batches:
             ok = [sketch_distance(x, y) <= (m + n) // 7 for x, y, m, n in zip(pdf["sketch_a"], pdf["sketch_b"], pdf["n_a"], pdf["n_b"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    near = saved(near.mapInPandas(pruned, "a long, b long"), "near-pairs", small=True)
-    wanted = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
-    rows = facts.join(wanted, "key", "left_semi").select("key", "row_key")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(rows.hint("shuffle_hash"), "row_key").select("key", "text")
-    texts = saved(texts, "near-texts")
-    both = near.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"
+    near = saved(near.mapInPandas(pruned, "a binary, b binary").distinct(), "near-pairs")
+    wanted = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
+    texts = saved(_with_texts(wanted, facts, docs), "near-texts")
+    both = near.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
 
     def alike(batches):
@@ -353,7 +358,16 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * len(own & held) >= 75 * len(own | held))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    return both.mapInPandas(alike, "a long, b long").distinct()
+    return both.mapInPandas(alike, "a binary, b binary")
+
+
+def _with_texts(wanted: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets `wanted`: the text of each set's representative row."""
+    rows = facts.join(wanted, "set_id", "left_semi").select("set_id", F.col("row_id").alias("wanted_row"), "again")
+    texts = docs.select(row_id().alias("row_id"), "text").join(rows.hint("shuffle_hash"), F.col("row_id") == F.col("wanted_row"))
+    # rows that repeat have one text
+    again = texts.where("again").groupBy("set_id").agg(F.first("text").alias("text"))
+    return texts.where("NOT again").select("set_id", "text").unionByName(again)
 
 
 _LOWERED = bytes(LOWER.tolist())
@@ -367,13 +381,16 @@ def word_shingles(text: str) -> set:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def _open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (group, key, component) of the groups whose members have more than one component."""
+def _open_members(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (group, set_id, component) of the groups whose members have more than one component.
+
+    With the group's members and their shingles in all, and `lead`, a member of its least component `low`.
+    """
 
     def frame(part):
         return pd.DataFrame({"group": np.repeat([g for g, _ in part], [len(k) for _, k in part]), "key": np.concatenate([k for _, k in part])})
 
-    def members(batches):
+    def unpacked(batches):
         for pdf in batches:
             part, held = [], 0
             for group, packed in zip(pdf["group"], pdf["members"]):
@@ -385,97 +402,151 @@ def _open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
             if part:
                 yield frame(part)
 
-    rows = groups.mapInPandas(members, "group string, key long").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "key"))
-    several = rows.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return rows.join(several.select("group", F.col("low").alias("lead_component")), "group")
+    rows = groups.mapInPandas(unpacked, "group string, key long").join(facts.select("key", "set_id", "n_shingles"), "key").drop("key")
+    rows = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = saved(rows.select("group", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("component")), "group-members")
+    least = F.min(F.struct("component", "set_id"))
+    about = rows.groupBy("group").agg(
+        least.alias("least"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")
+    )
+    about = about.select("group", F.col("least.component").alias("low"), F.col("least.set_id").alias("lead"), "high", "members", "shingles")
+    return with_group(rows, about, ["group"], "members", rows.count()).where("low <> high")
 
 
 def _between_leaders(rows: DataFrame) -> DataFrame:
-    """One pair for each component of a group but its first: the smallest members of both."""
-    first = rows.groupBy("group", "lead_component", "component").agg(F.min("key").alias("key"))
-    leads = first.where("component = lead_component").select("group", F.col("key").alias("lead"))
-    others = first.where("component <> lead_component").join(leads, "group")
-    return others.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
+    """One pair for each component of a group but its least one: a member of each."""
+    first = rows.where("component <> low").groupBy("group", "lead", "component").agg(F.min("set_id").alias("b"))
+    return first.select(F.col("lead").alias("a"), "b").distinct()
 
 
-def _across(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs across components of a group that their sizes and sketches allow.
+def spanning_links(component: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between members of different components, a spanning forest: fewer than there are components.
 
-    A group is dealt in tiles of TILE x TILE members, so that no task holds one whole; in a tile the sketches are compared in numpy and only what
-    they allow leaves the task.
+    sets: ascending hashes. Two members link when their hashes agree to a similarity of 3/4. side: only members of different sides are compared.
     """
-    counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    rows = rows.join(counts, "group").join(facts.select("key", "n_shingles", "sketch"), "key")
-    parts = F.ceil(F.col("members") / TILE)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    root = list(range(int(component.max()) + 1))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    n = np.array([len(x) for x in sets])
+    bits = max(64, 1 << int(WIDE * n.mean() - 1).bit_length())
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+    place = (mixed(flat.astype(_U)) % _U(bits)).astype(np.int64)
+    parity = np.zeros((len(n), bits // 64), _U)
+    np.bitwise_xor.at(parity, (owner, place // 64), _U(1) << (place % 64).astype(_U))
+    start, out = np.cumsum(n) - n, []
+    now = component.copy()  # the components as links join them
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        ok = (now[rest] != now[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))
+        if side is not None:
+            ok &= side[rest] != side[i]
+        at = np.flatnonzero(ok) + i + 1
+        if len(at):
+            at = at[np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1) <= (n[at] + n[i]) // 7]
+        if not len(at):
+            continue
+        own = sets[i]
+        other = np.concatenate([sets[j] for j in at])
+        met = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+        common = np.add.reduceat(met, np.cumsum(n[at]) - n[at], dtype=np.int64)
+        for j in at[100 * common >= 75 * (n[at] + n[i] - common)]:
+            a, b = find(int(component[i])), find(int(component[j]))
+            if a != b:
+                root[b] = a
+                now[now == now[j]] = now[i]
+                out.append((i, int(j)))
+    return out
+
+
+def _across(rows: DataFrame, facts: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) that join the components of a group, as far as its members' hashed sets say that they are linked.
+
+    A group is dealt in tiles of two parts each, of TILE members and TILE_SHINGLES shingles at most (or one member), so that no task holds one
+    whole. A tile gives a spanning forest, so there are fewer pairs than members.
+    """
+
+    def hashed(batches):
+        for pdf in batches:
+            for at, sizes, hashes in shingle_sets(pdf["text"].tolist(), seed):
+                short = (hashes >> _U(32)).astype(np.uint32)  # still ascending
+                ends = np.cumsum(sizes)
+                yield pd.DataFrame({"set_id": pdf["set_id"].to_numpy()[at], "hashes": [short[e - k : e].tobytes() for k, e in zip(sizes, ends)]})
+
+    own = saved(_with_texts(rows.select("set_id").distinct(), facts, docs).mapInPandas(hashed, "set_id binary, hashes binary"), "group-sets")
+    parts = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "component", "set_id").join(own, "set_id")
 
     def compared(key, pdf):
-        pdf = pdf.drop_duplicates("key")
-        width = min(map(len, pdf["sketch"]))
-        parity = np.stack([_folded(x, width) for x in pdf["sketch"]])
-        n, component, keys = pdf["n_shingles"].to_numpy(), pdf["component"].to_numpy(), pdf["key"].to_numpy()
-        side = pdf["part"].to_numpy()
-        found = []
-        for i in range(len(pdf)):
-            rest = slice(i + 1, None)
-            ok = (component[rest] != component[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))
-            ok &= (side[rest] != side[i]) if key[1] != key[2] else True
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1) <= (n[at] + n[i]) // 7]
-                found.append(np.stack([np.minimum(keys[at], keys[i]), np.maximum(keys[at], keys[i])], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    rows = rows.select("group", "low", "high", "key", "component", "part", "n_shingles", "sketch")
-    return rows.groupBy("group", "low", "high").applyInPandas(compared, "a long, b long").distinct()
+        names = pdf["set_id"].tolist()
+        side = pdf["part"].to_numpy() if key[1] != key[2] else None
+        found = spanning_links(pd.factorize(pdf["component"])[0], [np.frombuffer(x, np.uint32) for x in pdf["hashes"]], side)
+        return pd.DataFrame([(min(names[i], names[j]), max(names[i], names[j])) for i, j in found], columns=["a", "b"])
+
+    return rows.groupBy("group", "low", "high").applyInPandas(compared, "a binary, b binary").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Every row of `docs` as (doc_id, row_key, n_shingles, component, component_id); component, a set key, is null for empty sets."""
+    """Every row of `docs` as (doc_id, row_id, n_shingles, component, component_id); component, a set_id, is null for empty sets."""
     docs = docs.select("doc_id", "text")
     rows = saved(described(docs), "sets")
     sets = rows.where("hot IS NULL")
     entries = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * 0.7
     buckets = max(64, int(entries / ENTRIES_PER_BUCKET) + 1)
-    top = rows.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_MOST).collect()
-    hot = np.sort(np.array([r["hot"] for r in top], np.int64).view(np.uint64)) if top else np.zeros(0, np.uint64)
+    top = rows.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_MOST)
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(top.select("hot").toPandas()["hot"].to_numpy(np.int64).view(np.uint64)))
     found = saved(candidates(blocks(docs, hot, buckets)), "candidates")
-    # one representative row per set; sets that only share the first key stay apart, and pairs then try them all
-    facts = sets.where("n_shingles > 0").groupBy("key", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key", "sketch")).alias("own"))
-    facts = saved(facts.select("key", "n_shingles", "own.row_key", "own.sketch"), "facts")
+    hot.destroy()
+    # one representative row per set
+    facts = sets.where("n_shingles > 0").groupBy("set_id", "key", "n_shingles").agg(F.min(F.struct("doc_id", "row_id", "sketch")).alias("own"))
+    repeated = sets.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id", F.lit(True).alias("again"))
+    facts = facts.select("set_id", "key", "n_shingles", "own.row_id", "own.sketch").join(repeated, "row_id", "left")
+    facts = saved(facts.withColumn("again", F.coalesce("again", F.lit(False))), "facts")
     pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = saved(verified(pairs, facts, docs), "verified", small=True).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = saved(components(links), "labels", small=True)
-    groups = saved(found.where("group IS NOT NULL").groupBy("group", "part").agg(F.first("members").alias("members")), "groups", small=True)
-    # first the components' leaders, which joins most of what belongs together; then whatever pairs are left across components
-    for rest in (lambda rows: _between_leaders(rows), lambda rows: _across(rows, facts)):
-        rows = saved(_open_members(groups, labels), "open-groups", small=True)
-        if rows.isEmpty():
+    # sets that share a key stand for each other in candidates; all of them are tried, with each other too
+    same = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = saved(verified(pairs.union(same.select("key", "key")), facts, docs, by="key"), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = saved(components(links), "labels")
+    groups = saved(found.where("group IS NOT NULL").groupBy("group", "part").agg(F.first("members").alias("members")), "groups")
+    # first the components' leaders, which joins most of what belongs together; then spanning forests of what is left, until every link given is true
+    step = 0
+    while True:
+        members = saved(_open_members(groups, labels, facts), "open-groups")
+        if members.isEmpty():
+            break
+        more = saved(_across(members, facts, docs, step) if step else _between_leaders(members), "more-pairs")
+        extra = saved(verified(more, facts, docs).distinct(), "verified")
+        n_more, n_extra = more.count(), extra.count()
+        if n_extra:
+            links = links.union(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            labels = saved(components(links), "labels")
+        if step and n_more == n_extra:
             break
-        more = rest(rows).join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
-        extra = saved(verified(more, facts, docs), "verified", small=True).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if not extra.isEmpty():
-            links = links.union(extra)
-            labels = saved(components(links), "labels", small=True)
-    classes = sets.where("n_shingles > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    columns = ["doc_id", "row_key", "n_shingles", "component", "component_id"]
-    alone = sets.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
-    return classes.join(names, "component").select(*columns).unionByName(alone.select(*columns))
+        step += 1
+    classes = sets.where("n_shingles > 0").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    columns = ["doc_id", "row_id", "n_shingles", "component", "component_id"]
+    classes = saved(classes.select(*columns[:-1]), "classes")
+    names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    alone = sets.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
+    return with_group(classes, names, ["component"], "rows", classes.count()).select(*columns).unionByName(alone.select(*columns))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component: the smallest doc_id, then the smallest text hash. Rows with an empty set all stay."""
     rows = saved(jaccard_components(docs), "components")
-    leads = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("lead"))
-    stay = leads.select(F.col("lead.row_key").alias("__key"), F.lit(True).alias("__once"))
-    stay = stay.unionByName(rows.where("component IS NULL").select(F.col("row_key").alias("__key"), F.lit(False).alias("__once"))).distinct()
-    out = docs.withColumn("__own", F.xxhash64("doc_id", "text")).join(stay, F.col("__own") == F.col("__key"))
-    copy = F.row_number().over(Window.partitionBy("__own").orderBy("__once"))  # rows that repeat share id and text
-    return out.withColumn("__copy", copy).where("NOT __once OR __copy = 1").select(*docs.columns)
+    leads = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row_id")).alias("lead"))
+    lead = leads.select(F.col("lead.row_id").alias("__key"))
+    # of rows that repeat id and text one stays: with the least values in the other columns
+    times = rows.join(lead, F.col("row_id") == F.col("__key"), "left_semi").groupBy(F.col("row_id").alias("__key")).agg((F.count(F.lit(1)) > 1).alias("__again"))
+    stay = times.unionByName(rows.where("component IS NULL").select(F.col("row_id").alias("__key"), F.lit(False).alias("__again")).distinct())
+    out = docs.withColumn("__own", row_id()).join(stay.hint("shuffle_hash"), F.col("__own") == F.col("__key"))
+    again = out.where("__again").groupBy("__own").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return out.where("NOT __again").select(*docs.columns).unionByName(again.select("__row.*"))
 
 
 def op10_universe_partition(docs: DataFrame) -> DataFrame:
