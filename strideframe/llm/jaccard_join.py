@@ -330,22 +330,22 @@ def candidates(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "a long, b long, group string, part long, members binary")
 
 
-def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, by: str = "set_id") -> DataFrame:
-    """Those of the pairs (a, b), named by the column `by` of `facts`, whose texts have a similarity of 3/4 or more, as set_ids a < b."""
-    side = lambda s: facts.select(F.col(by).alias(s), F.col("set_id").alias(f"id_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("id_a <> id_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    near = near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
+def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, by: str = "node") -> DataFrame:
+    """Those of the pairs (a, b), named by the column `by` of `facts`, whose texts have a similarity of 3/4 or more, as nodes a < b."""
+    side = lambda s: facts.select(F.col(by).alias(s), F.col("node").alias(f"node_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where("node_a <> node_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
 
     def pruned(batches):
         for pdf in batches:
             ok = [sketch_distance(x, y) <= (m + n) // 7 for x, y, m, n in zip(pdf["sketch_a"], pdf["sketch_b"], pdf["n_a"], pdf["n_b"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    near = saved(near.mapInPandas(pruned, "a binary, b binary").distinct(), "near-pairs")
-    wanted = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
+    near = saved(near.mapInPandas(pruned, "a long, b long").distinct(), "near-pairs")
+    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     texts = saved(_with_texts(wanted, facts, docs), "near-texts")
-    both = near.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b"
+    both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
 
     def alike(batches):
@@ -358,16 +358,16 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, by: str = "set
                 keep.append(100 * len(own & held) >= 75 * len(own | held))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    return both.mapInPandas(alike, "a binary, b binary")
+    return both.mapInPandas(alike, "a long, b long")
 
 
 def _with_texts(wanted: DataFrame, facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set_id, text) of the sets `wanted`: the text of each set's representative row."""
-    rows = facts.join(wanted, "set_id", "left_semi").select("set_id", F.col("row_id").alias("wanted_row"), "again")
+    """(node, text) of the sets `wanted`: the text of each set's representative row."""
+    rows = facts.join(wanted, "node", "left_semi").select("node", F.col("row_id").alias("wanted_row"), "again")
     texts = docs.select(row_id().alias("row_id"), "text").join(rows.hint("shuffle_hash"), F.col("row_id") == F.col("wanted_row"))
     # rows that repeat have one text
-    again = texts.where("again").groupBy("set_id").agg(F.first("text").alias("text"))
-    return texts.where("NOT again").select("set_id", "text").unionByName(again)
+    again = texts.where("again").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.where("NOT again").select("node", "text").unionByName(again)
 
 
 _LOWERED = bytes(LOWER.tolist())
@@ -382,7 +382,7 @@ def word_shingles(text: str) -> set:
 
 
 def _open_members(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows (group, set_id, component) of the groups whose members have more than one component.
+    """Rows (group, node, component) of the groups whose members have more than one component.
 
     With the group's members and their shingles in all, and `lead`, a member of its least component `low`.
     """
@@ -402,20 +402,19 @@ def _open_members(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> Dat
             if part:
                 yield frame(part)
 
-    rows = groups.mapInPandas(unpacked, "group string, key long").join(facts.select("key", "set_id", "n_shingles"), "key").drop("key")
-    rows = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rows = saved(rows.select("group", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("component")), "group-members")
-    least = F.min(F.struct("component", "set_id"))
+    rows = groups.mapInPandas(unpacked, "group string, key long").join(facts.select("key", "node", "n_shingles"), "key").drop("key")
+    rows = rows.join(labels, "node", "left")
+    rows = saved(rows.select("group", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "group-members")
     about = rows.groupBy("group").agg(
-        least.alias("least"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")
-    )
-    about = about.select("group", F.col("least.component").alias("low"), F.col("least.set_id").alias("lead"), "high", "members", "shingles")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", "component").alias("lead"),
+        F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"),
+    )
     return with_group(rows, about, ["group"], "members", rows.count()).where("low <> high")
 
 
 def _between_leaders(rows: DataFrame) -> DataFrame:
     """One pair for each component of a group but its least one: a member of each."""
-    first = rows.where("component <> low").groupBy("group", "lead", "component").agg(F.min("set_id").alias("b"))
+    first = rows.where("component <> low").groupBy("group", "lead", "component").agg(F.min("node").alias("b"))
     return first.select(F.col("lead").alias("a"), "b").distinct()
 
 
@@ -475,24 +474,24 @@ def _across(rows: DataFrame, facts: DataFrame, docs: DataFrame, seed: int) -> Da
             for at, sizes, hashes in shingle_sets(pdf["text"].tolist(), seed):
                 short = (hashes >> _U(32)).astype(np.uint32)  # still ascending
                 ends = np.cumsum(sizes)
-                yield pd.DataFrame({"set_id": pdf["set_id"].to_numpy()[at], "hashes": [short[e - k : e].tobytes() for k, e in zip(sizes, ends)]})
+                yield pd.DataFrame({"node": pdf["node"].to_numpy()[at], "hashes": [short[e - k : e].tobytes() for k, e in zip(sizes, ends)]})
 
-    own = saved(_with_texts(rows.select("set_id").distinct(), facts, docs).mapInPandas(hashed, "set_id binary, hashes binary"), "group-sets")
+    own = saved(_with_texts(rows.select("node").distinct(), facts, docs).mapInPandas(hashed, "node long, hashes binary"), "group-sets")
     parts = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("set_id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "component", "set_id").join(own, "set_id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "component", "node").join(own, "node")
 
     def compared(key, pdf):
-        names = pdf["set_id"].tolist()
+        names = pdf["node"].tolist()
         side = pdf["part"].to_numpy() if key[1] != key[2] else None
         found = spanning_links(pd.factorize(pdf["component"])[0], [np.frombuffer(x, np.uint32) for x in pdf["hashes"]], side)
         return pd.DataFrame([(min(names[i], names[j]), max(names[i], names[j])) for i, j in found], columns=["a", "b"])
 
-    return rows.groupBy("group", "low", "high").applyInPandas(compared, "a binary, b binary").distinct()
+    return rows.groupBy("group", "low", "high").applyInPandas(compared, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Every row of `docs` as (doc_id, row_id, n_shingles, component, component_id); component, a set_id, is null for empty sets."""
+    """Every row of `docs` as (doc_id, row_id, n_shingles, component, component_id); component is null for empty sets."""
     docs = docs.select("doc_id", "text")
     rows = saved(described(docs), "sets")
     sets = rows.where("hot IS NULL")
@@ -502,11 +501,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(top.select("hot").toPandas()["hot"].to_numpy(np.int64).view(np.uint64)))
     found = saved(candidates(blocks(docs, hot, buckets)), "candidates")
     hot.destroy()
-    # one representative row per set
-    facts = sets.where("n_shingles > 0").groupBy("set_id", "key", "n_shingles").agg(F.min(F.struct("doc_id", "row_id", "sketch")).alias("own"))
+    # one representative row per set, which gets a number, the set's node
+    facts = sets.where("n_shingles > 0").groupBy("set_id", "key", "n_shingles").agg(F.min(F.struct("doc_id", "row_id", "sketch")).alias("own"), F.count(F.lit(1)).alias("rows"))
     repeated = sets.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id", F.lit(True).alias("again"))
-    facts = facts.select("set_id", "key", "n_shingles", "own.row_id", "own.sketch").join(repeated, "row_id", "left")
-    facts = saved(facts.withColumn("again", F.coalesce("again", F.lit(False))), "facts")
+    facts = facts.select("set_id", "key", "n_shingles", "rows", "own.row_id", "own.sketch").join(repeated, "row_id", "left")
+    facts = saved(facts.withColumns({"again": F.coalesce("again", F.lit(False)), "node": F.monotonically_increasing_id()}), "facts")
     pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # sets that share a key stand for each other in candidates; all of them are tried, with each other too
     same = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -528,11 +527,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if step and n_more == n_extra:
             break
         step += 1
-    classes = sets.where("n_shingles > 0").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     columns = ["doc_id", "row_id", "n_shingles", "component", "component_id"]
-    classes = saved(classes.select(*columns[:-1]), "classes")
+    named = facts.select("set_id", "node", "rows").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"), "rows")
+    full = sets.where("n_shingles > 0").select("doc_id", "row_id", "n_shingles", "set_id")
+    classes = saved(with_group(full, named, ["set_id"], "rows", sets.count()).select(*columns[:-1]), "classes")
     names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    alone = sets.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
+    alone = sets.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
     return with_group(classes, names, ["component"], "rows", classes.count()).select(*columns).unionByName(alone.select(*columns))
 
 
