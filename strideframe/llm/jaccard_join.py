@@ -384,7 +384,7 @@ def word_shingles(text: str) -> set:
 def _open_members(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows (group, node, component) of the groups whose members have more than one component.
 
-    With the group's members and their shingles in all, and `lead`, a member of its least component `low`.
+    With the group's members and their shingles in all.
     """
 
     def frame(part):
@@ -406,18 +406,12 @@ def _open_members(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> Dat
     rows = rows.join(labels, "node", "left")
     rows = saved(rows.select("group", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "group-members")
     about = rows.groupBy("group").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", "component").alias("lead"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
         F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"),
     )
     return with_group(rows, about, ["group"], "members", rows.count()).where("low <> high")
 
 
-def _between_leaders(rows: DataFrame) -> DataFrame:
-    """One pair for each component of a group but its least one: a member of each."""
-    first = rows.where("component <> low").groupBy("group", "lead", "component").agg(F.min("node").alias("b"))
-    return first.select(F.col("lead").alias("a"), "b").distinct()
-
-
 def spanning_links(component: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between members of different components, a spanning forest: fewer than there are components.
 
@@ -512,21 +506,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = saved(verified(pairs.union(same.select("key", "key")), facts, docs, by="key"), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = saved(components(links), "labels")
     groups = saved(found.where("group IS NOT NULL").groupBy("group", "part").agg(F.first("members").alias("members")), "groups")
-    # first the components' leaders, which joins most of what belongs together; then spanning forests of what is left, until every link given is true
-    step = 0
-    while True:
+    # groups in more than one component: spanning forests of their links, with new hashes until every link given is true
+    seed, rejected = 1, 1
+    while rejected:
         members = saved(_open_members(groups, labels, facts), "open-groups")
         if members.isEmpty():
             break
-        more = saved(_across(members, facts, docs, step) if step else _between_leaders(members), "more-pairs")
+        more = saved(_across(members, facts, docs, seed), "more-pairs")
         extra = saved(verified(more, facts, docs).distinct(), "verified")
-        n_more, n_extra = more.count(), extra.count()
+        n_extra = extra.count()
         if n_extra:
             links = links.union(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
             labels = saved(components(links), "labels")
-        if step and n_more == n_extra:
-            break
-        step += 1
+        seed, rejected = seed + 1, more.count() - n_extra
     columns = ["doc_id", "row_id", "n_shingles", "component", "component_id"]
     named = facts.select("set_id", "node", "rows").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"), "rows")
     full = sets.where("n_shingles > 0").select("doc_id", "row_id", "n_shingles", "set_id")
