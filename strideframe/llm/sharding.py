@@ -3,14 +3,14 @@
 Several metadata dimensions are quantised to a few bits each, the cell of that grid is replaced by its index on a
 Hilbert curve, rows are put in curve order and the order is cut into runs of equal row counts. Neighbours on the
 curve are neighbours in every dimension, so each shard has narrow ranges in all of them and files can be skipped on
-any. Rows with equal texts follow each other: the group takes the metadata of its smallest row.
+any. Rows with equal texts follow each other and share a cell: that of the group's smallest row (doc_id, then lang, source, size lines).
 
-The global position needs no total sort. A row's run within the order is (cell, text slice, salt): cells and slices
-and salts have fixed counts, so the running offsets are small tables, and no window holds more than one run however
-many rows share a cell or a text.
+The order is (cell on the curve, crc32 of the text, digest of the text, salt, doc_id); only groups of more than a thousandth of all rows have salts. The position
+needs no total sort: groups are numbered within slices of the crc32 range, as many in a cell as its rows need (SLICE_ROWS), the slices' offsets are sums of counts,
+and a row's place in its group is a rank among at most a thousandth of all rows. A shard's end may cut a group; nothing else does.
 
-Nulls: a null text has no bytes and the crc of the empty text; null dimensions fall into cell 0. Rows that repeat
-are separate rows. An empty table gives an empty result. Extra columns are ignored.
+Nulls: a null text has no bytes and the crc of the empty text, and is equal to it; null dimensions fall into cell 0; null ids come first. Rows that repeat
+are separate rows; which of them has which slot is undefined. Texts of any length are one row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import HOT_PART, saved, with_group
 
 BITS = 4
-SLICES = 64
-SALTS = 16
+SLICE_ROWS = 1_000_000
+SALTS = 256
 HEADER_BYTES = 8
 
 
@@ -95,42 +95,40 @@ def hilbert_shards(docs: DataFrame, shards: int) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = rows.groupBy("digest").agg(F.min("own").alias("lead"))
+    total = rows.count()
+    groups = rows.groupBy("digest", "text_crc32").agg(F.min("own").alias("lead"), F.count(F.lit(1)).alias("n"))
     lead = F.col("lead")
     cell = lead["a"] + F.shiftleft(lead["b"], BITS) + F.shiftleft(lead["c"], 2 * BITS)
-    run = ["curve", "slice", "salt"]
-    placed = (
-        rows.join(groups, "digest")
-        .withColumn("cell", cell)
-        .join(F.broadcast(hilbert_table(spark, 3)), "cell")  # 2**12 rows, whatever the input
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "curve",
-            F.shiftrightunsigned(F.col("text_crc32"), 26).cast("int").alias("slice"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
-        )
-    )
-    placed = saved(placed, "shard-placed")
-    counts = placed.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
-    inner = Window.partitionBy("curve").orderBy("slice", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.groupBy("curve").agg(F.sum("n").alias("in_cell"))  # 2**12 rows at most
-    before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
+    # 2**12 rows, whatever the input
+    groups = groups.withColumn("cell", cell).join(F.broadcast(hilbert_table(spark, 3)), "cell").select("digest", "text_crc32", "curve", "n")
+    groups = saved(groups, "shard-groups")
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda n, window: F.coalesce(F.sum(n).over(window), F.lit(0))
+    cells = groups.groupBy("curve").agg(F.sum("n").alias("in_cell"))
     cells = cells.select(
         "curve",
-        F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("cell_start"),
-        F.sum("in_cell").over(Window.partitionBy()).alias("total"),
+        so_far("in_cell", before().orderBy("curve")).alias("cell_start"),  # 2**12 rows at most
+        F.least(F.lit(32), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("in_cell") / SLICE_ROWS)))).cast("int").alias("bits"),
     )
-    starts = counts.withColumn("run_start", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(cells), "curve")
-    starts = starts.select(*run, (F.col("cell_start") + F.col("run_start")).alias("start"), "total")
-    rank = F.row_number().over(Window.partitionBy(*run).orderBy("text_crc32", "doc_id"))
-    position = F.col("start") + rank - 1
+    sliced = groups.join(F.broadcast(cells), "curve").withColumn("slice", F.expr("shiftright(text_crc32, 32 - bits)"))
+    slices = sliced.groupBy("curve", "slice").agg(F.sum("n").alias("in_slice"))
+    slices = slices.select("curve", "slice", so_far("in_slice", before("curve").orderBy("slice")).alias("slice_start"))
+    placed = sliced.join(slices, ["curve", "slice"]).withColumn("in_front", so_far("n", before("curve", "slice").orderBy("text_crc32", "digest")))
+    placed = placed.select("digest", "curve", "n", (F.col("cell_start") + F.col("slice_start") + F.col("in_front")).alias("start"))
+    found = with_group(rows.select("doc_id", "size", "text_crc32", "digest"), placed, ["digest"], "n", total)
+    # rows of large groups have salts, each of which is ranked alone
+    hot = F.col("n") * HOT_PART > total
+    found = found.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    own = Window.partitionBy("digest", "salt").orderBy("doc_id")
+    found = saved(found.withColumn("rank", F.row_number().over(own) - 1), "shard-rows-placed")
+    salts = found.where(hot).groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("in_salt"))
+    # HOT_PART * SALTS rows at most
+    salts = salts.select("digest", "salt", so_far("in_salt", before("digest").orderBy("salt")).alias("salt_start"))
+    found = found.join(F.broadcast(salts), ["digest", "salt"], "left")
     return (
-        placed.join(starts, run)
-        .withColumn("position", position)
-        .withColumn("shard", F.expr(f"(position * {shards}) div total"))
-        .withColumn("slot", F.expr(f"position - (shard * total + {shards - 1}) div {shards}"))
+        found.withColumn("position", F.col("start") + F.coalesce("salt_start", F.lit(0)) + F.col("rank"))
+        .withColumn("shard", F.expr(f"(position * {shards}) div {max(total, 1)}"))
+        .withColumn("slot", F.expr(f"position - (shard * {total}L + {shards - 1}) div {shards}"))
         .select("doc_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), "slot")
     )
 
