@@ -1,16 +1,18 @@
 """Line deduplication by content-defined chunks of lines, in DataFrame functions only.
 
-Every line is hashed; a rolling hash over two line hashes closes a chunk after a line where it falls on a multiple of AVERAGE. Boundaries depend on the
-nearby lines alone, so a passage is cut alike wherever it stands, and insertions before it shift nothing. A chunk is cut after MOST_LINES lines
-at the latest. Besides the whole chunk, the shortest run from each line on and the shortest run up to each line are entries, of two lines or more and
-LEAST_BYTES or more: a repeated run of lines of that size is found from its first line to its last, wherever the boundaries fall. (Each of its lines is in
-one of these runs within it. Only where MOST_LINES neighbouring lines together stay below LEAST_BYTES is there no run.)
+Every line is hashed; a polynomial over the hashes of the last WINDOW lines (the value of a rolling hash, whose terms a projection adds up at every place) closes a
+chunk after a line where it falls on a multiple of AVERAGE. Boundaries depend on the nearby lines alone, so a passage is cut alike wherever it stands, and
+insertions before it shift nothing. A chunk is cut after MOST_LINES lines at the latest. Besides the whole chunk, the shortest run from each line on
+and the shortest run up to each line are entries, of two lines or more and of `least_bytes` bytes or more: a repeated run of lines of that size is found from its first
+line to its last, wherever the boundaries fall. (Each of its lines is in one of these runs within it. Only where MOST_LINES neighbouring lines together stay below
+`least_bytes` is there no run.) By default every repeated run of two lines or more goes that is not all empty lines.
 
 An entry that occurs again anywhere is a candidate by its hash; the candidates' bytes are compared with those of the entry's first occurrence (by doc_id,
 then by place), and the lines of equal later occurrences are removed. The first occurrence stays, so every distinct line stays somewhere. Entries
-below LEAST_BYTES are left alone. Occurrences are pre-aggregated by hash before anything is joined.
+below `least_bytes` are left alone. Occurrences are pre-aggregated by hash before anything is joined, and an entry of more than a thousandth of all
+occurrences is joined where they are. Texts are read whole; of occurrences that tie in doc_id the first by text hash is the one that stays.
 
-A document is its id and text: rows that repeat both count as one and lose the same lines. Nulls: a null text has no lines and stays null; a null id comes
+A document is its id and text, by a hash of 128 bits: rows that repeat both count as one and lose the same lines. Nulls: a null text has no lines and stays null; a null id comes
 first. An empty text is one empty line and stays. A text whose lines are all removed becomes empty. An empty table gives an empty
 result. Extra columns are kept.
 """
@@ -20,20 +22,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_id, saved, with_group
 
 AVERAGE = 4
+WINDOW = 3
+RADIX, PRIME = 1_000_003, (1 << 31) - 1
 MOST_LINES = 16
-LEAST_BYTES = 48
+LEAST_BYTES = 1
 LONG_WORDS = 50
+SALTS = 8
 PLACE = 64  # over MOST_LINES
 
 
 def _cuts(hashes: Column) -> Column:
-    """Sorted numbers of the lines (from 0) after which a chunk ends."""
+    """Sorted numbers of the lines (from 0) after which a chunk ends; hashes: below PRIME."""
     n = F.size(hashes)
-    rolled = lambda i: F.xxhash64(hashes[i], F.when(i > 0, hashes[F.greatest(i - 1, F.lit(0))]))
-    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.pmod(rolled(i), F.lit(AVERAGE)) == 0))
+    weight = [pow(RADIX, k, PRIME) for k in range(WINDOW)]
+    rolled = lambda i: sum(F.when(i >= k, F.get(hashes, i - k) * w % PRIME).otherwise(0) for k, w in enumerate(weight))
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (rolled(i) % PRIME % AVERAGE == 0))
 
 
 def _chunks(cuts: Column) -> Column:
@@ -49,10 +55,10 @@ def _chunks(cuts: Column) -> Column:
     return F.flatten(parts)
 
 
-def _shortest(b: Column, first: Column, n: Column, flip: bool) -> Column:
+def _shortest(b: Column, first: Column, n: Column, flip: bool, least: int) -> Column:
     """How many of the `n` lines from `first` on (`flip`: of those, from the last one back) make the shortest run; null where they don't."""
     part = F.slice(b, first + 1, n)
-    enough = lambda x: (x["n"] >= 2) & (x["b"] >= LEAST_BYTES)
+    enough = lambda x: (x["n"] >= 2) & (x["b"] >= least)
     return F.aggregate(
         F.reverse(part) if flip else part,
         F.struct(F.lit(0).alias("b"), F.lit(0).alias("n")),
@@ -67,20 +73,20 @@ def _long(line: Column) -> Column:
     return F.when(F.octet_length(line) >= 2 * LONG_WORDS - 1, F.regexp_count(line, F.lit(r"\S+")) >= LONG_WORDS).otherwise(F.lit(False))
 
 
-def _entries(chunks: Column, b: Column, long: Column) -> Column:
+def _entries(chunks: Column, b: Column, long: Column, least: int) -> Column:
     """Numbers start * PLACE + n of the chunks of two lines or more, of the shortest runs from each line and up to each line, and of the `long` lines.
 
     `b`: bytes of the lines."""
     size, most = F.size(b), F.lit(MOST_LINES)
     number = lambda start, n: start.cast("long") * PLACE + n
-    pair = lambda i: (F.get(b, i) + F.get(b, i + 1)) >= LEAST_BYTES
+    pair = lambda i: (F.get(b, i) + F.get(b, i + 1)) >= least
     every = F.sequence(F.lit(0), size - 1)
     whole = F.transform(F.filter(chunks, lambda c: c["n"] > 1), lambda c: number(c["start"], c["n"]))
-    onward = F.transform(every, lambda i: number(i, F.when(pair(i), F.lit(2)).otherwise(_shortest(b, i, most, False))))
+    onward = F.transform(every, lambda i: number(i, F.when(pair(i), F.lit(2)).otherwise(_shortest(b, i, most, False, least))))
 
     def up_to(i):
         first = F.greatest(i + 1 - most, F.lit(0))
-        n = _shortest(b, first, i + 1 - first, True)
+        n = _shortest(b, first, i + 1 - first, True, least)
         # a pair is the run from its first line on
         return F.when((i > 0) & ~F.coalesce(pair(i - 1), F.lit(False)), number(i + 1 - n, n))
 
@@ -88,7 +94,7 @@ def _entries(chunks: Column, b: Column, long: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(whole, onward, F.transform(every, up_to), single)), lambda e: e.isNotNull())
 
 
-def entries(docs: DataFrame) -> DataFrame:
+def entries(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Rows (row_key, doc_id, start, n, hash, alone): every entry of every document with a text; `alone`: the text is one line."""
     rows = docs.where(F.col("text").isNotNull()).select("row_key", "doc_id", F.split("text", "\n").alias("lines"))
     rows = rows.select(
@@ -99,9 +105,10 @@ def entries(docs: DataFrame) -> DataFrame:
         F.transform("lines", _long).alias("long"),
         (F.size("lines") == 1).alias("alone"),
     )
-    rows = rows.withColumn("cuts", _cuts(F.col("h")))
+    rows = rows.withColumn("small", F.transform("h", lambda h: F.pmod(h, F.lit(PRIME))))
+    rows = rows.withColumn("cuts", _cuts(F.col("small")))
     rows = rows.withColumn("chunks", _chunks(F.col("cuts")))
-    rows = rows.withColumn("e", F.when((F.size("chunks") > 0) & (F.size("long") > 0), _entries(F.col("chunks"), F.col("b"), F.col("long"))))
+    rows = rows.withColumn("e", F.when((F.size("chunks") > 0) & (F.size("long") > 0), _entries(F.col("chunks"), F.col("b"), F.col("long"), least_bytes)))
     at = lambda e: F.struct(F.floor(e / PLACE).cast("int").alias("start"), (e % PLACE).cast("int").alias("n"))
     rows = rows.withColumn("e", F.transform("e", at))
     # the entries are measured before they become rows, so that no row carries its document's arrays
@@ -112,19 +119,19 @@ def entries(docs: DataFrame) -> DataFrame:
             e["start"].alias("start"), e["n"].alias("n"), F.xxhash64(part("h", e)).alias("hash"), F.aggregate(part("b", e), F.lit(0), lambda x, y: x + y).alias("n_bytes")
         ),
     )
-    rows = rows.withColumn("e", F.when((F.size("h") > 0) & (F.size("b") > 0), F.filter(measured, lambda e: e["n_bytes"] >= LEAST_BYTES)))
+    rows = rows.withColumn("e", F.when((F.size("h") > 0) & (F.size("b") > 0), F.filter(measured, lambda e: e["n_bytes"] >= least_bytes)))
     # explode() would evaluate the whole expression once more in a filter on its size
     rows = rows.select("row_key", "doc_id", "alone", F.explode_outer("e").alias("e")).where("e IS NOT NULL")
     return rows.select("row_key", "doc_id", "e.start", "e.n", "e.hash", "alone")
 
 
-def repeated_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Rows (row_key, lines): the numbers of the lines to be removed from each document with (row_key, doc_id, text)."""
-    found = saved(entries(docs), "line-entries")
+    found = saved(entries(docs, least_bytes), "line-entries")
     order = F.struct("doc_id", "row_key", "start", "alone")
     # rows that repeat are one document: occurrences are told apart by (row_key, start)
-    first = found.groupBy("hash").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "lead")
-    again = found.join(first, "hash").where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start"))))
+    first = found.groupBy("hash").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = with_group(found, first, ["hash"], "times", found.count()).where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start"))))
     if not whole:
         again = again.where(~(F.col("alone") & F.col("lead.alone")))
     # an entry within a longer one that also occurs earlier adds no line: only the outermost are compared
@@ -146,19 +153,22 @@ def repeated_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     texts = saved(texts, "line-bytes")
     place = ["row_key", "start", "hash"]
     leads = texts.join(leads.select(*place), place, "left_semi").groupBy("hash").agg(F.first("bytes").alias("lead_bytes"))
-    equal = texts.join(again.select(*place), place, "left_semi").join(leads, "hash").where("bytes = lead_bytes")
+    # a hash's occurrences are dealt over SALTS tasks, and its first one goes to each
+    salted = again.select(*place).withColumn("salt", F.pmod(F.xxhash64("row_key", "start"), F.lit(SALTS)))
+    leads = leads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    equal = texts.join(salted, place).join(leads, ["hash", "salt"]).where("bytes = lead_bytes")
     lines = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
     return equal.groupBy("row_key").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """`docs` with the text that stays, and `removed_lines`: the numbers of the lines that went (null: none).
 
     Without `whole`, a text of one line that repeats another text of one line stays, for a later step that removes whole copies."""
     columns = [c for c in docs.columns if c not in ("removed_lines", "text")]
-    key = F.xxhash64("doc_id", "text")
+    key = row_id()
     keyed = docs.select(key.alias("row_key"), "doc_id", "text")
-    gone = repeated_lines(keyed, whole).select(F.col("row_key").alias("__key"), "removed")
+    gone = repeated_lines(keyed, whole, least_bytes).select(F.col("row_key").alias("__key"), "removed")
     out = docs.select(*columns, "text", key.alias("__own")).join(gone.hint("shuffle_hash"), F.col("__own") == F.col("__key"), "left")
     # runs of lines that stay: between -1, the removed lines and the end
     lines = F.split("text", "\n")

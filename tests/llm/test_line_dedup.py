@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from strideframe.llm import line_dedup as D
 
 SCHEMA = "doc_id long, text string, row_key string, lines string"
@@ -67,22 +69,23 @@ def test_edges(spark):
     assert row.n_removed_lines == 2 and row.text_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def runs_that_repeat(texts):
-    """By doc_id the numbers of the lines in a run of 2 to 16 lines and 48 bytes that stands somewhere at an earlier (doc_id, place)."""
+def runs_that_repeat(texts, least):
+    """By doc_id the numbers of the lines in a run of 2 to 16 lines and `least` bytes that stands somewhere at an earlier (doc_id, place)."""
     seen, want = set(), {i: set() for i in texts}
     for i in sorted(texts):
         lines = texts[i].split("\n")
         for start in range(len(lines)):
             for n in range(2, min(16, len(lines) - start) + 1):
                 run = tuple(lines[start : start + n])
-                if sum(len(x.encode()) for x in run) >= 48:
+                if sum(len(x.encode()) for x in run) >= least:
                     if run in seen:
                         want[i] |= set(range(start, start + n))
                     seen.add(run)
     return want
 
 
-def test_every_repeated_run_goes_wherever_boundaries_fall(spark):
+@pytest.mark.parametrize("least", [1, 48])
+def test_every_repeated_run_goes_wherever_boundaries_fall(spark, least):
     rng = random.Random(21)
     fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 9)))
     passages = [[fresh() for _ in range(rng.randint(2, 6))] for _ in range(25)]
@@ -95,8 +98,21 @@ def test_every_repeated_run_goes_wherever_boundaries_fall(spark):
         at = rng.randint(0, len(lines))
         lines[at:at] = rng.choice(passages)
         texts[i] = "\n".join(lines)
-    got = {r.doc_id: set(r.removed_lines or []) for r in run(spark, [(i, t, "k", None) for i, t in texts.items()])}
-    assert got == runs_that_repeat(texts)
+    docs = spark.createDataFrame([(i, t, "k", None) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: set(r.removed_lines or []) for r in D.dedup_lines(docs, least_bytes=least).collect()}
+    assert got == runs_that_repeat(texts, least)
+
+
+def test_boundaries_do_not_shift(spark):
+    """Chunks of a passage are the same wherever it stands, but for the first lines and those at the cut after MOST_LINES."""
+    rng = random.Random(5)
+    lines = [f"line {rng.randrange(10**9)}" for _ in range(300)]
+    docs = spark.createDataFrame([("\n".join(lines),), ("\n".join(lines[3:]),), ("\n".join(["new"] * 5 + lines),)], "text string")
+    hashes = docs.selectExpr("transform(split(text, '\n'), x -> pmod(xxhash64(x), 2147483647)) AS h")
+    cuts = [set(r.c) for r in hashes.select(D._cuts(hashes.h).alias("c")).collect()]
+    assert 40 < len(cuts[0]) < 120
+    for shift, own in ((-3, cuts[1]), (5, cuts[2])):
+        assert {c + shift for c in cuts[0] if c >= 6} == {c for c in own if c >= 6 + shift}
 
 
 def test_long_lines_go_by_themselves(spark):
