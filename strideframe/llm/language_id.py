@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts (language, n-gram bucket) in tasks over a bounded sample of the labelled rows (MAX_TRAIN_ROWS, drawn by a hash
-of the id) and sums them in a shuffle; the matrix of log-probabilities has languages x BUCKETS entries and is broadcast. A batch
+of id and text) and sums them in a shuffle; the matrix of log-probabilities has languages x BUCKETS entries and is broadcast. A batch
 of texts is scored as one sparse product in numpy: every n-gram position is a row number of the matrix, and the
-rows of a text are added up. Texts are read whole, in segments of bounded size.
+rows of a text are added up, and to them the language's share of the sample's rows. Texts are read whole, however long, in segments of bounded size. Languages that
+tie: the first by name.
 
 Nulls and texts without a letter: `und` with score 0. A training table without labelled rows gives `und` for every text. Equal texts
 have equal results. An empty table gives an empty result. Extra columns are ignored.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_hash, mixed
@@ -84,15 +85,15 @@ def _sums(texts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, lettered
 
 
-def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` rows of `rows` (all where there are fewer), by a hash of doc_id: the same rows on every run."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * most / n))
+def sample_share(n: int, most: int) -> Column:
+    """Whether a row is one of about `most` of `n` rows (all where there are fewer), by a hash of id and text: the same rows on every run."""
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * most / n)
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities, (BUCKETS + 1, languages), from rows (doc_id, text, lang)."""
-    sample = bounded_sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), max_rows)
+def train(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their log-probabilities (BUCKETS + 1, languages) and the logs of their shares, from rows (doc_id, text, lang)."""
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    sample = labelled.where(sample_share(labelled.count(), max_rows))
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -111,26 +112,28 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str
     counts = sample.select("lang", "text").repartition(TRAIN_TASKS).mapInPandas(count, "lang string, bucket int, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS rows at most
     langs = sorted(counts["lang"].unique())
-    table = np.zeros((BUCKETS + 1, len(langs)))
+    table, rows = np.zeros((BUCKETS + 1, len(langs))), np.zeros(len(langs))
     for k, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
         seen = np.full(BUCKETS, SMOOTHING)
         real = own[own["bucket"] >= 0]
         seen[real["bucket"]] += real["n"]
         table[:BUCKETS, k] = np.log(seen / seen.sum())
-    return langs, table
+        rows[k] = own.loc[own["bucket"] < 0, "n"].sum()
+    return langs, table, np.log(rows / rows.sum())
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """`keep` columns of `docs` with lang_pred and the posterior probability of that language."""
-    model = docs.sparkSession.sparkContext.broadcast((langs, table))
+    model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def score(batches):
-        names, weights = model.value
+        names, weights, prior = model.value
         for pdf in batches:
             pred, prob = np.full(len(pdf), "und", object), np.zeros(len(pdf))
             if names and len(pdf):
                 total, lettered = _sums(pdf["text"].tolist(), weights)
+                total += prior
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 odds /= odds.sum(axis=1, keepdims=True)
                 best = odds.argmax(axis=1)
@@ -146,6 +149,5 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
 
 def op5_naive_bayes(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", "lang", F.pmod(id_hash(), F.lit(4)).alias("part"))
-    langs, table = train(marked.where("part <> 2"))
-    marked = marked.select("doc_id", "text", (F.col("part") == 2).alias("held_out"))
-    return predict(marked, langs, table, ["doc_id", "held_out"])
+    trained = train(marked.where("part <> 2"))
+    return predict(marked.select("doc_id", "text", (F.col("part") == 2).alias("held_out")), trained, ["doc_id", "held_out"])
