@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark free the broadcasts and shuffles of tables that are no longer referenced: it does so when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mark() -> int:
     """Where discard() starts from."""
     return len(_written)
@@ -53,6 +60,8 @@ def discard(since: int, keep_last: bool = True) -> None:
     del _written[since : len(_written) - keep_last]
     for spark, path in spent:
         _delete(spark, path)
+    if spent:
+        release(spent[0][0])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -78,7 +87,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: list[str], size: str, to
     """
     hot = F.col(size) * HOT_PART > total
     marked = rows.join(F.broadcast(groups.where(hot)), key, "left")
-    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~hot), key)
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~hot).hint("merge"), key)
     return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 

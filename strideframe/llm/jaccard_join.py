@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_blocks, mixed, row_id, saved, span_hashes, with_group, word_spans
+from .common import LOWER, SPACE, byte_blocks, mixed, release, row_id, saved, span_hashes, with_group, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -505,6 +505,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = facts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     links = saved(verified(pairs.union(same.select("key", "key")), facts, docs, by="key"), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = saved(components(links), "labels")
+    release(docs.sparkSession)
     groups = saved(found.where("group IS NOT NULL").groupBy("group", "part").agg(F.first("members").alias("members")), "groups")
     # groups in more than one component: spanning forests of their links, with new hashes until every link given is true
     seed, rejected = 1, 1
@@ -516,8 +517,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         extra = saved(verified(more, facts, docs).distinct(), "verified")
         n_extra = extra.count()
         if n_extra:
-            links = links.union(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            labels = saved(components(links), "labels")
+            stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            labels = saved(components(stars.union(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
+        release(docs.sparkSession)
         seed, rejected = seed + 1, more.count() - n_extra
     columns = ["doc_id", "row_id", "n_shingles", "component", "component_id"]
     named = facts.select("set_id", "node", "rows").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"), "rows")
