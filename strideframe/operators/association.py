@@ -89,7 +89,9 @@ def rollup(obs: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def selection(candidates: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """The `top` candidates per key, better quality first, and any pinned one whatever its rank."""
+    """`top` candidates per key: the pinned ones first to stay, then by rank (quality, seconds, observations, id), so that a pinned one takes the place of the lowest kept."""
     order = F.when(F.col("quality") == "STRONG", 0).when(F.col("quality") == "USABLE", 1).otherwise(2)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.desc("seconds"), F.desc("observations"), F.col("group_id")))
-    return candidates.withColumn("rank", rank.cast("long")).where((F.col("rank") <= top) | F.col("pinned"))
+    best = [order, F.desc("seconds"), F.desc("observations"), F.col("group_id")]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pinned"), *best))
+    return candidates.withColumns({"rank": rank.cast("long"), "__place": place}).where(F.col("__place") <= top).drop("__place")

@@ -78,14 +78,14 @@ def zone_dwell(obs: DataFrame, policy: MovementPolicy, court: Court, key: str =
 def movement_summary(obs: DataFrame, policy: MovementPolicy, court: Court, key: str = "player_id") -> DataFrame:
     """One row per player, in one shuffle: counts, distances, durations, mean position and zone shares.
 
-    In-court pairing needs the next in-court row and duration pairing the next row of any kind: both are windows over the same
-    partitioning and order, so the timeline is sorted once.
+    Of several detections in a frame the best one counts. In-court pairing needs the next in-court row and duration pairing the next row of any kind: both
+    are windows over one partitioning and order, latest row first, so that the frame of the in-court one grows and each row costs the same.
     """
-    rows = dedup_frames(obs, key) if key != "player_id" else obs
-    w = Window.partitionBy(key).orderBy(*ORDER)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    rows = dedup_frames(obs.repartition(key), key)  # one shuffle serves both windows
+    w = Window.partitionBy(key).orderBy(*[F.desc(x) for x in ORDER])
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
     row = F.struct(*["ts_us", "track_id", "court_x", "court_y"])
-    rows = rows.withColumns({"n": F.lead(row).over(w), "c": F.first(F.when(F.col("inside"), row), ignorenulls=True).over(ahead)})
+    rows = rows.withColumns({"n": F.lag(row).over(w), "c": F.last(F.when(F.col("inside"), row), ignorenulls=True).over(ahead)})
     gap = F.col("n.ts_us") - F.col("ts_us")
     near = (F.col("n.track_id") == F.col("track_id")) & (gap > 0) & (gap <= policy.max_gap_us)
     court_gap = F.col("c.ts_us") - F.col("ts_us")

@@ -18,7 +18,7 @@ def current_version(df: DataFrame, keys: list[str], version: list[str]) -> DataF
     """Rows numbered by version within their key, the last one current, each with the version before it."""
     w = Window.partitionBy(*keys).orderBy(*version)
     number = F.row_number().over(w)
-    return df.withColumns({"version": number.cast("long"), "is_current": F.lead(version[-1]).over(w).isNull(), "replaces": F.lag(version[-1]).over(w)})
+    return df.withColumns({"version": number.cast("long"), "is_current": F.lead(F.lit(True)).over(w).isNull(), "replaces": F.lag(version[-1]).over(w)})
 
 
 def audit_transitions(df: DataFrame, keys: list[str], order: list[str], state: str, allowed: list[tuple[str, str]]) -> DataFrame:

@@ -62,15 +62,19 @@ WITH {OBS_SQL}, {_ROLLUP} SELECT group_id, fragments, observations, round(inside
 
 
 def candidate_selection(spark, sf_dir):
-    """The best four of each analysis, and the pinned ones (every group id divisible by 17) whatever their rank."""
-    rows = candidate_rollup(spark, sf_dir).withColumns({"analysis_id": F.col("group_id") % 10, "pinned": F.col("group_id") % 17 == 0})
+    """Four of each analysis: the pinned one (the largest group id divisible by 17), then the best."""
+    rows = candidate_rollup(spark, sf_dir).withColumn("analysis_id", F.col("group_id") % 10)
+    last = F.max(F.when(F.col("group_id") % 17 == 0, F.col("group_id"))).over(Window.partitionBy("analysis_id"))
+    rows = rows.withColumn("pinned", F.col("group_id").eqNullSafe(last))
     return J.selection(rows, ["analysis_id"], 4).select("analysis_id", "rank", "group_id", "quality", "pinned")
 
 
 SELECTION_SQL = f"""
-WITH {OBS_SQL}, {_ROLLUP}, r AS (SELECT group_id % 10 AS analysis_id, group_id, quality, group_id % 17 = 0 AS pinned, row_number() OVER (PARTITION BY group_id % 10
+WITH {OBS_SQL}, {_ROLLUP}, l AS (SELECT group_id % 10 AS analysis_id, max(group_id) AS pin FROM q WHERE group_id % 17 = 0 GROUP BY 1),
+r AS (SELECT group_id % 10 AS analysis_id, group_id, quality, row_number() OVER (PARTITION BY group_id % 10
   ORDER BY CASE quality WHEN 'STRONG' THEN 0 WHEN 'USABLE' THEN 1 ELSE 2 END, round(us / 1000000.0::DOUBLE, 6) DESC, observations DESC, group_id) AS rank FROM q)
-SELECT analysis_id, rank, group_id, quality, pinned FROM r WHERE rank <= 4 OR pinned
+SELECT analysis_id, rank, group_id, quality, group_id IS NOT DISTINCT FROM pin AS pinned FROM r LEFT JOIN l USING (analysis_id)
+WHERE group_id IS NOT DISTINCT FROM pin OR rank <= CASE WHEN pin IS NOT NULL AND (SELECT r2.rank FROM r AS r2 WHERE r2.group_id = pin) > 4 THEN 3 ELSE 4 END
 """
 
 

@@ -138,15 +138,15 @@ SELECT track_id, player_id, first_frame, last_frame, observations, round(duratio
 
 
 def track_topk(spark, sf_dir):
-    """The four best eligible tracks of each analysis, most movement first."""
+    """The four best eligible tracks of each analysis: distance, rate, duration, confidence, then the smallest id."""
     tracks = track_summary(spark, sf_dir).where("eligible").withColumn("analysis_id", F.col("player_id") % 10)
-    rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy(F.desc("distance_feet"), F.desc("observations"), F.col("track_id")))
+    rank = F.row_number().over(Window.partitionBy("analysis_id").orderBy(*[F.desc(x) for x in ("distance_feet", "feet_per_second", "duration_seconds", "confidence")], F.col("track_id")))
     return tracks.withColumn("rank", rank.cast("long")).where("rank <= 4").select("analysis_id", "rank", "track_id", "distance_feet")
 
 
 TOPK_SQL = f"""
-WITH {OBS_SQL}, {_TRACKS}, e AS (SELECT player_id % 10 AS analysis_id, track_id, observations, round(feet, 6) AS distance_feet FROM r WHERE len(reasons) = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY distance_feet DESC, observations DESC, track_id) AS rank FROM e)
+WITH {OBS_SQL}, {_TRACKS}, e AS (SELECT player_id % 10 AS analysis_id, track_id, round(feet, 6) AS distance_feet, round(rate, 9) AS rate, round(duration, 6) AS duration, round(confidence, 9) AS confidence FROM r WHERE len(reasons) = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY distance_feet DESC, rate DESC, duration DESC, confidence DESC, track_id) AS rank FROM e)
 SELECT analysis_id, rank, track_id, distance_feet FROM k WHERE rank <= 4
 """
 

@@ -209,14 +209,21 @@ UNION ALL SELECT user_id, 'second_only' FROM (SELECT * FROM b EXCEPT SELECT * FR
 
 
 def transition_audit(spark, sf_dir):
-    """Turns that do not follow user > assistant > user, or skip a number."""
+    """Steps from a turn to the next that are not user > assistant > user, or skip a number: in the conversations, and where every third order is taken as a state that follows the one before."""
     allowed = [("user", "assistant"), ("assistant", "user"), ("system", "user")]
-    bad = R.audit_transitions(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role", allowed)
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "-1 - o_custkey AS conv_id", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) + CASE WHEN o_orderkey % 7 = 0 THEN 1000 ELSE 0 END AS turn",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'system' END AS role",
+    )
+    turns = table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS BIGINT) AS conv_id", "turn", "role").unionByName(orders)
+    bad = R.audit_transitions(turns, ["conv_id"], ["turn"], "role", allowed)
     return bad.select("conv_id", "turn", "from_state", "role", "step")
 
 
 AUDIT_SQL = """
-WITH t AS (SELECT conv_id, turn, lag(role) OVER w AS from_state, role, turn - lag(turn) OVER w AS step FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WITH u AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, role FROM conversations UNION ALL SELECT -1 - o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) + CASE WHEN o_orderkey % 7 = 0 THEN 1000 ELSE 0 END,
+    CASE o_orderkey % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE 'system' END FROM orders),
+t AS (SELECT conv_id, turn, lag(role) OVER w AS from_state, role, turn - lag(turn) OVER w AS step FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT * FROM t WHERE from_state IS NOT NULL AND ((from_state || '>' || role) NOT IN ('user>assistant', 'assistant>user', 'system>user') OR step <> 1)
 """
 

@@ -72,3 +72,36 @@ def test_even_split_omits_the_middle(spark):
     assert got[1] == {0: e, 1: e, 2: None, 3: s, 4: s} and got[2] == {0: None, 1: None, 2: None}
     assert got[3] == {3: e, 4: e, 5: e, 6: e, 7: s, 8: s, 9: s, 10: s}
     assert got[4] == {1: e, 2: e, 3: s, 0: s}
+
+
+def test_two_detections_in_a_frame_count_once(spark):
+    from strideframe.operators import movement as M
+    from strideframe.plans.policy import EVENT_MOVEMENT, Court
+
+    schema = "player_id long, frame_index long, ts_us long, track_id long, confidence double, court_x double, court_y double, inside boolean"
+    walk = [(1, k, k * 100_000, 7, 0.9, float(k), 10.0, True) for k in range(10)]
+    weaker = [(1, k, k * 100_000, 8, 0.2, 15.0, 30.0, True) for k in range(10)]
+    row = M.movement_summary(spark.createDataFrame(walk + weaker, schema), EVENT_MOVEMENT, Court()).first()
+    assert (row.observations, row.distance_feet, row.observed_seconds) == (10, 9.0, 0.9)
+
+
+def test_a_busy_player_costs_the_same_per_row(spark):
+    import time
+
+    from strideframe.operators import movement as M
+    from strideframe.plans.policy import EVENT_MOVEMENT, Court
+
+    rows = spark.range(200_000).selectExpr(
+        "1L AS player_id", "id AS frame_index", "id * 100000 AS ts_us", "7L AS track_id", "0.9D AS confidence", "cast(id % 20 AS double) AS court_x", "10.0D AS court_y", "id % 3 <> 0 AS inside"
+    )
+    began = time.time()
+    assert M.movement_summary(rows, EVENT_MOVEMENT, Court()).first().observations == 200_000
+    assert time.time() - began < 60
+
+
+def test_a_null_version_does_not_make_its_predecessor_current(spark):
+    from strideframe.operators.reconcile import current_version
+
+    rows = spark.createDataFrame([(1, None), (1, 3), (1, 5), (2, None)], "key long, v long")
+    got = {(r.key, r.v): r.is_current for r in current_version(rows, ["key"], ["v"]).collect()}
+    assert got == {(1, None): False, (1, 3): False, (1, 5): True, (2, None): True}
