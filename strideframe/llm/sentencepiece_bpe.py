@@ -104,19 +104,46 @@ def _dropped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nda
     return mixed(mixed(key) ^ place) < _U(limit)
 
 
+_M64 = (1 << 64) - 1
+
+
+def _mixed_one(x: int) -> int:
+    """mixed() of one number."""
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & _M64
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & _M64
+    return x ^ x >> 33
+
+
+def _joined_one(m: Model, left: int, right: int) -> int:
+    """Model.joined() of one pair."""
+    key = left << 20 | right
+    slot = (key * 0x9E3779B97F4A7C15 & _M64) >> 64 - SLOT_BITS
+    if m.slot_key[slot] == key:
+        return int(m.slot_piece[slot])
+    if m.full[slot]:
+        at = int(np.searchsorted(m.rest_key, key))
+        if m.rest_key[at] == key:
+            return int(m.rest_piece[at])
+    return -1
+
+
 def heap_merge(m: Model, symbols: list[int], key: int, start: int, limit: int) -> list[int]:
     """The agenda of one word as a heap: ids of `symbols` (-1: no piece) after merging."""
     n = len(symbols)
     symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     ends = list(range(1, n + 1))
     agenda: list = []
+    spread = _mixed_one(key)
 
     def push(i):
         j = after[i]
         if j < n and symbols[i] >= 0 and symbols[j] >= 0:
-            piece = int(m.joined(np.array([symbols[i]]), np.array([symbols[j]]))[0])
-            place = (np.array([x]) for x in (start + i, start + j, start + ends[j]))
-            if piece >= 0 and not (limit and _dropped(np.array([key], _U), *place, limit)[0]):
+            piece = _joined_one(m, symbols[i], symbols[j])
+            # _dropped() of one candidate
+            place = ((start + i) << 24) + ((j - i) << 12) + ends[j] - i & _M64
+            if piece >= 0 and not (limit and _mixed_one(spread ^ place) < limit):
                 heapq.heappush(agenda, (int(m.rank[piece]), i, piece, symbols[i], symbols[j], j))
 
     for i in range(n):

@@ -42,3 +42,60 @@ def test_segments_do_not_change_sums():
         assert np.allclose(L._sums(texts, weights)[0], whole)
     finally:
         L.SEGMENT = old
+
+
+def brute_force(rows):
+    """doc_id -> (language, probability), one n-gram at a time."""
+    import math
+    import zlib
+    from collections import Counter
+
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        x = sum(c << 21 * k for k, c in enumerate(gram)) + len(gram) & mask
+        x ^= x >> 31
+        x = x * 0x7FB5D329728EA185 & mask
+        x ^= x >> 27
+        x = x * 0x81DADEF4BC2DD44D & mask
+        return (x ^ x >> 33) % L.BUCKETS
+
+    def grams(text):
+        points = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32]
+        return [bucket(points[i : i + n]) for i in range(len(points) - 2) for n in (1, 2, 3)]
+
+    counts, docs = {}, Counter()
+    for i, text, lang, *_ in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(grams(text))
+            docs[lang] += 1
+    out = {}
+    for i, text, *_ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[i] = ("und", 0.0)
+            continue
+        value = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + L.SMOOTHING * L.BUCKETS
+            value[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((counts[lang][b] + L.SMOOTHING) / total) for b in grams(text))
+        best = max(value, key=value.get)
+        out[i] = (best, 1 / sum(math.exp(v - value[best]) for v in value.values()))
+    return out
+
+
+def test_predictions_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"xx": ["une", "été", "deux mots", "Où"], "yy": ["ein", "über", "zwei Worte", "Größe"], "zz": ["one", "two", "Three words"]}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(words))
+        pool = words[lang] if rng.random() < 0.7 else sum(words.values(), [])
+        rows.append((i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 4))), lang if i % 9 else None))
+    rows += [(100, None, "xx"), (101, "", "yy"), (102, "12 34 !", "zz"), (103, "e", None), (104, "Größe " * 3000, "yy")]
+    got = L.op5_naive_bayes(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = brute_force(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9
