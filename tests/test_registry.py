@@ -34,7 +34,7 @@ def test_query(spark, duck, name):
     if name not in registry.ORACLES:
         assert got
         return
-    assert got
+    assert got or name == "boundary_error"  # the smallest tables have no such neighbours
     want = duck.sql(registry.ORACLES[name])
     assert sorted(want.columns) == columns
     assert got == sorted(tuple(map(plain, r)) for r in want.select(*columns).fetchall())
