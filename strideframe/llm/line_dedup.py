@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_id, saved, with_group
+from .common import discard, mark, row_id, saved, with_group
 
 AVERAGE = 4
 WINDOW = 3
@@ -127,17 +127,23 @@ def entries(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Rows (row_key, lines): the numbers of the lines to be removed from each document with (row_key, doc_id, text)."""
+    since = mark()
     found = saved(entries(docs, least_bytes), "line-entries")
+    # most hashes occur once: counts alone leave those out, before any entry is moved
+    times = found.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = saved(with_group(found, times, ["hash"], "times", found.count()).drop("times"), "line-shared")
+    discard(since)
     order = F.struct("doc_id", "row_key", "start", "alone")
     # rows that repeat are one document: occurrences are told apart by (row_key, start)
-    first = found.groupBy("hash").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = with_group(found, first, ["hash"], "times", found.count()).where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start"))))
+    first = shared.groupBy("hash").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("times"))
+    again = with_group(shared, first, ["hash"], "times", shared.count()).where(~((F.col("row_key") == F.col("lead.row_key")) & (F.col("start") == F.col("lead.start"))))
     if not whole:
         again = again.where(~(F.col("alone") & F.col("lead.alone")))
     # an entry within a longer one that also occurs earlier adds no line: only the outermost are compared
     inner = Window.partitionBy("row_key").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     again = again.withColumn("reach", F.max(F.col("start") + F.col("n")).over(inner)).where("reach IS NULL OR reach < start + n")
     again = saved(again.select("row_key", "start", "n", "hash", "lead").distinct(), "line-again")
+    discard(since)
     leads = again.select(F.col("lead.row_key").alias("row_key"), F.col("lead.start").alias("start"), "n", "hash").distinct()
     wanted = again.select("row_key", "start", "n", "hash").union(leads).distinct()
     wanted = wanted.groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "hash")).alias("entries"))  # as many as a document has lines, times two
@@ -158,7 +164,9 @@ def repeated_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST
     leads = leads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     equal = texts.join(salted, place).join(leads, ["hash", "salt"]).where("bytes = lead_bytes")
     lines = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
-    return equal.groupBy("row_key").agg(F.sort_array(F.array_distinct(lines)).alias("removed"))
+    removed = saved(equal.groupBy("row_key").agg(F.sort_array(F.array_distinct(lines)).alias("removed")), "line-removed")
+    discard(since)  # what was written on the way is spent
+    return removed
 
 
 def dedup_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST_BYTES) -> DataFrame:
