@@ -136,6 +136,22 @@ def contributions(df: DataFrame, p: ReportPolicy = ReportPolicy()) -> DataFrame:
     return df.withColumns({"contribution": verdicts.otherwise(weak_verdict), "contribution_codes": code_case.otherwise(weak_codes)})
 
 
+def comparability(df: DataFrame) -> DataFrame:
+    """Whether a report can be compared with others; PROVISIONAL at best. Inputs: contribution, has_analytics, observed_seconds, zone_seconds, tracking, measurement (null: no confidence), readiness."""
+    weak = lambda name: F.coalesce(c(name).isin("LOW", "NOT_AVAILABLE"), F.lit(False))
+    verdict = (
+        F.when(c("contribution") == "PROVISIONAL", "PROVISIONAL").when(c("contribution") == "NOT_EVALUATED", "NOT_EVALUATED").when(c("contribution") == "EXCLUDED", "INELIGIBLE")
+        .when(~c("has_analytics"), "NOT_EVALUATED").when((c("observed_seconds") <= 0) | (c("zone_seconds") <= 0), "INELIGIBLE")
+        .when(weak("tracking") | weak("measurement"), "INELIGIBLE").otherwise("PROVISIONAL")
+    )
+    best = (c("contribution") == "INCLUDED") & (verdict == "PROVISIONAL")
+    limits = code_list(
+        (best, "match_format_unknown"), (best, "camera_placement_unknown"), (best & (c("readiness") == "LIMITED"), "limited_recording"),
+        (best & c("tracking").isNull() & c("measurement").isNull(), "confidence_unavailable"),
+    )
+    return df.withColumns({"comparability": verdict, "comparability_limits": limits})
+
+
 def history_labels(df: DataFrame) -> DataFrame:
     """The status of a report in a history and the limitation shown with it. Inputs: status, readiness, analytics_completed, contribution."""
     quality = F.coalesce("readiness", F.lit(""))

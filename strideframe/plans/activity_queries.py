@@ -220,10 +220,11 @@ REASONS_SQL = f"{_UPTO}, {STATES_CTE} SELECT analysis_id, reason, count(*) AS wi
 
 
 def review_overlap_state(spark, sf_dir):
-    """Review intervals of two and a half windows against window states: the state of the largest overlap, UNKNOWN on a tie or where any is unknown."""
+    """Review intervals of two and a half windows, one at every third window up to an analysis's last, against window states: the state of the largest overlap, UNKNOWN on a tie or where any is unknown."""
     width = RULE.window_us
     states = window_states(spark, sf_dir).select("analysis_id", "win", "state")
-    review = states.select("analysis_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    last = states.groupBy("analysis_id").agg(F.max("win").alias("last"))
+    review = last.select("analysis_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 3).cast("int"))).alias("k"))
     review = review.withColumns({"start_us": (F.col("k") * 3 * width).cast("long"), "end_us": (F.col("k") * 3 * width + 5 * width / 2).cast("long")})
     cut = W.clipped(review, "start_us", "end_us", width).join(states, ["analysis_id", "win"], "left")
     overlap = cut.groupBy("analysis_id", "k", "state").agg(F.sum(F.col("clip_end") - F.col("clip_start")).alias("us"))
@@ -239,7 +240,7 @@ def review_overlap_state(spark, sf_dir):
 
 REVIEW_SQL = f"""
 {_UPTO}, {STATES_CTE},
-r AS (SELECT DISTINCT analysis_id, k::INTEGER AS k, (k * 3 * 86400000000)::BIGINT AS s, (k * 3 * 86400000000 + 216000000000)::BIGINT AS e FROM st, generate_series(0, 9) g(k)),
+r AS (SELECT DISTINCT analysis_id, k::INTEGER AS k, (k * 3 * 86400000000)::BIGINT AS s, (k * 3 * 86400000000 + 216000000000)::BIGINT AS e FROM (SELECT analysis_id, unnest(generate_series(0, max(win) // 3)) AS k FROM st GROUP BY analysis_id)),
 o AS (SELECT r.analysis_id, r.k, st.state, sum(least(r.e, (st.win + 1) * 86400000000) - greatest(r.s, st.win * 86400000000)) AS us FROM r LEFT JOIN st ON r.analysis_id = st.analysis_id
     AND st.win * 86400000000 < r.e AND (st.win + 1) * 86400000000 > r.s GROUP BY ALL),
 b AS (SELECT analysis_id, k, bool_or(coalesce(state = 'UNKNOWN', false)) AS unknown, max(us) FILTER (state <> 'UNKNOWN') AS top FROM o GROUP BY ALL)
@@ -268,15 +269,15 @@ SELECT analysis_id, count(*) AS boundaries, round(avg(error), 9) AS mean_error,
 def threshold_what_if(spark, sf_dir):
     """Window states under changed coverage thresholds: how many change, and how many of them become known."""
     features = A.window_features(observations(spark, sf_dir), RULE)
-    base = A.window_states(features, RULE).select("analysis_id", "win", F.col("state").alias("base"))
-    out = None
-    for threshold in (0.1, 0.2, 0.5):
-        other = A.window_states(features, RULE, threshold).select("analysis_id", "win", "state")
-        row = base.join(other, ["analysis_id", "win"]).agg(
-            F.count_if(F.col("state") != F.col("base")).alias("affected"), F.count_if((F.col("base") == "UNKNOWN") & (F.col("state") != "UNKNOWN")).alias("known"), F.count(F.lit(1)).alias("windows")
-        ).select(F.lit(threshold).alias("threshold"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = A.window_states(features, RULE).withColumnRenamed("state", "base")
+    thresholds = (0.1, 0.2, 0.5)
+    for k, threshold in enumerate(thresholds):
+        rows = A.window_states(rows, RULE, threshold).withColumnRenamed("state", f"state_{k}")
+    cases = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"state_{k}").alias("state")) for k, t in enumerate(thresholds)])
+    rows = rows.select("base", F.explode(cases).alias("x")).select("base", "x.*")
+    return rows.groupBy("threshold").agg(
+        F.count_if(F.col("state") != F.col("base")).alias("affected"), F.count_if((F.col("base") == "UNKNOWN") & (F.col("state") != "UNKNOWN")).alias("known"), F.count(F.lit(1)).alias("windows")
+    )
 
 
 _IF = "CASE WHEN reliable_players < 2 OR coverage < {} THEN 'UNKNOWN' WHEN act THEN 'ACTIVE' WHEN idl THEN 'IDLE' ELSE 'UNKNOWN' END"

@@ -165,13 +165,14 @@ SELECT category, value, count(*) AS n, count(*) < 45 AS under_represented FROM (
 
 
 def reconcile_full_outer(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 <> 4").select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("v"))
+    """All documents with a derived value against their labels."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("v"))
     found = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("v"))
     return R.reconcile(d, found, "doc_id", "v").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
 RECONCILE_SQL = """
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS v FROM documents WHERE doc_id % 5 <> 4), l AS (SELECT doc_id, toxic AS v FROM labels),
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS v FROM documents), l AS (SELECT doc_id, toxic AS v FROM labels),
 j AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING' WHEN d.doc_id IS NULL THEN 'ORPHAN' WHEN d.v IS DISTINCT FROM l.v THEN 'MISMATCH' ELSE 'OK' END AS status FROM d FULL JOIN l ON d.doc_id = l.doc_id)
 SELECT status, count(*) AS n, min(doc_id) AS first_id FROM j GROUP BY 1
 """
