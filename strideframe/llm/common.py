@@ -40,6 +40,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
+    release(spark)  # a long run of small steps would otherwise grow the driver's heap up to its limit
     return spark.read.schema(df.schema).parquet(path)
 
 
