@@ -18,9 +18,11 @@ def _least_neighbour(pairs: DataFrame, total: int) -> DataFrame:
     return with_group(pairs, lows.select("u", F.least("u", "low").alias("low"), "links"), ["u"], "links", total)
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Equal for equal sets of links, and only for them but for a chance of 2**-64."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the end of exactly one link or only a centre: then each link names its node's component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("centre"))
+    ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("centre").alias("centre")).where("n + centre > 1").isEmpty()
 
 
 def _contracted(batches):
@@ -56,21 +58,18 @@ def _contracted(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (u, v): component is the least node that links reach.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours to its least neighbour, then its smaller ones. Before that, each
+    Alternates two steps until the links are stars: every node hands its larger neighbours to its least neighbour, then its smaller ones. Before that, each
     task joins what its own links join. A hub's links are rows, never one group; the rounds grow with the logarithm of the nodes.
     """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = saved(edges.mapInPandas(_contracted, "u long, v long").distinct(), "links")
-    state = _fingerprint(edges)
-    while True:
-        large = _least_neighbour(both(edges), 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    while not _are_stars(edges):
+        large = _least_neighbour(both(edges), 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = large.where("u <> v").distinct()
         # a node has few smaller neighbours left
         small = large.join(large.groupBy("u").agg(F.min("v").alias("low")).hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
         edges = saved(small.where("u <> v").mapInPandas(_contracted, "u long, v long").distinct(), "links")
-        before, state = state, _fingerprint(edges)
-        if before == state:
-            roots = edges.select(F.col("v").alias("node")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
