@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import op3_tree_merge
+from .filter_audit import FILTERS, op12_audit
 from .jaccard_join import op10_universe_partition
 from .language_id import op5_naive_bayes
 from .line_dedup import op7_line_chunks
@@ -62,6 +63,10 @@ def op4_sentencepiece_merge_dropout(spark, sf_dir):
     return op4_merge_dropout(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_filter_audit(spark, sf_dir):
+    return op12_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -130,6 +135,40 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
   coalesce(spans, '') AS spans FROM rows LEFT JOIN g USING (r)
 """
 
+def _op12_sql() -> str:
+    places = range(len(FILTERS))
+    letters = f"(SELECT unnest(list_value({', '.join(repr(f) for f in FILTERS)})) AS l)"
+    order, apart = " || ".join(f"x{i}.l" for i in places), " AND ".join(f"x{i}.l <> x{j}.l" for i in places for j in range(i))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) THEN 16 ELSE 0 END AS m
+  FROM t),
+c AS (SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT {order} AS filter_order FROM {", ".join(f"{letters} x{i}" for i in places)} WHERE {apart}),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, CAST(i AS INTEGER), 1)) - 65))), 0) AS earlier
+  FROM (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN m & (CAST(earlier AS BIGINT) | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN m & CAST(earlier AS BIGINT) = 0 AND m & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & CAST(earlier AS BIGINT) > 0 AND m & own > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN m = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & CAST(earlier AS BIGINT) = 0 AND m & own > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN m & CAST(earlier AS BIGINT) = 0 AND m & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout)}
-ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout, op12_filter_audit)}
+ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL, "op12_filter_audit": _op12_sql()}
