@@ -37,7 +37,7 @@ def test_updated_steps_equal_steps_counted_anew(counts):
 
 
 def brute(docs, labels):
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1} - {None}, {d for d, _, t in labels if t == 1} - {None}
     rows = []
     for d, text, lang in docs:
         t = text or ""
@@ -54,7 +54,7 @@ def brute(docs, labels):
         for order in itertools.permutations("ABCDE"):
             left = own
             for k, f in enumerate(order):
-                gone, late = [r for r in left if f in r[1]], [r for r in own if f in r[1] and r not in left and set(order[:k]) & r[1]]
+                gone = [r for r in left if f in r[1]]
                 late = [r for r in own if f in r[1] and set(order[:k]) & r[1]]
                 left = [r for r in left if f not in r[1]]
                 unique = sum(r[1] == {f} for r in own)
