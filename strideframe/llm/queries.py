@@ -10,6 +10,7 @@ from .language_id import op5_naive_bayes
 from .line_dedup import op7_line_chunks
 from .packing import op2_bin_slack, special_tokens
 from .quality_rules import RULES, STOP_WORDS, op6_rules
+from .scaled_sketch import op11_sketches
 from .secret_scan import RULES as SECRET_RULES
 from .secret_scan import op9_trigram_index
 from .sentencepiece_bpe import op4_merge_dropout
@@ -63,6 +64,10 @@ def op4_sentencepiece_merge_dropout(spark, sf_dir):
     return op4_merge_dropout(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_scaled_sketch(spark, sf_dir):
+    return op11_sketches(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark, sf_dir):
     return op12_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -170,5 +175,5 @@ FROM r
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout, op11_scaled_sketch, op12_filter_audit)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL, "op12_filter_audit": _op12_sql()}
