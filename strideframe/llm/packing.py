@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,12 @@ WINDOW = 1024
 END_ID = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+#: From this many characters of white space on `tiktoken`'s pattern may run out of stack.
+LONG_RUN = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
+
 _encoders: dict = {}
+_whole_encoders: dict = {}
 
 
 def special_tokens(tokenizer_path: str) -> dict[str, int]:
@@ -40,6 +47,18 @@ def special_tokens(tokenizer_path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(file)["added_tokens"] if t["special"]}
 
 
+def _whole_encoder(ranks_path: str, with_specials: bool):
+    """`tokenizers` over the vocabulary's .json beside the ranks: slower, but white space of any length is no deep recursion to it."""
+    key = (ranks_path, with_specials)
+    if key not in _whole_encoders:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(str(Path(ranks_path).with_suffix(".json")))
+        whole.encode_special_tokens = not with_specials
+        _whole_encoders[key] = whole
+    return lambda text: _whole_encoders[key].encode(text, add_special_tokens=False).ids
+
+
 def encoder(ranks_path: str, specials: dict[str, int] | None = None):
     """A function from text to ids: tiktoken over the vocabulary file `ranks_path`; the strings of `specials` get their ids, without them they are ordinary text."""
     specials = specials or {}
@@ -54,6 +73,8 @@ def encoder(ranks_path: str, specials: dict[str, int] | None = None):
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=specials)
 
         def encode(text: str) -> list[int]:
+            if len(text) > LONG_RUN and _LONG_SPACE.search(text):
+                return _whole_encoder(ranks_path, bool(specials))(text)
             # the plain call is the faster one
             return encoding.encode(text, allowed_special="all") if any(s in text for s in specials) else encoding.encode_ordinary(text)
 

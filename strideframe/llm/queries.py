@@ -15,6 +15,7 @@ from .secret_scan import RULES as SECRET_RULES
 from .secret_scan import op9_trigram_index
 from .sentencepiece_bpe import op4_merge_dropout
 from .sharding import op1_hilbert
+from .token_alignment import op13_alignment
 from .toxicity import op8_convolution
 
 
@@ -72,6 +73,10 @@ def op12_filter_audit(spark, sf_dir):
     return op12_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return op13_alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -175,5 +180,5 @@ FROM r
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout, op11_scaled_sketch, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_minimum_bin_slack, op3_digest_tree_merge, op5_language_naive_bayes, op6_quality_rules, op8_toxicity_convolution, op9_secret_trigram_index, op10_universe_partition_join, op7_line_chunk_dedup, op4_sentencepiece_merge_dropout, op11_scaled_sketch, op12_filter_audit, op13_token_alignment)}
 ORACLES = {"op3_digest_tree_merge": OP3_SQL, "op6_quality_rules": _op6_sql(), "op9_secret_trigram_index": OP9_SQL, "op12_filter_audit": _op12_sql()}
