@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import table  # noqa: F401  (queries take it from here)
 
 _written: list = []
+#: A join on (key, more) may keep sides that are dealt out by the key alone.
+PLANNING = {"all_keys": "spark.sql.requireAllClusterKeysForCoPartition"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,20 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings while a table is written; the earlier ones come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def saved(df: DataFrame, name: str, **more: str) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors. `more`: settings of PLANNING that hold meanwhile."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # `df` runs once: its shuffles need not outlive the write
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true", **{PLANNING[k]: v for k, v in more.items()}}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     release(spark)  # a long run of small steps would otherwise grow the driver's heap up to its limit
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that saved() has returned and that nothing reads any more."""
+    for df in tables:
+        _written[:] = [x for x in _written if x[1] != df.saved_at]
+        _delete(df.sparkSession, df.saved_at)
 
 
 def release(spark: SparkSession) -> None:

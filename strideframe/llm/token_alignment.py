@@ -8,7 +8,8 @@ aligned once and documents are put together from their chunks by joins:
 1. `chunks`: the different chunks with their numbers of occurrences.
 2. `tokenized`: their ids and token lengths in both tokenizers, and whether the tokens of each join to the chunk's own bytes.
 3. `aligned`: tokens by posexplode, ends by windowed cumulative lengths, an equi-join of both sides on (chunk, end), the running count of ends
-   that both have as the number of the group. `links` joins a group's distinct ids with their counts, so a group of many equal tokens makes few rows.
+   that both have as the number of the group, and the two sides joined by group. `links` pairs the tokens of a group; in groups of more than
+   SMALL_GROUP links it joins the distinct ids with their counts, so many equal tokens make few rows.
 4. `assembled`: a document's chunks meet the dictionary and are grouped again. Chunks with more than one in HOT of all occurrences (fewer than HOT, of
    HOT_BYTES bytes at most) are broadcast, their occurrences stay in the document's partition; the rest, each at most one in HOT, are joined by a shuffle.
 5. `pair_counts`: distinct (document, pair) rows counted; each chunk's sums over its links follow from them, and a document's from its chunks.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, saved
 from .packing import encoder
 from .sentencepiece_bpe import SPACE, model
 
@@ -35,6 +36,7 @@ BREAK = r"(?U) (?<=\S )(?=\S)"
 HOT = 1 << 20
 HOT_BYTES = 32
 BROADCAST_ROWS = 1_000_000
+SMALL_GROUP = 64
 TOKENS = "chunk string, hot boolean, whole boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
 SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -86,51 +88,56 @@ def tokenized(docs: DataFrame, ranks_path: str, b_path: str, hot: int = HOT) ->
     words = docs.where("text <> ''").select(F.explode(chunks(docs, splits(b_path))).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     words = saved(words, "chunks")
     total = words.agg(F.sum("n")).first()[0] or 0
-    words = words.select("chunk", ((F.col("n") * hot > total) & (F.octet_length("chunk") <= HOT_BYTES)).alias("hot"))
-    return saved(words.mapInArrow(_tokenize(ranks_path, b_path), TOKENS).withColumn("chunk_id", F.monotonically_increasing_id()), "tokens")
+    marked = words.select("chunk", ((F.col("n") * hot > total) & (F.octet_length("chunk") <= HOT_BYTES)).alias("hot"))
+    out = saved(marked.mapInArrow(_tokenize(ranks_path, b_path), TOKENS).withColumn("chunk_id", F.monotonically_increasing_id()), "tokens")
+    drop(words)
+    return out
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """Rows (chunk_id, g, a, b): the groups of whole chunks with the ids of both sides in order."""
-    ends = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sides = []
+    """Per chunk: chunk_id, chunk, hot, whole and its groups, an array of (g, a, b) with the ids of both sides in order; null if it is not whole.
+
+    The chunks are dealt out by their id once; windows, joins and groupings by chunk follow in the same partitions.
+    """
+    tokens = tokens.repartition("chunk_id")
+    upto = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("chunk_id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    sides = {}
     for side in ("a", "b"):
         rows = tokens.where("whole").select("chunk_id", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("size"))).alias("pos", "t"))
-        sides.append(rows.select("chunk_id", F.sum("t.size").over(ends).alias("end"), F.col("t.id").alias(side)))
-    both = sides[0].join(sides[1], ["chunk_id", "end"], "full")
-    before = Window.partitionBy("chunk_id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
-    marked = both.select("chunk_id", "end", "a", "b", F.coalesce(F.sum(cut).over(before), F.lit(0)).alias("g"))
-
-    def ids(side):
-        held = F.filter(F.array_sort(F.collect_list(F.struct("end", side))), lambda t: t[side].isNotNull())
-        return F.transform(held, lambda t: t[side]).alias(side)
-
-    return marked.groupBy("chunk_id", "g").agg(ids("a"), ids("b"))
-
-
-def pair(a, b):
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-
-
-def links(groups: DataFrame) -> DataFrame:
-    """Rows (chunk_id, pair, k): how many token occurrences of each id pair share a group."""
-    single = (F.size("a") == 1) & (F.size("b") == 1)
-    plain = groups.where(single).select("chunk_id", F.col("a")[0].alias("a"), F.col("b")[0].alias("b"), F.lit(1).cast("long").alias("k"))
-    sides = [groups.where(~single).select("chunk_id", "g", F.explode(s).alias(s)).groupBy("chunk_id", "g", s).agg(F.count(F.lit(1)).alias(f"k{s}")) for s in ("a", "b")]
-    joined = sides[0].join(sides[1], ["chunk_id", "g"]).select("chunk_id", "a", "b", (F.col("ka") * F.col("kb")).alias("k"))
-    return plain.unionByName(joined).groupBy("chunk_id", pair(F.col("a"), F.col("b")).alias("pair")).agg(F.sum("k").alias("k"))
-
-
-def dictionary(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+        sides[side] = rows.select("chunk_id", F.sum("t.size").over(upto).alias("end"), F.col("t.id").alias("id"))
+    grouped = []
+    for side, other in (("a", "b"), ("b", "a")):
+        cuts = sides[other].select("chunk_id", "end", F.lit(1).alias("cut"))
+        g = F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g")
+        marked = sides[side].join(cuts.hint("merge"), ["chunk_id", "end"], "left").select("chunk_id", "end", "id", g)
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"])
+        grouped.append(marked.groupBy("chunk_id", "g").agg(ids.alias(side)))
+    groups = grouped[0].join(grouped[1].hint("merge"), ["chunk_id", "g"]).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    return tokens.select("chunk_id", "chunk", "hot", "whole").join(groups.hint("merge"), "chunk_id", "left")
+
+
+def links(chunk_groups: DataFrame) -> DataFrame:
+    """Rows (chunk_id, hot, pair, k): k token occurrences of the id pair share a group; a pair has a row per group at least.
+
+    Small groups are exploded; in large ones the different ids of each side are counted and joined.
+    """
+    groups = chunk_groups.select("chunk_id", "hot", F.explode("groups").alias("x")).select("chunk_id", "hot", "x.g", "x.a", "x.b")
+    small = F.size("a").cast("long") * F.size("b") <= SMALL_GROUP
+    plain = groups.where(small).select("chunk_id", "hot", "b", F.explode("a").alias("a")).select("chunk_id", "hot", "a", F.explode("b").alias("b"), F.lit(1).cast("long").alias("k"))
+    sides = [groups.where(~small).select("chunk_id", "hot", "g", F.explode(s).alias(s)).groupBy("chunk_id", "hot", "g", s).agg(F.count(F.lit(1)).alias(f"k{s}")) for s in ("a", "b")]
+    joined = sides[0].join(sides[1], ["chunk_id", "hot", "g"]).select("chunk_id", "hot", "a", "b", (F.col("ka") * F.col("kb")).alias("k"))
+    pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    return plain.unionByName(joined).select("chunk_id", "hot", pair.alias("pair"), "k")
+
+
+def dictionary(chunk_groups: DataFrame) -> DataFrame:
     """Per chunk: chunk, chunk_id, hot, whole, its groups as text and their sums."""
-    text = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
-    counts = [F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")]
-    parts = groups.select("chunk_id", F.struct("g", text.alias("s")).alias("part"), *counts)
-    sums = [F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("n_a") * F.col("n_b")).alias("n_links")]
-    per = parts.groupBy("chunk_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), *sums)
-    per = per.select("chunk_id", F.array_join(F.transform("parts", lambda p: p["s"]), ";").alias("groups"), *SUMS)
-    return tokens.select("chunk_id", "chunk", "hot", "whole").join(per, "chunk_id", "left")
+    join = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    total = lambda size: F.aggregate("groups", F.lit(0).cast("long"), lambda n, x: n + size(x))
+    text = F.array_join(F.transform("groups", lambda x: F.concat(join(x["a"]), F.lit("|"), join(x["b"]))), ";")
+    sizes = {"n_a": lambda x: F.size(x["a"]), "n_b": lambda x: F.size(x["b"]), "n_groups": lambda x: F.lit(1), "n_links": lambda x: F.size(x["a"]).cast("long") * F.size(x["b"])}
+    return chunk_groups.select("chunk_id", "chunk", "hot", "whole", text.alias("groups"), *[total(f).alias(c) for c, f in sizes.items()])
 
 
 def assembled(docs: DataFrame, words: DataFrame, split: bool = True) -> DataFrame:
@@ -173,13 +180,15 @@ def pair_counts(held: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def op13_alignment(docs: DataFrame, ranks_path: str, b_path: str, hot: int = HOT) -> DataFrame:
     tokens = tokenized(docs, ranks_path, b_path, hot)
-    groups = saved(aligned(tokens), "groups")
-    words = saved(dictionary(tokens, groups), "words")
-    pairs = saved(links(groups).join(words.select("chunk_id", "hot"), "chunk_id"), "links")
-    held = saved(assembled(docs, words, splits(b_path)), "assembled")
+    chunk_groups = saved(aligned(tokens), "groups", all_keys="false")
+    drop(tokens)
+    held = saved(assembled(docs, dictionary(chunk_groups), splits(b_path)), "assembled")
+    pairs = saved(links(chunk_groups), "links")
+    drop(chunk_groups)
     counts = saved(pair_counts(held, pairs), "pairs")
     sums = pairs.join(_small(counts), "pair").groupBy("chunk_id", "hot")
     sums = saved(sums.agg(F.sum(F.col("k") * F.col("best")).alias("n_best"), F.sum(F.col("k") * F.col("n")).alias("count_sum")), "sums")
+    drop(pairs)
     found = []
     for ids, own in (("hot_ids", F.broadcast(sums.where("hot"))), ("rest_ids", sums.where(~F.col("hot")).hint("merge"))):
         rows = held.select("row", F.explode(ids).alias("chunk_id")).join(own, "chunk_id")
