@@ -44,6 +44,19 @@ def range_mean(df: DataFrame, keys: Sequence[str], at: str, half: int, columns:
     return df.withColumns({f"mean_{c}": F.avg(c).over(w) for c in columns})
 
 
+def running(df: DataFrame, keys: Sequence[str], at: str, width: int, value: str, how, name: str) -> DataFrame:
+    """Adds `name`: `how` (F.max or F.sum) of `value` over the rows of the key before this one; null where there are none.
+
+    Rows are looked at in blocks of `width` units of `at`, and each block gets the result of those before it, so a key with many rows is no single task.
+    """
+    df = df.withColumn("__block", F.floor(F.col(at) / width))
+    upto = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*keys, "__block").agg(how(value).alias("__sum")).select(*keys, "__block", how("__sum").over(upto).alias("__carry"))
+    inner = how(value).over(Window.partitionBy(*keys, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    both = F.coalesce(F.col("__inner") + F.col("__carry"), "__inner", "__carry") if how is F.sum else F.greatest("__inner", "__carry")
+    return df.withColumn("__inner", inner).join(blocks, [*keys, "__block"]).withColumn(name, both).drop("__block", "__inner", "__carry")
+
+
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Intervals of a key merged where they overlap or touch: keys, start, end."""
     w = Window.partitionBy(*keys).orderBy(start, end)

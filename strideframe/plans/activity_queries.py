@@ -288,23 +288,82 @@ WHAT_IF_SQL = f"{_UPTO}, {STATES_CTE}" + " UNION ALL ".join(
 
 
 def _ball(spark, sf_dir):
-    """A player's rows as frames of a ball: x and y in pixels, a candidate where the confidence is at least 0.4."""
+    """A player's rows as frames of a ball: x and y in pixels, a candidate where the confidence is at least 0.4, but in the second of every three times five days."""
     obs = observations(spark, sf_dir)
     frame = F.row_number().over(Window.partitionBy("player_id").orderBy("ts_us", "frame_index")) - 1
-    seen = F.col("confidence") >= 0.4
-    return obs.select(F.col("player_id").alias("analysis_id"), frame.alias("frame"), F.when(seen, F.col("court_x") * 10).alias("x"), F.when(seen, F.col("court_y") * 10).alias("y"), "confidence")
+    seen = (F.col("confidence") >= 0.4) & (F.expr("ts_us div 432000000000") % 3 != 1)
+    return obs.select(F.col("player_id").alias("analysis_id"), frame.cast("long").alias("frame"), F.when(seen, F.col("court_x") * 3).alias("x"), F.when(seen, F.col("court_y") * 3).alias("y"), "confidence")
 
 
 def ball_tracker(spark, sf_dir):
-    return B.reconstruct(_ball(spark, sf_dir), BallPolicy())
+    out = B.reconstruct(_ball(spark, sf_dir), BallPolicy())
+    return out.select("analysis_id", "frame", "segment", "interpolated", "gap", *[F.round(c, 6).alias(c) for c in ("x", "y", "confidence", "distance")])
 
 
-def ball_report(spark, sf_dir):
-    return B.report(_ball(spark, sf_dir))
+def ball_events(spark, sf_dir):
+    return B.events(_ball(spark, sf_dir), BallPolicy())
+
+
+def ball_segments(spark, sf_dir):
+    out = B.segments(B.reconstruct(_ball(spark, sf_dir), BallPolicy()), BallPolicy())
+    return out.withColumn("mean_confidence", F.round("mean_confidence", 6))
+
 
+def ball_path_report(spark, sf_dir):
+    return B.report(_ball(spark, sf_dir), BallPolicy())
 
+
+def ball_report(spark, sf_dir):
+    return B.detections(_ball(spark, sf_dir))
+
+
+#: The tracker frame by frame: bt has the state after every frame and, as o_*, the one before it.
+_BALL = f"""
+{OBS_SQL}, bf AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AND ts_us // 432000000000 % 3 <> 1 AS seen,
+    confidence AS c, court_x * 3 AS x, court_y * 3 AS y FROM obs),
+bt AS (
+  SELECT DISTINCT analysis_id, -1::BIGINT AS frame, NULL::BIGINT AS lf, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, NULL::DOUBLE AS lc, NULL::DOUBLE AS px, NULL::DOUBLE AS py, 0::BIGINT AS gap, 0::BIGINT AS segment,
+    'none' AS did, NULL::BIGINT AS o_f, NULL::DOUBLE AS o_x, NULL::DOUBLE AS o_y, NULL::DOUBLE AS o_c, 0::BIGINT AS o_gap, 0::BIGINT AS o_segment, NULL::DOUBLE AS way FROM bf
+  UNION ALL
+  SELECT analysis_id, frame, CASE WHEN did IN ('start', 'go') THEN frame ELSE lf END, CASE WHEN did IN ('start', 'go') THEN x ELSE lx END, CASE WHEN did IN ('start', 'go') THEN y ELSE ly END,
+    CASE WHEN did IN ('start', 'go') THEN c ELSE lc END, CASE did WHEN 'start' THEN NULL WHEN 'go' THEN lx ELSE px END, CASE did WHEN 'start' THEN NULL WHEN 'go' THEN ly ELSE py END,
+    CASE WHEN did IN ('start', 'go') THEN 0 WHEN did = 'none' THEN 0 ELSE gap + 1 END, CASE WHEN did = 'start' THEN segment + 1 ELSE segment END, did, lf, lx, ly, lc, gap, segment, CASE WHEN did = 'go' THEN way END
+  FROM (SELECT *, CASE WHEN NOT seen THEN CASE WHEN lf IS NULL THEN 'none' ELSE 'miss' END WHEN lf IS NULL OR gap > 8 THEN 'start'
+      WHEN way > greatest(42 + gap * 24, coalesce(sqrt((lx - px) * (lx - px) + (ly - py) * (ly - py)) * (gap + 1) * 2.5::DOUBLE, 0)) THEN 'jump' ELSE 'go' END AS did
+    FROM (SELECT f.*, b.lf, b.lx, b.ly, b.lc, b.px, b.py, b.gap, b.segment, sqrt((f.x - b.lx) * (f.x - b.lx) + (f.y - b.ly) * (f.y - b.ly)) AS way FROM bt b JOIN bf f ON f.analysis_id = b.analysis_id AND f.frame = b.frame + 1))),
+po AS (
+  SELECT analysis_id, frame, segment, false AS interpolated, 0::BIGINT AS gap, lx AS x, ly AS y, lc AS confidence, way AS distance FROM bt WHERE did IN ('start', 'go')
+  UNION ALL
+  SELECT analysis_id, o_f + k, segment, true, o_gap, o_x + k / (o_gap + 1)::DOUBLE * (lx - o_x), o_y + k / (o_gap + 1)::DOUBLE * (ly - o_y), least(o_c, lc) * 0.6::DOUBLE, NULL
+  FROM (SELECT *, unnest(generate_series(1, o_gap)) AS k FROM bt WHERE did = 'go' AND o_gap BETWEEN 1 AND 4)),
+ev AS (
+  SELECT analysis_id, frame, 'segment_started' AS event, segment, NULL::BIGINT AS gap, NULL AS detail FROM bt WHERE did = 'start'
+  UNION ALL SELECT analysis_id, o_f, 'segment_ended', o_segment, o_gap, 'association_gap_exceeded' FROM bt WHERE did = 'start' AND o_f IS NOT NULL
+  UNION ALL SELECT analysis_id, frame, 'gap_started', segment, NULL, NULL FROM bt WHERE did = 'miss' AND gap = 1
+  UNION ALL SELECT analysis_id, frame, 'reacquired', segment, o_gap, CASE WHEN o_gap <= 4 THEN 'short_gap_interpolated' ELSE 'long_gap_not_interpolated' END FROM bt WHERE did = 'go' AND o_gap > 0
+  UNION ALL SELECT analysis_id, lf, 'segment_ended', segment, gap, 'stream_ended' FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY frame DESC) AS z FROM bt) WHERE z = 1 AND lf IS NOT NULL)"""
+
+BALL_TRACKER_SQL = f"WITH RECURSIVE {_BALL} SELECT analysis_id, frame, segment, interpolated, gap, round(x, 6) AS x, round(y, 6) AS y, round(confidence, 6) AS confidence, round(distance, 6) AS distance FROM po"
+BALL_EVENTS_SQL = f"WITH RECURSIVE {_BALL} SELECT * FROM ev"
+BALL_SEGMENTS_SQL = f"""
+WITH RECURSIVE {_BALL} SELECT analysis_id, segment, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS points, count(*) FILTER (NOT interpolated) AS observed, round(avg(confidence), 6) AS mean_confidence,
+  count(*) FILTER (NOT interpolated) < 3 AS fragment FROM po GROUP BY 1, 2
+"""
+BALL_PATH_REPORT_SQL = f"""
+WITH RECURSIVE {_BALL},
+fr AS (SELECT analysis_id, count(*) AS frames, count(*) FILTER (seen) AS detected FROM bf GROUP BY 1),
+pp AS (SELECT analysis_id, count(*) FILTER (NOT interpolated) AS observed, count(*) FILTER (interpolated) AS interpolated, quantile_cont(confidence, 0.1) FILTER (NOT interpolated) AS p10,
+    quantile_cont(confidence, 0.5) FILTER (NOT interpolated) AS p50, quantile_cont(confidence, 0.9) FILTER (NOT interpolated) AS p90 FROM po GROUP BY 1),
+ee AS (SELECT analysis_id, count(*) FILTER (event = 'segment_started') AS segments, count(*) FILTER (event = 'reacquired') AS reacquired, max(gap) FILTER (gap > 0) AS longest_gap, avg(gap) FILTER (gap > 0) AS mean_gap FROM ev GROUP BY 1),
+jj AS (SELECT analysis_id, count(*) FILTER (did = 'jump') AS impossible FROM bt GROUP BY 1),
+al AS (SELECT fr.*, coalesce(observed, 0) AS observed, coalesce(interpolated, 0) AS interpolated, coalesce(segments, 0) AS segments, coalesce(reacquired, 0) AS reacquired, coalesce(impossible, 0) AS impossible,
+    coalesce(longest_gap, 0) AS longest_gap, round(coalesce(mean_gap, 0), 6) AS mean_gap, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90
+  FROM fr LEFT JOIN pp USING (analysis_id) LEFT JOIN ee USING (analysis_id) LEFT JOIN jj USING (analysis_id))
+SELECT *, round(detected / frames::DOUBLE, 6) AS coverage, round((observed + interpolated) / frames::DOUBLE, 6) AS path_coverage, round(greatest(segments - 1, 0) / greatest(observed, 1)::DOUBLE, 6) AS fragmentation,
+  CASE WHEN observed = 0 THEN 'no_ball_detected' WHEN observed < 3 THEN 'insufficient_observations' WHEN segments >= 3 AND segments = observed THEN 'excessive_track_fragmentation' ELSE 'available' END AS status FROM al
+"""
 BALL_REPORT_SQL = f"""
-WITH {OBS_SQL}, f AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AS seen, confidence FROM obs),
+WITH {OBS_SQL}, f AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AND ts_us // 432000000000 % 3 <> 1 AS seen, confidence FROM obs),
 g AS (SELECT *, frame - lag(frame) OVER (PARTITION BY analysis_id ORDER BY frame) - 1 AS gap FROM f WHERE seen),
 a AS (SELECT analysis_id, count(*) AS frames, count(*) FILTER (seen) AS detected FROM f GROUP BY 1),
 b AS (SELECT analysis_id, quantile_cont(confidence, 0.1) AS p10, quantile_cont(confidence, 0.5) AS p50, quantile_cont(confidence, 0.9) AS p90, max(gap) AS longest_gap, avg(gap) FILTER (gap > 0) AS mean_gap FROM g GROUP BY 1)
@@ -316,11 +375,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         association_edges, association_groups, candidate_rollup, candidate_selection, velocity_direction, observed_islands, concurrency_sweep, window_features,
-        window_states, state_intervals, state_totals, reason_histogram, review_overlap_state, boundary_error, threshold_what_if, ball_tracker, ball_report,
+        window_states, state_intervals, state_totals, reason_histogram, review_overlap_state, boundary_error, threshold_what_if, ball_tracker, ball_events, ball_segments, ball_path_report, ball_report,
     )
 }
 ORACLES = {
     "association_edges": EDGES_SQL, "candidate_rollup": ROLLUP_SQL, "candidate_selection": SELECTION_SQL, "velocity_direction": VELOCITY_SQL, "observed_islands": ISLANDS_SQL,
     "concurrency_sweep": SWEEP_SQL, "window_features": FEATURES_SQL, "window_states": STATES_SQL, "state_intervals": INTERVALS_SQL, "state_totals": TOTALS_SQL,
     "reason_histogram": REASONS_SQL, "review_overlap_state": REVIEW_SQL, "boundary_error": BOUNDARY_SQL, "threshold_what_if": WHAT_IF_SQL, "ball_report": BALL_REPORT_SQL,
+    "ball_tracker": BALL_TRACKER_SQL, "ball_events": BALL_EVENTS_SQL, "ball_segments": BALL_SEGMENTS_SQL, "ball_path_report": BALL_PATH_REPORT_SQL,
 }

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ball as B
 from ..operators import decisions as D
 from ..operators import invariants as I
 from ..operators import tracks as T
 from ..session import table
 from ..sources.observations import OBS_SQL, observations
-from .activity_queries import ball_tracker
 from .decision_queries import _CONTRIBUTIONS, _reports, _sql
 from .movement_queries import COURT, FRAGMENTS_CTE, POLICY
-from .policy import BallPolicy
 
 #: Limits that fit events days apart.
 EVENT_MERGE = I.MergePolicy(max_gap=432_000.0, max_speed=2e-4)
@@ -203,15 +200,10 @@ def shared_members(spark, sf_dir):
 SHARED_SQL = "SELECT l_partkey, count(DISTINCT l_suppkey) AS groups FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1"
 
 
-def ball_segments(spark, sf_dir):
-    """The segments of the ball's paths; the paths are a fold, so SQL does not check them."""
-    return B.segments(ball_tracker(spark, sf_dir), BallPolicy())
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        merge_validation, box_constraints, interval_overlaps, frame_order, candidate_eligibility, candidate_actions, report_comparability, artifact_rollup, preview_rows, expired_folders, shared_members, ball_segments,
+        merge_validation, box_constraints, interval_overlaps, frame_order, candidate_eligibility, candidate_actions, report_comparability, artifact_rollup, preview_rows, expired_folders, shared_members,
     )
 }
 ORACLES = dict(

@@ -77,6 +77,12 @@ class BallPolicy:
     interpolate: int = 4
     restart: int = 8
     min_segment: int = 3
+    min_observations: int = 3
+    interpolated_confidence: float = 0.6
+
+    def __post_init__(self):
+        if self.base <= 0 or min(self.per_gap, self.velocity_factor, self.interpolate) < 0 or self.restart < self.interpolate:
+            raise ValueError("distances and gaps of a ball policy must be positive, and a restart no earlier than interpolation ends")
 
 
 #: The driver's `events` are hours apart: the same operators with thresholds on that scale.

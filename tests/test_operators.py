@@ -7,8 +7,8 @@ from strideframe.sources import observations as S
 
 def test_ball_interpolates_short_gaps_and_restarts_after_long_ones(spark):
     seen = {0: (0.0, 0.0), 1: (5.0, 0.0), 4: (20.0, 0.0), 5: (900.0, 0.0), 20: (30.0, 0.0)}
-    rows = [(1, f, *seen.get(f, (None, None))) for f in range(21)]
-    got = sorted(map(tuple, ball.reconstruct(spark.createDataFrame(rows, "analysis_id long, frame long, x double, y double"), BallPolicy()).collect()))
+    rows = [(1, f, *seen.get(f, (None, None)), 0.5) for f in range(21)]
+    got = sorted(map(tuple, ball.reconstruct(spark.createDataFrame(rows, "analysis_id long, frame long, x double, y double, confidence double"), BallPolicy()).collect()))
     assert [(r[1], r[2], r[4], r[5]) for r in got] == [(0, 0.0, 1, False), (1, 5.0, 1, False), (2, 10.0, 1, True), (3, 15.0, 1, True), (4, 20.0, 1, False), (20, 30.0, 2, False)]
 
 
