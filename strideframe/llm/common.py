@@ -44,13 +44,13 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, name: str, **more: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy", **more: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors. `more`: settings of PLANNING that hold meanwhile."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # `df` runs once: its shuffles need not outlive the write
     with settings(spark, {CLEANUP: "true", **{PLANNING[k]: v for k, v in more.items()}}):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     _written.append((spark, path))
     release(spark)  # a long run of small steps would otherwise grow the driver's heap up to its limit
     out = spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ aligned once and documents are put together from their chunks by joins:
 5. `pair_counts`: distinct (document, pair) rows counted; each chunk's sums over its links follow from them, and a document's from its chunks.
 
 A document in which a chunk's tokens do not join to its bytes (a literal U+2581, say) has no tokens, as do null and empty texts. Repeated rows are
-separate documents. Texts are read whole, however long; one without single spaces is one chunk. Ties for the best partner of an id all count. An
+separate documents; they are numbered as they are scanned, so the documents should be a stored table. Texts are read whole, however long; one without single spaces is one chunk. Ties for the best partner of an id all count. An
 empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -38,7 +38,8 @@ HOT_BYTES = 32
 BROADCAST_ROWS = 1_000_000
 SMALL_GROUP = 64
 TOKENS = "chunk string, hot boolean, whole boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
-SUMS = ("n_a", "n_b", "n_groups", "n_links")
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+GROUPS = "array<struct<g:bigint,a:array<int>,b:array<int>>>"
 
 
 def chunks(docs: DataFrame, split: bool = True):
@@ -86,12 +87,19 @@ def _tokenize(ranks_path: str, b_path: str):
 def tokenized(docs: DataFrame, ranks_path: str, b_path: str, hot: int = HOT) -> DataFrame:
     """The different chunks: id, chunk, hot, whole, ids and lengths of their tokens. Equal chunks are counted before they are shuffled."""
     words = docs.where("text <> ''").select(F.explode(chunks(docs, splits(b_path))).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-    words = saved(words, "chunks")
+    words = saved(words, "chunks", compression="zstd")
     total = words.agg(F.sum("n")).first()[0] or 0
     marked = words.select("chunk", ((F.col("n") * hot > total) & (F.octet_length("chunk") <= HOT_BYTES)).alias("hot"))
-    out = saved(marked.mapInArrow(_tokenize(ranks_path, b_path), TOKENS).withColumn("chunk_id", F.monotonically_increasing_id()), "tokens")
+    out = saved(marked.mapInArrow(_tokenize(ranks_path, b_path), TOKENS).withColumn("chunk_id", F.monotonically_increasing_id()), "tokens", compression="zstd")
     drop(words)
-    return out
+    # numbers without holes between tasks are shorter
+    task = F.shiftright("chunk_id", 33)
+    counts = sorted((r["t"], r["n"]) for r in out.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per task
+    starts = dict(zip([t for t, _ in counts], np.cumsum([0, *[n for _, n in counts]]).tolist()))
+    first = F.broadcast(docs.sparkSession.createDataFrame(list(starts.items()), "task long, start long"))
+    dense = out.join(first, task == F.col("task")).withColumn("chunk_id", F.col("start") + F.col("chunk_id").bitwiseAND((1 << 33) - 1)).drop("task", "start")
+    dense.saved_at = out.saved_at
+    return dense
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
@@ -132,35 +140,46 @@ def links(chunk_groups: DataFrame) -> DataFrame:
 
 
 def dictionary(chunk_groups: DataFrame) -> DataFrame:
-    """Per chunk: chunk, chunk_id, hot, whole, its groups as text and their sums."""
+    """Per chunk: chunk, chunk_id, hot and its groups as text, null if it is not whole."""
     join = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
-    total = lambda size: F.aggregate("groups", F.lit(0).cast("long"), lambda n, x: n + size(x))
     text = F.array_join(F.transform("groups", lambda x: F.concat(join(x["a"]), F.lit("|"), join(x["b"]))), ";")
+    return chunk_groups.select("chunk_id", "chunk", "hot", text.alias("groups"))
+
+
+def chunk_sums(chunk_groups: DataFrame) -> DataFrame:
+    """Per chunk: chunk_id, hot and its numbers of tokens, groups and links."""
+    total = lambda size: F.aggregate(F.coalesce("groups", F.array().cast(GROUPS)), F.lit(0).cast("long"), lambda n, x: n + size(x))
     sizes = {"n_a": lambda x: F.size(x["a"]), "n_b": lambda x: F.size(x["b"]), "n_groups": lambda x: F.lit(1), "n_links": lambda x: F.size(x["a"]).cast("long") * F.size(x["b"])}
-    return chunk_groups.select("chunk_id", "chunk", "hot", "whole", text.alias("groups"), *[total(f).alias(c) for c, f in sizes.items()])
+    return chunk_groups.select("chunk_id", "hot", *[total(f).alias(c) for c, f in sizes.items()])
 
 
 def assembled(docs: DataFrame, words: DataFrame, split: bool = True) -> DataFrame:
-    """Per document with a text: row, doc_id, sums, the groups' digest and the ids of its chunks (hot ones and others); all empty if it is not whole."""
-    placed = docs.where("text <> ''").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").repartition("row")
-    placed = placed.select("row", "doc_id", F.posexplode(chunks(docs, split)).alias("pos", "chunk"))
+    """Per document with a text: row, doc_id, the groups' digest and the ids of its chunks (hot ones and others); no digest and ids if a chunk is not whole.
+
+    The rarer chunks are put to their documents first and written, so the shuffles of the two parts do not take up disk together.
+    """
+    docs = docs.where("text <> ''").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # doc_id goes along everywhere, so that all parts scan the same columns and number the rows alike
+    placed = lambda df: df.select("row", "doc_id", F.posexplode(chunks(df, split)).alias("pos", "chunk"))
     # fewer than HOT rows of at most HOT_BYTES bytes
     hot = F.broadcast(words.where("hot"))
-    rest = placed.join(hot.select("chunk"), "chunk", "left_anti").join(words.where(~F.col("hot")).hint("merge"), "chunk")
 
     def per_row(rows, ids):
-        sums = [F.sum(c).alias(c) for c in SUMS]
-        held = F.collect_list(F.struct("pos", "groups")).alias("parts"), F.collect_list("chunk_id").alias(ids)
-        return rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.min("whole").alias("whole"), *sums, *held)
+        parts = F.collect_list(F.struct("pos", F.coalesce("groups", F.lit("")).alias("groups"))).alias("parts")
+        return rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), parts, F.collect_list("chunk_id").alias(ids), F.bool_and(F.col("groups").isNotNull()).alias("whole"))
 
-    both = per_row(placed.join(hot, "chunk"), "hot_ids").alias("h").join(per_row(rest, "rest_ids").alias("r"), "row", "full")
+    rest = placed(docs).join(hot.select("chunk"), "chunk", "left_anti").join(words.where(~F.col("hot")).hint("merge"), "chunk")
+    rest = saved(per_row(rest.select("row", "doc_id", "pos", "chunk_id", "groups").repartition("row"), "rest_ids"), "rest", compression="zstd")
+    hot = per_row(placed(docs.repartition("row")).join(hot, "chunk").select("row", "doc_id", "pos", "chunk_id", "groups"), "hot_ids")
+    both = hot.alias("h").join(rest.alias("r"), "row", "full")
     whole = F.coalesce("h.whole", F.lit(True)) & F.coalesce("r.whole", F.lit(True))
-    sums = [F.when(whole, F.coalesce(f"h.{c}", F.lit(0)) + F.coalesce(f"r.{c}", F.lit(0))).otherwise(0).alias(c) for c in SUMS]
-    none = F.array().cast("array<struct<pos:int,groups:string>>")
-    parts = F.array_sort(F.concat(F.coalesce("h.parts", none), F.coalesce("r.parts", none)))
+    no_parts, no_ids = F.array().cast("array<struct<pos:int,groups:string>>"), F.array().cast("array<long>")
+    parts = F.array_sort(F.concat(F.coalesce("h.parts", no_parts), F.coalesce("r.parts", no_parts)))
     digest = F.when(whole, F.sha2(F.array_join(F.transform(parts, lambda p: p["groups"]), ";"), 256)).otherwise("")
-    ids = [F.when(whole, F.coalesce(c, F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>")).alias(c) for c in ("hot_ids", "rest_ids")]
-    return both.select("row", F.coalesce("h.doc_id", "r.doc_id").alias("doc_id"), *sums, digest.alias("groups_sha256"), *ids)
+    ids = [F.when(whole, F.coalesce(c, no_ids)).otherwise(no_ids).alias(c) for c in ("hot_ids", "rest_ids")]
+    out = saved(both.select("row", F.coalesce("h.doc_id", "r.doc_id").alias("doc_id"), digest.alias("groups_sha256"), *ids), "assembled", compression="zstd")
+    drop(rest)
+    return out
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -180,21 +199,21 @@ def pair_counts(held: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def op13_alignment(docs: DataFrame, ranks_path: str, b_path: str, hot: int = HOT) -> DataFrame:
     tokens = tokenized(docs, ranks_path, b_path, hot)
-    chunk_groups = saved(aligned(tokens), "groups", all_keys="false")
+    chunk_groups = saved(aligned(tokens), "groups", compression="zstd", all_keys="false")
     drop(tokens)
-    held = saved(assembled(docs, dictionary(chunk_groups), splits(b_path)), "assembled")
-    pairs = saved(links(chunk_groups), "links")
+    held = assembled(docs, dictionary(chunk_groups), splits(b_path))
+    pairs, sizes = saved(links(chunk_groups), "links", compression="zstd"), saved(chunk_sums(chunk_groups), "sizes", compression="zstd")
     drop(chunk_groups)
     counts = saved(pair_counts(held, pairs), "pairs")
-    sums = pairs.join(_small(counts), "pair").groupBy("chunk_id", "hot")
-    sums = saved(sums.agg(F.sum(F.col("k") * F.col("best")).alias("n_best"), F.sum(F.col("k") * F.col("n")).alias("count_sum")), "sums")
-    drop(pairs)
+    sums = pairs.join(_small(counts), "pair").groupBy("chunk_id").agg(F.sum(F.col("k") * F.col("best")).alias("n_best"), F.sum(F.col("k") * F.col("n")).alias("count_sum"))
+    sums = saved(sizes.join(sums, "chunk_id"), "sums", compression="zstd")
+    drop(pairs, sizes)
     found = []
     for ids, own in (("hot_ids", F.broadcast(sums.where("hot"))), ("rest_ids", sums.where(~F.col("hot")).hint("merge"))):
         rows = held.select("row", F.explode(ids).alias("chunk_id")).join(own, "chunk_id")
-        found.append(rows.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
-    found = found[0].unionByName(found[1]).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    own = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
-    columns = ["doc_id", *SUMS, *own, "groups_sha256"]
-    none = docs.where("coalesce(text, '') = ''").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in (*SUMS, "n_best", "count_sum")], F.lit("").alias("groups_sha256"))
-    return held.drop("hot_ids", "rest_ids").join(found, "row", "left").select(columns).unionByName(none)
+        found.append(rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in SUMS]))
+    found = found[0].unionByName(found[1]).groupBy("row").agg(*[F.sum(c).alias(c) for c in SUMS])
+    zero = F.lit(0).cast("long")
+    none = docs.where("coalesce(text, '') = ''").select("doc_id", *[zero.alias(c) for c in SUMS], F.lit("").alias("groups_sha256"))
+    out = held.select("row", "doc_id", "groups_sha256").join(found, "row", "left")
+    return out.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in SUMS], "groups_sha256").unionByName(none)
