@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import activity_queries, artifact_queries, check_queries, decision_queries, merge_queries, movement_queries, record_queries
+from . import activity_queries, artifact_queries, check_queries, decision_queries, merge_queries, movement_queries, record_queries, run_queries
 
-MODULES = (movement_queries, activity_queries, record_queries, decision_queries, check_queries, artifact_queries, merge_queries)
+MODULES = (movement_queries, activity_queries, record_queries, decision_queries, check_queries, artifact_queries, merge_queries, run_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
