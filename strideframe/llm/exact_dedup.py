@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +25,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """One row per document: `key`, the digest, length and check hash of its text with A-Z lowered; `run` is its input partition."""
+    """One row per document: `key`, the digest, length and check hash of its text with A-Z lowered."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower())
     number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     key = F.concat(F.unhex(F.sha2("t", 256)), number(F.octet_length("t").cast("long")), number(F.xxhash64("t")))
-    return docs.select("doc_id", text.alias("t"), F.spark_partition_id().alias("run")).select("doc_id", "run", key.alias("key"))
+    return docs.select("doc_id", text.alias("t")).select("doc_id", key.alias("key"))
 
 
 RUN = "lane int, run int, block int, keys binary, ids binary, known binary, counts binary"
@@ -84,32 +85,36 @@ def sorted_runs(rows: DataFrame, keep: str, lanes: int) -> DataFrame:
     """Each partition's runs, one of each lane, of digest_rows()."""
 
     def run(batches):
-        held: dict[int, tuple] = {}
-        number = None
+        # a lane's runs, each at least twice as long as the one behind it
+        held: dict[int, list[tuple]] = {}
         for pdf in batches:
             if not len(pdf):
                 continue
-            number = int(pdf["run"].iloc[0])
             keys = np.array([x.ljust(KEY_BYTES, b"\0") for x in pdf["key"]], f"S{KEY_BYTES}")
             ids, known = pdf["id"].to_numpy(np.int64), pdf["known"].to_numpy(bool)
             lane = keys.view(np.uint8).reshape(-1, KEY_BYTES)[:, :4].copy().view(">u4").ravel().astype(np.int64) * lanes >> 32
             for k in np.unique(lane):
-                own = run_of(keys[lane == k], ids[lane == k], known[lane == k], keep)
-                held[k] = merged(held[k], own, keep) if k in held else own
+                own = held.setdefault(k, [])
+                own.append(run_of(keys[lane == k], ids[lane == k], known[lane == k], keep))
+                while len(own) > 1 and len(own[-2][0]) < 2 * len(own[-1][0]):
+                    own[-2:] = [merged(own[-2], own[-1], keep)]
+        number = TaskContext.get().partitionId()  # of the task that makes the runs, so each lane has one run of a number
         for k, own in held.items():
-            yield _packed(int(k), number, own)
+            while len(own) > 1:
+                own[-2:] = [merged(own[-2], own[-1], keep)]
+            yield _packed(int(k), number, own[0])
 
     # pandas would turn ids beside a null into floating-point numbers
-    return rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "run", "key").mapInPandas(run, RUN)
+    return rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "key").mapInPandas(run, RUN)
 
 
 def tree_merge(rows: DataFrame, keep: str = "smallest", fan_in: int = 8, lanes: int | None = None) -> DataFrame:
     """One row per distinct text of digest_rows(): key, keep_id and group_size."""
-    n, last = rows.agg(F.count(F.lit(1)), F.max("run")).first()
+    n = rows.count()
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lanes = lanes or max(2 * tasks, -(-n // LANE_ROWS))
-    run_count = (last or 0) + 1
     runs = saved(sorted_runs(rows, keep, lanes), "runs")
+    run_count = (runs.agg(F.max("run")).first()[0] or 0) + 1
 
     def merge(key, pdf):
         runs = [_unpacked(own.sort_values("block")) for _, own in pdf.groupby("run")]
@@ -137,7 +142,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     rows = saved(digest_rows(docs), "digests")
     groups = saved(tree_merge(rows, keep), "digest-groups")
     digest = F.lower(F.hex(F.substring("key", 1, 32)))
-    return with_group(rows.drop("run"), groups, ["key"], "group_size", rows.count()).select(
+    return with_group(rows, groups, ["key"], "group_size", rows.count()).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), digest.alias("text_sha256")
     )
 

@@ -533,12 +533,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = saved(jaccard_components(docs), "components")
     leads = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row_id")).alias("lead"))
     lead = leads.select(F.col("lead.row_id").alias("__key"))
-    # of rows that repeat id and text one stays: with the least values in the other columns
+    # of rows that repeat id and text one stays: with the least text of its other columns
     times = rows.join(lead, F.col("row_id") == F.col("__key"), "left_semi").groupBy(F.col("row_id").alias("__key")).agg((F.count(F.lit(1)) > 1).alias("__again"))
     stay = times.unionByName(rows.where("component IS NULL").select(F.col("row_id").alias("__key"), F.lit(False).alias("__again")).distinct())
-    out = docs.withColumn("__own", row_id()).join(stay.hint("shuffle_hash"), F.col("__own") == F.col("__key"))
-    again = out.where("__again").groupBy("__own").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return out.where("NOT __again").select(*docs.columns).unionByName(again.select("__row.*"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")  # any type has an order as text
+    out = docs.select(kept, order.alias("order"), row_id().alias("__own")).join(stay.hint("shuffle_hash"), F.col("__own") == F.col("__key"))
+    again = out.where("__again").groupBy("__own").agg(F.min_by("kept", "order").alias("kept"))
+    return out.where("NOT __again").select("kept").unionByName(again.select("kept")).select("kept.*")
 
 
 def op10_universe_partition(docs: DataFrame) -> DataFrame:

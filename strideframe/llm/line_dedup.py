@@ -177,7 +177,9 @@ def dedup_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST_BY
     key = row_id()
     keyed = docs.select(key.alias("row_key"), "doc_id", "text")
     gone = repeated_lines(keyed, whole, least_bytes).select(F.col("row_key").alias("__key"), "removed")
-    out = docs.select(*columns, "text", key.alias("__own")).join(gone.hint("shuffle_hash"), F.col("__own") == F.col("__key"), "left")
+    # the caller's columns stand apart, so none of them meets a name used here
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__kept") if columns else F.lit(0).alias("__kept")
+    out = docs.select(kept, "text", key.alias("__own")).join(gone.hint("shuffle_hash"), F.col("__own") == F.col("__key"), "left")
     # runs of lines that stay: between -1, the removed lines and the end
     lines = F.split("text", "\n")
     out = out.withColumn("__lines", F.when(F.col("removed").isNotNull(), lines))
@@ -190,7 +192,7 @@ def dedup_lines(docs: DataFrame, whole: bool = True, least_bytes: int = LEAST_BY
         )
     )
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    return out.select(*columns, text.alias("text"), F.col("removed").alias("removed_lines"))
+    return out.select(*[F.col("__kept")[c].alias(c) for c in columns], text.alias("text"), F.col("removed").alias("removed_lines"))
 
 
 def op7_line_chunks(docs: DataFrame) -> DataFrame:

@@ -166,8 +166,9 @@ def joined(found: Column) -> Column:
 
 def masked(docs: DataFrame, rules=RULES) -> DataFrame:
     """`docs` with every secret in `text` replaced by [KIND]; of overlapping spans the first to start covers the rest."""
-    columns = docs.columns
-    df = scan(docs, rules)
+    # the caller's columns stand apart, so none of them meets a name used here
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    df = scan(docs.select(kept, "doc_id", "text"), rules)
     cut = F.aggregate(
         F.col("secrets"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
@@ -181,7 +182,7 @@ def masked(docs: DataFrame, rules=RULES) -> DataFrame:
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("text", acc["at"] + 1, F.length("text"))),
     )
     text = F.when(F.size("secrets") > 0, cut).otherwise(F.col("text"))
-    return df.withColumn("text", text).select(*columns)
+    return df.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns])
 
 
 def op9_trigram_index(docs: DataFrame) -> DataFrame:

@@ -28,3 +28,17 @@ def test_empty_and_null_ids(spark):
     assert exact_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     got = exact_groups(spark.createDataFrame([(None, "a", "", ""), (3, "a", "", ""), (3, "a", "", "")], SCHEMA)).collect()
     assert {(r.keep_id, r.group_size) for r in got} == {(3, 3)}
+
+
+def test_split_files_make_no_double_runs(spark, monkeypatch):
+    small = {"parquet.block.size": "20000", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1000", "parquet.page.size": "4000"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(i, f"text number {i % 2000}", "x", None) for i in range(6000)]
+        got = exact_groups(spark.createDataFrame(rows, SCHEMA).coalesce(1), "largest").collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, 4000 + i % 2000, 3) for i in range(6000)}

@@ -75,3 +75,11 @@ def test_queries_give_special_tokens_their_ids(spark, tmp_path):
     want = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
     for got in (queries.op2_minimum_bin_slack(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
         assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_000_000 + "b", "x \t" + " " * 1_000_000, "a" * 300_000, "7" * 300_000, "<|endoftext|>" + " " * 150_000 + "end"])
+def test_long_runs_equal_the_library(text):
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert P.encoder(RANKS, P.special_tokens(public_tokenizers.path("byte_bpe_50k.json")))(text) == whole.encode(text, add_special_tokens=False).ids
+    whole.encode_special_tokens = True
+    assert P.encoder(RANKS)(text) == whole.encode(text, add_special_tokens=False).ids
