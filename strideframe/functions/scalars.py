@@ -95,12 +95,25 @@ def attempt_prefix(stage: Column, attempt: Column) -> Column:
 
 
 def short_id(value: Column) -> Column:
-    return F.when(F.length(value) > 12, F.concat(F.substring(value, 1, 8), F.lit("…"), F.right(value, F.lit(4)))).otherwise(value)
+    return F.when(F.length(value) > 12, F.concat(F.substring(value, 1, 8), F.lit("..."), F.right(value, F.lit(4)))).otherwise(value)
 
 
 def duration_text(seconds: Column) -> Column:
-    whole = F.floor(seconds + 0.5).cast("long")
-    return F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), (whole % 60).cast("string"), F.lit("s"))
+    """Rounded seconds, never below 0, with minutes from one on."""
+    whole = F.greatest(F.floor(seconds + 0.5).cast("long"), F.lit(0))
+    return F.when(whole >= 60, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%ds", whole))
+
+
+def distance_text(feet: Column) -> Column:
+    return F.when(_is_number(feet), F.format_string("%.1f ft", feet)).otherwise("Unavailable")
+
+
+def tracked_time_text(seconds: Column) -> Column:
+    return F.when(~_is_number(seconds), "Unavailable").when(seconds < 60, F.format_string("%.1f sec", seconds)).otherwise(F.format_string("%.1f min", seconds / 60))
+
+
+def _is_number(value: Column) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
 def frame_number(name: Column) -> Column:
@@ -108,13 +121,16 @@ def frame_number(name: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Bytes as whole B, KB, MB or GB."""
-    unit = lambda n, name: F.concat(F.floor(size / n).cast("string"), F.lit(f" {name}"))
-    return F.when(size < 1024, unit(1, "B")).when(size < 1024**2, unit(1024, "KB")).when(size < 1024**3, unit(1024**2, "MB")).otherwise(unit(1024**3, "GB"))
+    """Bytes as they are, KB and MB with one decimal, GB with two."""
+    part = lambda n, text: F.format_string(text, size / F.lit(float(n)))
+    return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024**2, part(1024, "%.1f KB")).when(size < 1024**3, part(1024**2, "%.1f MB")).otherwise(part(1024**3, "%.2f GB"))
 
 
-def change_label(delta: Column, tolerance: float) -> Column:
-    return F.when(F.abs(delta) < tolerance, "stable").when(delta > 0, F.concat(F.lit("up "), F.abs(delta).cast("long").cast("string"))).otherwise(F.concat(F.lit("down "), F.abs(delta).cast("long").cast("string")))
+def change_label(direction: Column, change: Column, unit: Column) -> Column:
+    """What a metric has done, by its direction (HIGHER, LOWER or STABLE) and change."""
+    amount = F.concat(F.format_string("%.1f", F.abs(change)), F.when(unit == "%", "%").otherwise(F.concat(F.lit(" "), unit)))
+    moved = F.concat(F.when(direction == "HIGHER", "Increased by ").otherwise("Decreased by "), amount)
+    return F.when(direction.isNull() | change.isNull(), "Unavailable").when(direction == "STABLE", "Remained similar").otherwise(moved)
 
 
 def capacity_state(free: Column, asked: Column, warning: int, stop: int) -> Column:

@@ -243,10 +243,12 @@ def readiness_checks(df: DataFrame, p: RecordingPolicy = RecordingPolicy()) -> D
 
 
 def count_metric(numerator: Column, denominator: Column, samples: Column, least: int = 5) -> dict[str, Column]:
-    """Availability of a count metric, its percentage (hidden while provisional) and its text."""
+    """Availability of a count metric, its percentage (rounded half to even, hidden while provisional) and its text."""
     state = F.when(denominator == 0, "NOT_REVIEWED").when(samples < least, "PROVISIONAL").otherwise("AVAILABLE")
-    percent = F.round(100 * numerator / F.nullif(denominator, F.lit(0)), 1)
-    return {"availability": state, "percent": F.when(state == "AVAILABLE", percent), "text": F.concat(numerator.cast("string"), F.lit("/"), denominator.cast("string"))}
+    percent = F.bround(F.try_divide(numerator, denominator) * 100, 1)
+    share = F.when(percent.isNull(), "not available").otherwise(F.format_string("%.1f%%", percent))
+    text = F.format_string("%d/%d (%s)%s", numerator, denominator, share, F.when(samples < least, " — provisional").otherwise(""))
+    return {"availability": state, "percent": F.when(state == "AVAILABLE", percent), "text": text}
 
 
 def ordinal_least(column: Column, ranks: list[str]) -> Column:

@@ -184,12 +184,18 @@ SELECT o_custkey, o_orderkey, position FROM r WHERE position IN (0, n // 2, n -
 
 
 def expired_folders(spark, sf_dir):
-    """Players taken as folders, whose last event is before 2024-01-29, with their events and bytes of properties."""
+    """Players taken as folders, whose last event is before the mean of all last events, with their events and bytes of properties."""
     e = table(spark, sf_dir, "events").withColumn("bytes", F.octet_length("props").cast("long"))
-    return I.expired(e, "user_id", "ts", "bytes", F.expr("timestamp_ntz'2024-01-29 00:00:00'")).select("user_id", "files", "bytes")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    last = e.groupBy("user_id").agg(F.max(at).alias("last")).agg(F.sum("last").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    cutoff = F.lit(last["s"] // last["n"] if last["n"] else 0)
+    return I.expired(e.withColumn("at", at), "user_id", "at", "bytes", cutoff).select("user_id", "files", "bytes")
 
 
-EXPIRED_SQL = "SELECT user_id, count(*) AS files, sum(strlen(props))::BIGINT AS bytes FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-29'"
+EXPIRED_SQL = """
+WITH l AS (SELECT user_id, floor(epoch(max(ts)))::BIGINT AS last FROM events GROUP BY 1)
+SELECT user_id, count(*) AS files, sum(strlen(props))::BIGINT AS bytes FROM events JOIN l USING (user_id) WHERE last < (SELECT sum(last) // count(*) FROM l) GROUP BY 1
+"""
 
 
 def shared_members(spark, sf_dir):

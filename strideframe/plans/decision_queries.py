@@ -196,7 +196,9 @@ REVIEW_SQL = """
 WITH a AS (SELECT o_orderpriority AS priority, o_orderkey % 40 AS part, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS numerator, count(*) FILTER (o_orderkey % 3 = 0) AS denominator, count(*) AS samples,
     CASE min(CASE WHEN o_orderkey % 7 = 0 THEN 3 WHEN o_orderkey % 7 < 5 THEN 2 ELSE 1 END) WHEN 1 THEN 'LOW' WHEN 2 THEN 'MODERATE' ELSE 'HIGH' END AS weakest FROM orders GROUP BY 1, 2),
 b AS (SELECT *, CASE WHEN denominator = 0 THEN 'NOT_REVIEWED' WHEN samples < 12 THEN 'PROVISIONAL' ELSE 'AVAILABLE' END AS availability FROM a)
-SELECT *, CASE WHEN availability = 'AVAILABLE' THEN round(100 * numerator / nullif(denominator, 0), 1) END AS percent, numerator || '/' || denominator AS text FROM b
+SELECT priority, part, numerator, denominator, samples, weakest, availability, CASE WHEN availability = 'AVAILABLE' THEN p END AS percent,
+  numerator || '/' || denominator || ' (' || coalesce(printf('%.1f%%', p), 'not available') || ')' || CASE WHEN samples < 12 THEN ' — provisional' ELSE '' END AS text
+FROM (SELECT *, round_even(numerator / nullif(denominator, 0)::DOUBLE * 100, 1) AS p FROM b)
 """
 
 # ---- scalars ----
@@ -242,25 +244,31 @@ def name_scalars(spark, sf_dir):
     rows = rows.withColumn("key", F.concat(folder, F.lit("/frame_"), F.lpad(s(k % 1000000), 6, "0"), F.when(k % 3 == 0, F.concat(F.lit(".v"), s(k % 9 + 1), F.lit(".json"))).otherwise(".jpg")))
     name = F.concat(F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("My-clip_"), s(k))), F.lit(".mp4"))
     reason = F.when(k % 3 == 0, " Too short ").when(k % 3 == 1, "OFF COURT").otherwise("odd")
-    seconds = (k % 4001) / F.lit(4.0)
+    seconds = (k % 4001) / F.lit(4.0) - 20
+    direction = F.when(k % 13 > 0, F.when(F.abs(k % 21 - 10) < 5, "STABLE").when(k % 21 > 10, "HIGHER").otherwise("LOWER"))
     return rows.select(
         "k", S.artifact_kind(F.col("key"), KINDS).alias("kind"), S.name_version(F.col("key")).alias("version"), S.frame_number(F.col("key")).alias("frame"), S.title(name, F.col("digest")).alias("title"),
         S.safe_stem(F.concat(F.lit("_a b*"), F.col("priority"), F.lit("."))).alias("stem"), S.structured_reason(reason, REASONS, "other").alias("reason"), S.attempt_prefix(F.lit("TRACKING"), k % 20000).alias("prefix"),
         S.short_id(F.when(k % 2 == 0, F.col("digest")).otherwise(s(k))).alias("short"), S.duration_text(seconds).alias("duration"), S.size_text(k * k * k).alias("size"),
-        S.change_label((k % 21 - 10).cast("double"), 5.0).alias("change"), S.capacity_state(k * 10, F.lit(5000), 50_000, 10_000).alias("capacity"),
+        S.change_label(direction, (k % 21 - 10) / F.lit(4.0), F.when(k % 2 == 0, "%").otherwise("ft")).alias("change"),
+        S.distance_text(F.when(k % 17 > 0, (k % 997) / F.lit(8.0))).alias("distance"), S.tracked_time_text(F.when(k % 19 > 0, (k % 997) / F.lit(8.0))).alias("tracked"), S.capacity_state(k * 10, F.lit(5000), 50_000, 10_000).alias("capacity"),
     )
 
 
 NAME_SQL = r"""
 WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS priority, sha256(o_orderkey::VARCHAR) AS digest,
-    ['tracks', 'reports', 'frames', 'misc'][o_orderkey % 4 + 1] || '/frame_' || right('000000' || (o_orderkey % 1000000), 6) || CASE WHEN o_orderkey % 3 = 0 THEN '.v' || (o_orderkey % 9 + 1) || '.json' ELSE '.jpg' END AS key FROM orders)
+    ['tracks', 'reports', 'frames', 'misc'][o_orderkey % 4 + 1] || '/frame_' || right('000000' || (o_orderkey % 1000000), 6) || CASE WHEN o_orderkey % 3 = 0 THEN '.v' || (o_orderkey % 9 + 1) || '.json' ELSE '.jpg' END AS key,
+    greatest(0, floor((o_orderkey % 4001) / 4.0 - 20 + 0.5)::BIGINT) AS w, o_orderkey * o_orderkey * o_orderkey AS z, (o_orderkey % 997) / 8::DOUBLE AS t FROM orders)
 SELECT k, CASE WHEN key LIKE 'tracks/%' THEN 'TRACKS' WHEN key LIKE 'reports/%' THEN 'REPORT' WHEN key LIKE 'frames/%' THEN 'FRAME' ELSE 'OTHER' END AS kind,
   CASE WHEN k % 3 = 0 THEN k % 9 + 1 END AS version, CASE WHEN k % 3 <> 0 THEN k % 1000000 END AS frame, CASE WHEN k % 5 = 0 THEN left(digest, 8) ELSE 'My clip ' || k END AS title,
   regexp_replace(regexp_replace('_a b*' || priority || '.', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS stem, ['too_short', 'off_court', 'other'][k % 3 + 1] AS reason,
-  'tracking/attempt-' || lpad((k % 20000)::VARCHAR, greatest(4, length((k % 20000)::VARCHAR))::INTEGER, '0') AS prefix, CASE WHEN k % 2 = 0 THEN left(digest, 8) || '…' || right(digest, 4) ELSE k::VARCHAR END AS short,
-  (floor((k % 4001) / 4.0 + 0.5)::BIGINT // 60) || 'm ' || (floor((k % 4001) / 4.0 + 0.5)::BIGINT % 60) || 's' AS duration,
-  CASE WHEN k * k * k < 1024 THEN (k * k * k) || ' B' WHEN k * k * k < 1048576 THEN (k * k * k // 1024) || ' KB' WHEN k * k * k < 1073741824 THEN (k * k * k // 1048576) || ' MB' ELSE (k * k * k // 1073741824) || ' GB' END AS size,
-  CASE WHEN abs(k % 21 - 10) < 5 THEN 'stable' WHEN k % 21 > 10 THEN 'up ' || (k % 21 - 10) ELSE 'down ' || (10 - k % 21) END AS change,
+  'tracking/attempt-' || lpad((k % 20000)::VARCHAR, greatest(4, length((k % 20000)::VARCHAR))::INTEGER, '0') AS prefix, CASE WHEN k % 2 = 0 THEN left(digest, 8) || '...' || right(digest, 4) ELSE k::VARCHAR END AS short,
+  CASE WHEN w >= 60 THEN w // 60 || 'm ' || w % 60 || 's' ELSE w || 's' END AS duration,
+  CASE WHEN z < 1024 THEN z || ' B' WHEN z < 1048576 THEN printf('%.1f KB', round(z / 1024::DOUBLE, 1)) WHEN z < 1073741824 THEN printf('%.1f MB', round(z / 1048576::DOUBLE, 1)) ELSE printf('%.2f GB', round(z / 1073741824::DOUBLE, 2)) END AS size,
+  CASE WHEN k % 13 = 0 THEN 'Unavailable' WHEN abs(k % 21 - 10) < 5 THEN 'Remained similar' ELSE CASE WHEN k % 21 > 10 THEN 'Increased by ' ELSE 'Decreased by ' END
+    || printf('%.1f', round(abs(k % 21 - 10) / 4::DOUBLE, 1)) || CASE WHEN k % 2 = 0 THEN '%' ELSE ' ft' END END AS change,
+  CASE WHEN k % 17 = 0 THEN 'Unavailable' ELSE printf('%.1f ft', round(t, 1)) END AS distance,
+  CASE WHEN k % 19 = 0 THEN 'Unavailable' WHEN t < 60 THEN printf('%.1f sec', round(t, 1)) ELSE printf('%.1f min', round(t / 60, 1)) END AS tracked,
   CASE WHEN k * 10 - 5000 < 10000 THEN 'hard_stop' WHEN k * 10 - 5000 < 50000 THEN 'warning' ELSE 'available' END AS capacity FROM r
 """
 
