@@ -3,24 +3,54 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..plans.policy import AssociationPolicy
+from .components import components
+from .windows import with_next
 
+EDGE_REASONS = ["non_overlapping_fragments", "short_temporal_gap", "plausible_endpoint_distance", "plausible_movement_speed", "similar_bounding_box_size", "court_side_consistent"]
 EDGE_ORDER = ["gap_us", "distance", "area_ratio", "from_track", "to_track"]
 
 
-def association_edges(fragments: DataFrame, rule: AssociationPolicy) -> DataFrame:
-    """Ordered pairs of fragments of an analysis that one player can have left, by time, side, place, speed and size.
+def intervals(obs: DataFrame) -> DataFrame:
+    """(track_id, gap_us): the times between a track's consecutive rows, where they differ."""
+    pairs = with_next(obs, ["track_id"], ["ts_us", "frame_index"], ["ts_us"])
+    return pairs.select("track_id", (F.col("next_ts_us") - F.col("ts_us")).alias("gap_us")).where("gap_us > 0")
+
+
+def _pair_interval(pairs: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(from_track, to_track, interval_us): the upper median of both tracks' intervals together, by rank, so that no track's values are collected."""
+    sides = pairs.select("from_track", "to_track", F.explode(F.array("from_track", "to_track")).alias("track_id"))
+    own = Window.partitionBy("from_track", "to_track")
+    rows = sides.join(gaps, "track_id").withColumns({"place": F.row_number().over(own.orderBy("gap_us")), "n": F.count(F.lit(1)).over(own)})
+    return rows.where("place = n div 2 + 1").select("from_track", "to_track", F.col("gap_us").alias("interval_us"))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """The inner product of two descriptors, from 0 to 1; null if one is missing or their lengths differ."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) == F.size(b), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)))
+
+
+def association_edges(fragments: DataFrame, rule: AssociationPolicy, gaps: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs of fragments of an analysis that one player can have left, by time, side, place, speed, size and appearance, with the reasons.
+
+    The speed is over the time between them, or the upper median of both tracks' intervals in `gaps` where that is longer. `appearance` may be a column of
+    the fragments: descriptors must not differ much, and after more than a short gap they must be alike and both fragments long enough.
 
     The range condition 0 < gap <= limit becomes an equi-join: a fragment's end is matched with the starts in its own and the next time bucket,
     so a busy analysis spreads over many tasks.
     """
     limit = int(rule.max_gap * 1_000_000)
-    a = fragments.select(F.explode(F.array(F.floor(F.col("last_us") / limit), F.floor(F.col("last_us") / limit) + 1)).alias("bucket"), "analysis_id", *[F.col(c).alias(f"a_{c}") for c in ("track_id", "last_us", "last_x", "last_y", "area", "side")])
-    b = fragments.select(F.floor(F.col("first_us") / limit).alias("bucket"), "analysis_id", *[F.col(c).alias(f"b_{c}") for c in ("track_id", "first_us", "first_x", "first_y", "area", "side")])
+    if "appearance" not in fragments.columns:
+        fragments = fragments.withColumn("appearance", F.lit(None).cast("array<double>"))
+    fragments = fragments.withColumn("us", F.col("last_us") - F.col("first_us"))
+    shared = ("track_id", "area", "side", "appearance", "us")
+    a = fragments.select(F.explode(F.array(F.floor(F.col("last_us") / limit), F.floor(F.col("last_us") / limit) + 1)).alias("bucket"), "analysis_id", *[F.col(c).alias(f"a_{c}") for c in (*shared, "last_us", "last_x", "last_y")])
+    b = fragments.select(F.floor(F.col("first_us") / limit).alias("bucket"), "analysis_id", *[F.col(c).alias(f"b_{c}") for c in (*shared, "first_us", "first_x", "first_y")])
     gap = F.col("b_first_us") - F.col("a_last_us")
     sides = F.array_sort(F.array("a_side", "b_side"))
     pairs = a.join(b, ["analysis_id", "bucket"]).where((gap > 0) & (gap <= limit) & (sides != F.array(F.lit("FAR"), F.lit("NEAR"))))
@@ -29,38 +59,59 @@ def association_edges(fragments: DataFrame, rule: AssociationPolicy) -> DataFram
             "gap_us": gap,
             "distance": G.distance(F.col("a_last_x"), F.col("a_last_y"), F.col("b_first_x"), F.col("b_first_y")),
             "area_ratio": F.greatest("a_area", "b_area") / F.least("a_area", "b_area"),
+            "similarity": similarity(F.col("a_appearance"), F.col("b_appearance")),
+            "from_track": F.col("a_track_id"),
+            "to_track": F.col("b_track_id"),
         }
     )
-    pairs = pairs.withColumn("speed", F.col("distance") / G.seconds(F.col("gap_us")))
-    kept = pairs.where((F.col("distance") <= rule.endpoint) & (F.col("speed") <= rule.speed) & (F.col("area_ratio") <= rule.area_ratio))
-    return kept.select("analysis_id", F.col("a_track_id").alias("from_track"), F.col("b_track_id").alias("to_track"), "gap_us", "distance", "area_ratio", "speed")
+    alike, short = F.col("similarity"), F.col("gap_us") <= rule.short_gap * 1_000_000
+    reentry = F.coalesce(alike >= rule.reentry_appearance, F.lit(False)) & (F.least("a_us", "b_us") >= rule.reentry_duration * 1_000_000)
+    pairs = pairs.where((F.col("distance") <= rule.endpoint) & (F.col("area_ratio") <= rule.area_ratio) & F.coalesce(alike >= rule.appearance, F.lit(True)) & (short | reentry))
+    interval = F.lit(rule.default_interval * 1_000_000)
+    if gaps is not None:
+        pairs = pairs.join(_pair_interval(pairs, gaps), ["from_track", "to_track"], "left")
+        interval = F.coalesce("interval_us", interval)
+    pairs = pairs.withColumn("speed", F.col("distance") / G.seconds(F.greatest(F.col("gap_us").cast("double"), interval)))
+    reasons = F.array_compact(F.array(*map(F.lit, EDGE_REASONS), F.when(alike.isNotNull(), "appearance_histogram_consistent"), F.when(~short, "appearance_supported_reentry")))
+    return pairs.where(F.col("speed") <= rule.speed).select("analysis_id", "from_track", "to_track", "gap_us", "distance", "area_ratio", "speed", "similarity", reasons.alias("reasons"))
+
+
+def _grouped(own: pd.DataFrame, links: pd.DataFrame, overlap_us: float) -> pd.DataFrame:
+    group = {t: t for t in own["track_id"]}
+    members = {t: [t] for t in own["track_id"]}
+    span = {r.track_id: (r.first_us, r.last_us, r.side) for r in own.itertuples()}
+    for r in links.sort_values(EDGE_ORDER).itertuples():
+        a, b = group[r.from_track], group[r.to_track]
+        if a == b:
+            continue
+        if any(min(span[x][1], span[y][1]) - max(span[x][0], span[y][0]) > overlap_us or {span[x][2], span[y][2]} == {"NEAR", "FAR"} for x in members[a] for y in members[b]):
+            continue
+        root, other = min(a, b), max(a, b)
+        members[root] += members.pop(other)
+        for t in members[root]:
+            group[t] = root
+    return pd.DataFrame({"analysis_id": own["analysis_id"].iloc[0], "track_id": list(group), "group_id": list(group.values())})
 
 
-def association_groups(fragments: DataFrame, edges: DataFrame) -> DataFrame:
+def association_groups(fragments: DataFrame, edges: DataFrame, rule: AssociationPolicy = AssociationPolicy()) -> DataFrame:
     """(analysis_id, track_id, group_id): edges taken in EDGE_ORDER join two groups unless any of their fragments overlap in time or face each
-    other across the net. Each step depends on those before, so an analysis is folded in one grouped call."""
-
-    def fold(key, own, links):
-        group = {t: t for t in own["track_id"]}
-        members = {t: [t] for t in own["track_id"]}
-        span = {r.track_id: (r.first_us, r.last_us, r.side) for r in own.itertuples()}
-        for r in links.sort_values(EDGE_ORDER).itertuples():
-            a, b = group[r.from_track], group[r.to_track]
-            if a == b:
-                continue
-            clash = any(
-                min(span[x][1], span[y][1]) - max(span[x][0], span[y][0]) > 0 or {span[x][2], span[y][2]} == {"NEAR", "FAR"} for x in members[a] for y in members[b]
-            )
-            if clash:
-                continue
-            root, other = min(a, b), max(a, b)
-            members[root] += members.pop(other)
-            for t in members[root]:
-                group[t] = root
-        return pd.DataFrame({"analysis_id": key[0], "track_id": list(group), "group_id": list(group.values())})
-
-    edges = edges.withColumnRenamed("analysis_id", "of_analysis")  # edges are made of the fragments: one name each
-    return fragments.groupBy("analysis_id").cogroup(edges.groupBy("of_analysis")).applyInPandas(fold, "analysis_id long, track_id long, group_id long")
+    other across the net. Each step depends on those before among the fragments that edges connect, so a connected component is
+    folded in one call; fragments without an edge stay alone and in the JVM."""
+    node = lambda c: F.struct(F.col("analysis_id"), F.col(c).alias("track_id"))
+    named = components(edges.select(node("from_track").alias("u"), node("to_track").alias("v"))).select("node.*", F.col("component.analysis_id").alias("c1"), F.col("component.track_id").alias("c2"))
+    own = fragments.select("analysis_id", "track_id", "first_us", "last_us", "side")
+    renamed = named.select(F.col("analysis_id").alias("of_analysis"), F.col("track_id").alias("of_track"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
+    links = edges.select(F.col("analysis_id").alias("of_analysis"), F.col("from_track").alias("of_track"), *EDGE_ORDER).join(renamed, ["of_analysis", "of_track"])
+    overlap_us = rule.overlap * 1_000_000
+
+    def fold(key, pdf, own_links):
+        return _grouped(pdf, own_links, overlap_us)
+
+    joined = own.join(named, ["analysis_id", "track_id"])
+    schema = "analysis_id long, track_id long, group_id long"
+    grouped = joined.groupBy("c1", "c2").cogroup(links.groupBy("e1", "e2")).applyInPandas(fold, schema)
+    alone = own.join(named, ["analysis_id", "track_id"], "left_anti").select("analysis_id", "track_id", F.col("track_id").alias("group_id"))
+    return grouped.unionByName(alone)
 
 
 def rollup(obs: DataFrame, membership: DataFrame) -> DataFrame:

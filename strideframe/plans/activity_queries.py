@@ -11,6 +11,7 @@ from ..operators import association as J
 from ..operators import ball as B
 from ..operators import tracks as T
 from ..operators import windows as W
+from ..session import written
 from ..sources.observations import OBS_SQL, observations
 from .movement_queries import COURT, FRAGMENTS_CTE, POLICY, SMOOTH_CTE
 from .policy import EVENT_ACTIVITY, EVENT_ASSOCIATION, BallPolicy
@@ -22,25 +23,63 @@ def _fragments(spark, sf_dir):
     return T.fragments(observations(spark, sf_dir), COURT, POLICY)
 
 
-def association_edges(spark, sf_dir):
-    out = J.association_edges(_fragments(spark, sf_dir), EVENT_ASSOCIATION)
-    return out.select("analysis_id", "from_track", "to_track", "gap_us", F.round("distance", 6).alias("distance"), F.round("area_ratio", 6).alias("area_ratio"), F.round("speed", 9).alias("speed"))
+def _edges(spark, sf_dir):
+    """Fragments, every sixth without a descriptor and one in five with one of another length, and their edges."""
+    t = F.col("track_id")
+    look = F.array(*[F.array(*map(F.lit, v)) for v in LOOKS])
+    own = _fragments(spark, sf_dir).withColumn("appearance", F.when(t % 6 > 0, look[(t % 5).cast("int")]))
+    return own, J.association_edges(own, EVENT_ASSOCIATION, J.intervals(observations(spark, sf_dir)))
+
+
+#: Descriptors of length 1 by track % 5.
+LOOKS = [(1.0, 0.0), (0.96, 0.28), (0.28, 0.96), (1.0, 0.0), (1.0, 0.0, 0.0)]
 
 
+def association_edges(spark, sf_dir):
+    _, out = _edges(spark, sf_dir)
+    numbers = [F.round("distance", 6).alias("distance"), F.round("area_ratio", 6).alias("area_ratio"), F.round("speed", 9).alias("speed"), F.round("similarity", 6).alias("similarity")]
+    return out.select("analysis_id", "from_track", "to_track", "gap_us", *numbers, F.array_join("reasons", ",").alias("reasons"))
+
+
+_EDGES = f"""
+{OBS_SQL}, {FRAGMENTS_CTE},
+ap AS (SELECT *, CASE WHEN track_id % 6 > 0 THEN [{", ".join(f"[{', '.join(f'{x}::DOUBLE' for x in v)}]" for v in LOOKS)}][track_id % 5 + 1] END AS look FROM fr),
+iv AS (SELECT track_id, gap FROM (SELECT track_id, lead(ts_us) OVER (PARTITION BY track_id ORDER BY ts_us, frame_index) - ts_us AS gap FROM obs) WHERE gap > 0),
+p0 AS (SELECT a.analysis_id, a.track_id AS from_track, b.track_id AS to_track, b.first_us - a.last_us AS gap_us, least(a.last_us - a.first_us, b.last_us - b.first_us) AS us,
+    sqrt((b.first_x - a.last_x) * (b.first_x - a.last_x) + (b.first_y - a.last_y) * (b.first_y - a.last_y)) AS distance, greatest(a.area, b.area) / least(a.area, b.area) AS area_ratio,
+    CASE WHEN len(a.look) = len(b.look) THEN greatest(0, least(1, a.look[1] * b.look[1] + a.look[2] * b.look[2] + coalesce(a.look[3] * b.look[3], 0))) END AS similarity
+  FROM ap a JOIN ap b ON a.analysis_id = b.analysis_id AND b.first_us > a.last_us AND b.first_us - a.last_us <= 172800000000
+  WHERE NOT (a.side = 'NEAR' AND b.side = 'FAR' OR a.side = 'FAR' AND b.side = 'NEAR')),
+p1 AS (SELECT * FROM p0 WHERE distance <= 14 AND area_ratio <= 1.75 AND coalesce(similarity >= 0.7::DOUBLE, true) AND (gap_us <= 64800000000 OR coalesce(similarity >= 0.96::DOUBLE, false) AND us >= 432000000000)),
+md AS (SELECT from_track, to_track, list_sort(list(gap))[count(*) // 2 + 1] AS med FROM p1 JOIN iv ON iv.track_id = from_track OR iv.track_id = to_track GROUP BY 1, 2),
+ed AS (SELECT p1.*, distance / (greatest(gap_us, coalesce(med, 1000000 / 30::DOUBLE)) / 1000000.0::DOUBLE) AS speed FROM p1 LEFT JOIN md USING (from_track, to_track))"""
+
 EDGES_SQL = f"""
-WITH {OBS_SQL}, {FRAGMENTS_CTE},
-p AS (SELECT a.analysis_id, a.track_id AS from_track, b.track_id AS to_track, b.first_us - a.last_us AS gap_us,
-    sqrt((b.first_x - a.last_x) * (b.first_x - a.last_x) + (b.first_y - a.last_y) * (b.first_y - a.last_y)) AS distance, greatest(a.area, b.area) / least(a.area, b.area) AS area_ratio
-  FROM fr a JOIN fr b ON a.analysis_id = b.analysis_id AND b.first_us > a.last_us AND b.first_us - a.last_us <= 172800000000
-  WHERE NOT (a.side = 'NEAR' AND b.side = 'FAR' OR a.side = 'FAR' AND b.side = 'NEAR'))
-SELECT analysis_id, from_track, to_track, gap_us, round(distance, 6) AS distance, round(area_ratio, 6) AS area_ratio, round(distance / (gap_us / 1000000.0::DOUBLE), 9) AS speed
-FROM p WHERE distance <= 14 AND distance / (gap_us / 1000000.0::DOUBLE) <= 18 AND area_ratio <= 1.75
+WITH {_EDGES}
+SELECT analysis_id, from_track, to_track, gap_us, round(distance, 6) AS distance, round(area_ratio, 6) AS area_ratio, round(speed, 9) AS speed, round(similarity, 6) AS similarity,
+  '{",".join(J.EDGE_REASONS)}' || CASE WHEN similarity IS NOT NULL THEN ',appearance_histogram_consistent' ELSE '' END || CASE WHEN gap_us > 64800000000 THEN ',appearance_supported_reentry' ELSE '' END AS reasons
+FROM ed WHERE speed <= 1.5e-4::DOUBLE
 """
 
 
 def association_groups(spark, sf_dir):
-    own = _fragments(spark, sf_dir)
-    return J.association_groups(own, J.association_edges(own, EVENT_ASSOCIATION))
+    own, edges = _edges(spark, sf_dir)
+    return J.association_groups(own, written(edges, "association-edges"), EVENT_ASSOCIATION)
+
+
+GROUPS_SQL = f"""
+WITH RECURSIVE {_EDGES},
+es AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY gap_us, distance, area_ratio, from_track, to_track) AS k FROM ed WHERE speed <= 1.5e-4::DOUBLE),
+gs AS (
+  SELECT analysis_id, 0::BIGINT AS k, list({{'r': track_id, 'm': [{{'t': track_id, 's': first_us, 'e': last_us, 'd': side}}]}} ORDER BY track_id) AS held FROM fr GROUP BY 1
+  UNION ALL
+  SELECT analysis_id, k, CASE WHEN a.r = b.r OR len(list_filter(a.m, lambda x: len(list_filter(b.m, lambda y: least(x.e, y.e) - greatest(x.s, y.s) > 0 OR x.d <> y.d AND x.d <> 'UNKNOWN' AND y.d <> 'UNKNOWN')) > 0)) > 0 THEN held
+    ELSE list_append(list_filter(held, lambda g: g.r <> a.r AND g.r <> b.r), {{'r': least(a.r, b.r), 'm': list_concat(a.m, b.m)}}) END
+  FROM (SELECT g.analysis_id, e.k, held, list_filter(held, lambda h: len(list_filter(h.m, lambda x: x.t = e.from_track)) > 0)[1] AS a, list_filter(held, lambda h: len(list_filter(h.m, lambda x: x.t = e.to_track)) > 0)[1] AS b
+    FROM gs g JOIN es e ON e.analysis_id = g.analysis_id AND e.k = g.k + 1)),
+gf AS (SELECT analysis_id, unnest(arg_max(held, k)) AS g FROM gs GROUP BY 1)
+SELECT analysis_id, unnest(list_transform(g.m, lambda x: x.t)) AS track_id, g.r AS group_id FROM gf
+"""
 
 
 def candidate_rollup(spark, sf_dir):
@@ -291,7 +330,7 @@ def _ball(spark, sf_dir):
     """A player's rows as frames of a ball: x and y in pixels, a candidate where the confidence is at least 0.4, but in the second of every three times five days."""
     obs = observations(spark, sf_dir)
     frame = F.row_number().over(Window.partitionBy("player_id").orderBy("ts_us", "frame_index")) - 1
-    seen = (F.col("confidence") >= 0.4) & (F.expr("ts_us div 432000000000") % 3 != 1)
+    seen = (F.col("confidence") >= 0.4) & (F.expr("ts_us div 648000000000") % 3 != 1)
     return obs.select(F.col("player_id").alias("analysis_id"), frame.cast("long").alias("frame"), F.when(seen, F.col("court_x") * 3).alias("x"), F.when(seen, F.col("court_y") * 3).alias("y"), "confidence")
 
 
@@ -319,7 +358,7 @@ def ball_report(spark, sf_dir):
 
 #: The tracker frame by frame: bt has the state after every frame and, as o_*, the one before it.
 _BALL = f"""
-{OBS_SQL}, bf AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AND ts_us // 432000000000 % 3 <> 1 AS seen,
+{OBS_SQL}, bf AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AND ts_us // 648000000000 % 3 <> 1 AS seen,
     confidence AS c, court_x * 3 AS x, court_y * 3 AS y FROM obs),
 bt AS (
   SELECT DISTINCT analysis_id, -1::BIGINT AS frame, NULL::BIGINT AS lf, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, NULL::DOUBLE AS lc, NULL::DOUBLE AS px, NULL::DOUBLE AS py, 0::BIGINT AS gap, 0::BIGINT AS segment,
@@ -363,7 +402,7 @@ SELECT *, round(detected / frames::DOUBLE, 6) AS coverage, round((observed + int
   CASE WHEN observed = 0 THEN 'no_ball_detected' WHEN observed < 3 THEN 'insufficient_observations' WHEN segments >= 3 AND segments = observed THEN 'excessive_track_fragmentation' ELSE 'available' END AS status FROM al
 """
 BALL_REPORT_SQL = f"""
-WITH {OBS_SQL}, f AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AND ts_us // 432000000000 % 3 <> 1 AS seen, confidence FROM obs),
+WITH {OBS_SQL}, f AS (SELECT player_id AS analysis_id, row_number() OVER (PARTITION BY player_id ORDER BY ts_us, frame_index) - 1 AS frame, confidence >= 0.4 AND ts_us // 648000000000 % 3 <> 1 AS seen, confidence FROM obs),
 g AS (SELECT *, frame - lag(frame) OVER (PARTITION BY analysis_id ORDER BY frame) - 1 AS gap FROM f WHERE seen),
 a AS (SELECT analysis_id, count(*) AS frames, count(*) FILTER (seen) AS detected FROM f GROUP BY 1),
 b AS (SELECT analysis_id, quantile_cont(confidence, 0.1) AS p10, quantile_cont(confidence, 0.5) AS p50, quantile_cont(confidence, 0.9) AS p90, max(gap) AS longest_gap, avg(gap) FILTER (gap > 0) AS mean_gap FROM g GROUP BY 1)
@@ -379,7 +418,7 @@ QUERIES = {
     )
 }
 ORACLES = {
-    "association_edges": EDGES_SQL, "candidate_rollup": ROLLUP_SQL, "candidate_selection": SELECTION_SQL, "velocity_direction": VELOCITY_SQL, "observed_islands": ISLANDS_SQL,
+    "association_edges": EDGES_SQL, "association_groups": GROUPS_SQL, "candidate_rollup": ROLLUP_SQL, "candidate_selection": SELECTION_SQL, "velocity_direction": VELOCITY_SQL, "observed_islands": ISLANDS_SQL,
     "concurrency_sweep": SWEEP_SQL, "window_features": FEATURES_SQL, "window_states": STATES_SQL, "state_intervals": INTERVALS_SQL, "state_totals": TOTALS_SQL,
     "reason_histogram": REASONS_SQL, "review_overlap_state": REVIEW_SQL, "boundary_error": BOUNDARY_SQL, "threshold_what_if": WHAT_IF_SQL, "ball_report": BALL_REPORT_SQL,
     "ball_tracker": BALL_TRACKER_SQL, "ball_events": BALL_EVENTS_SQL, "ball_segments": BALL_SEGMENTS_SQL, "ball_path_report": BALL_PATH_REPORT_SQL,

@@ -45,6 +45,15 @@ class AssociationPolicy:
     endpoint: float = 14.0
     speed: float = 18.0
     area_ratio: float = 1.75
+    appearance: float = 0.70
+    reentry_appearance: float = 0.96
+    reentry_duration: float = 0.5
+    overlap: float = 0.0
+    default_interval: float = 1 / 30
+
+    def __post_init__(self):
+        if min(self.max_gap, self.endpoint, self.speed, self.default_interval) <= 0 or self.area_ratio < 1 or self.short_gap > self.max_gap:
+            raise ValueError("limits of an association policy must be positive, and a short gap no longer than the longest")
 
 
 @dataclass(frozen=True)
@@ -87,7 +96,7 @@ class BallPolicy:
 
 #: The driver's `events` are hours apart: the same operators with thresholds on that scale.
 EVENT_MOVEMENT = MovementPolicy(max_gap_us=21_600_000_000)
-EVENT_ASSOCIATION = AssociationPolicy(max_gap=172_800.0, short_gap=172_800.0)
+EVENT_ASSOCIATION = AssociationPolicy(max_gap=172_800.0, short_gap=64_800.0, speed=1.5e-4, reentry_duration=432_000.0)
 EVENT_ACTIVITY = ActivityPolicy(
     window_us=86_400_000_000,
     half_smoothing_us=14_400_000_000,

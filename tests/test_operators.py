@@ -12,12 +12,69 @@ def test_ball_interpolates_short_gaps_and_restarts_after_long_ones(spark):
     assert [(r[1], r[2], r[4], r[5]) for r in got] == [(0, 0.0, 1, False), (1, 5.0, 1, False), (2, 10.0, 1, True), (3, 15.0, 1, True), (4, 20.0, 1, False), (20, 30.0, 2, False)]
 
 
+OWN = "track_id long, player_id long, analysis_id long, first_us long, last_us long, first_x double, first_y double, last_x double, last_y double, area double, side string"
+
+
+def fragment(track, first, last, x=0.0, side="NEAR", area=1.0, look=None, analysis=0):
+    return (track, 0, analysis, int(first * 1e6), int(last * 1e6), x, 0.0, x, 0.0, area, side, look)
+
+
+def edges_of(spark, *rows, gaps=None):
+    df = spark.createDataFrame(list(rows), OWN + ", appearance array<double>")
+    own = None if gaps is None else spark.createDataFrame(gaps, "track_id long, gap_us long")
+    return {(r.from_track, r.to_track): r for r in association.association_edges(df, AssociationPolicy(), own).collect()}
+
+
+def test_a_long_gap_needs_a_strong_likeness_and_long_fragments(spark):
+    near, less = [0.97, (1 - 0.97**2) ** 0.5], [0.94, (1 - 0.94**2) ** 0.5]
+    first = fragment(1, 0, 1, look=[1.0, 0.0])
+    assert not edges_of(spark, first, fragment(2, 2.1, 3.1, look=less))
+    (edge,) = edges_of(spark, first, fragment(2, 2.1, 3.1, look=near)).values()
+    assert edge.similarity == 0.97 and edge.reasons[-2:] == ["appearance_histogram_consistent", "appearance_supported_reentry"]
+    assert not edges_of(spark, first, fragment(2, 2.1, 2.4, look=near)) and not edges_of(spark, first, fragment(2, 2.1, 3.1)) and not edges_of(spark, first, fragment(2, 17, 18, look=near))
+    assert edges_of(spark, first, fragment(2, 1.5, 1.6, look=less)) and edges_of(spark, first, fragment(2, 1.5, 1.6)) and edges_of(spark, first, fragment(2, 1.5, 1.6, look=[1.0]))
+    assert not edges_of(spark, first, fragment(2, 1.5, 1.6, look=[0.5, 0.5]))
+
+
+def test_the_speed_is_over_the_upper_median_interval_where_that_is_longer(spark):
+    pair = fragment(1, 0, 1), fragment(2, 1.1, 2, x=5.0)
+    assert not edges_of(spark, *pair)
+    gaps = [(1, 100_000), (1, 300_000), (2, 400_000), (2, 500_000), (3, 9_000_000)]
+    (edge,) = edges_of(spark, *pair, gaps=gaps).values()
+    assert edge.speed == 5 / 0.4
+    assert not edges_of(spark, *pair, gaps=[(1, 100_000)] * 3 + gaps[2:])
+    assert not edges_of(spark, fragment(1, 0, 1), fragment(2, 1.5, 2, side="FAR")) and not edges_of(spark, fragment(1, 0, 1), fragment(2, 1.5, 2, area=1.8)) and not edges_of(spark, fragment(1, 0, 1), fragment(2, 1.5, 2, analysis=1))
+
+
+def test_groups_equal_a_loop_over_the_edges_of_whole_analyses(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for t in range(160):
+        start = rng.uniform(0, 60)
+        rows.append(fragment(t, start, start + rng.choice([0.3, 2, 6]), x=rng.uniform(0, 12), side=rng.choice(["NEAR", "NEAR", "UNKNOWN", "FAR"]), area=rng.uniform(1, 2), look=rng.choice([None, [1.0, 0.0], [0.98, (1 - 0.98**2) ** 0.5]]), analysis=t % 2))
+    df = spark.createDataFrame(rows, OWN + ", appearance array<double>")
+    edges = association.association_edges(df, AssociationPolicy(short_gap=15.0))
+    span = {r[0]: (r[3], r[4], r[10]) for r in rows}
+    group = {t: {t} for t in span}
+    for e in sorted(edges.collect(), key=lambda e: (e.gap_us, e.distance, e.area_ratio, e.from_track, e.to_track)):
+        a, b = group[e.from_track], group[e.to_track]
+        if a is b or any(min(span[x][1], span[y][1]) > max(span[x][0], span[y][0]) or {span[x][2], span[y][2]} == {"NEAR", "FAR"} for x in a for y in b):
+            continue
+        a |= b
+        for t in b:
+            group[t] = a
+    got = {r.track_id: r.group_id for r in association.association_groups(df, edges).collect()}
+    assert got == {t: min(g) for t, g in group.items()} and len(set(got.values())) < 120
+
+
 def test_groups_do_not_join_fragments_that_overlap(spark):
     own = "track_id long, player_id long, analysis_id long, first_us long, last_us long, first_x double, first_y double, last_x double, last_y double, area double, side string"
     s = 1_000_000
     rows = [(1, 0, 0, 0, s, 0.0, 0.0, 1.0, 0.0, 1.0, "NEAR"), (2, 0, 0, 2 * s, 3 * s, 1.0, 0.0, 2.0, 0.0, 1.0, "NEAR"), (3, 0, 0, 2 * s, 4 * s, 3.0, 0.0, 3.0, 0.0, 1.0, "NEAR"), (4, 0, 0, 5 * s, 6 * s, 3.0, 0.0, 3.0, 0.0, 1.0, "FAR")]
     df = spark.createDataFrame(rows, own)
-    edges = association.association_edges(df, AssociationPolicy())
+    edges = association.association_edges(df, AssociationPolicy(short_gap=15.0))
     assert {(r.from_track, r.to_track) for r in edges.collect()} == {(1, 2), (1, 3)}
     assert {r.track_id: r.group_id for r in association.association_groups(df, edges).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
