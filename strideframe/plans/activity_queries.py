@@ -173,7 +173,7 @@ SWEEP_SQL = f"WITH {OBS_SQL}, {ISLANDS_CTE}, {_sweep('isl', 'analysis_id', 'star
 
 
 def window_features(spark, sf_dir):
-    df = A.window_features(observations(spark, sf_dir), RULE)
+    df = A.window_features(observations(spark, sf_dir), RULE, COURT)
     rounded = {c: F.round(c, n) for c, n in (("coverage", 9), ("speed", 12), ("intensity", 9), ("speed_change", 14), ("turn_rate", 12), ("stationary_share", 9))}
     return df.withColumns(rounded)
 
@@ -189,25 +189,26 @@ vr AS (SELECT vw.*, e - s AS ov, end_us >= win * 86400000000 AND end_us < (win +
 mv AS (SELECT * FROM vr WHERE speed >= 0.0005::DOUBLE), {_sweep('mv', 'analysis_id, win', 's', 'e', 'sm')},
 pl AS (SELECT analysis_id, player_id, win, sum(ov)::BIGINT AS ov, sum(speed * ov) AS wt, coalesce(sum(ov) FILTER (speed >= 0.0005::DOUBLE), 0)::BIGINT AS moving, coalesce(sum(ov) FILTER (speed <= 0.0001875::DOUBLE), 0)::BIGINT AS still,
     count(*) FILTER (fin AND turn) AS turns, sum(speed_change) FILTER (fin) AS chs, count(speed_change) FILTER (fin) AS chn FROM vr GROUP BY ALL),
-pa AS (SELECT analysis_id, player_id, win, cover_us, coalesce(ov, 0) AS ov, wt, coalesce(moving, 0) AS moving, coalesce(still, 0) AS still, coalesce(turns, 0) AS turns, chs, coalesce(chn, 0) AS chn
-  FROM cov LEFT JOIN pl USING (analysis_id, player_id, win)),
+ki AS (SELECT analysis_id, player_id, ts_us // 86400000000 AS win, avg(CASE WHEN abs(court_y - 22) <= 7 THEN 1 ELSE 0 END) AS kitchen_share FROM obs WHERE inside GROUP BY ALL),
+pa AS (SELECT analysis_id, player_id, win, cover_us, coalesce(ov, 0) AS ov, wt, coalesce(moving, 0) AS moving, coalesce(still, 0) AS still, coalesce(turns, 0) AS turns, chs, coalesce(chn, 0) AS chn, kitchen_share
+  FROM cov LEFT JOIN pl USING (analysis_id, player_id, win) LEFT JOIN ki USING (analysis_id, player_id, win)),
 ag AS (SELECT analysis_id, win, count(*) AS reliable_players, sum(cover_us) AS cover_us, sum(wt) / nullif(sum(ov), 0) AS speed, count(*) FILTER (moving >= 0.5::DOUBLE / 3 * 86400000000) AS moving_players, avg(still) AS still,
-    sum(turns) AS turns, sum(chs) / nullif(sum(chn), 0) AS speed_change FROM pa GROUP BY ALL),
+    sum(turns) AS turns, sum(chs) / nullif(sum(chn), 0) AS speed_change, count(*) FILTER (still >= 0.55::DOUBLE * 86400000000 AND kitchen_share >= 0.5) AS kitchen_players FROM pa GROUP BY ALL),
 vi AS (SELECT analysis_id, ts_us // 86400000000 AS win, count(DISTINCT player_id) AS visible_players FROM obs GROUP BY ALL),
 ft AS (SELECT analysis_id, win, visible_players, coalesce(reliable_players, 0) AS reliable_players, coalesce(tg.length, 0) / 86400000000.0::DOUBLE AS coverage, coalesce(speed, 0) AS speed,
     least(1, coalesce(speed, 0) / 0.0025::DOUBLE) AS intensity, coalesce(speed_change, 0) AS speed_change, coalesce(turns / nullif(cover_us / 1000000.0::DOUBLE, 0), 0) AS turn_rate, coalesce(moving_players, 0) AS moving_players,
-    coalesce(sm.length, 0) AS simultaneous_us, coalesce(still, 0) / 86400000000.0::DOUBLE AS stationary_share
+    coalesce(sm.length, 0) AS simultaneous_us, coalesce(still, 0) / 86400000000.0::DOUBLE AS stationary_share, coalesce(kitchen_players, 0) AS kitchen_players
   FROM vi LEFT JOIN ag USING (analysis_id, win) LEFT JOIN tg USING (analysis_id, win) LEFT JOIN sm USING (analysis_id, win))"""
 
 _UPTO = f"WITH {OBS_SQL}, {SMOOTH_CTE}, {VELOCITY_CTE}, {ISLANDS_CTE}, {FEATURES_CTE}"
 FEATURES_SQL = f"""
 {_UPTO} SELECT analysis_id, win, visible_players, reliable_players, round(coverage, 9) AS coverage, round(speed, 12) AS speed, round(intensity, 9) AS intensity, round(speed_change, 14) AS speed_change,
-  round(turn_rate, 12) AS turn_rate, moving_players, simultaneous_us, round(stationary_share, 9) AS stationary_share FROM ft
+  round(turn_rate, 12) AS turn_rate, moving_players, simultaneous_us, round(stationary_share, 9) AS stationary_share, kitchen_players FROM ft
 """
 
 
 def _states(spark, sf_dir):
-    return A.window_states(A.window_features(observations(spark, sf_dir), RULE), RULE)
+    return A.window_states(A.window_features(observations(spark, sf_dir), RULE, COURT), RULE)
 
 
 def window_states(spark, sf_dir):
@@ -216,9 +217,9 @@ def window_states(spark, sf_dir):
 
 STATES_CTE = f"""
 st AS (SELECT *, CASE WHEN reliable_players < 2 OR coverage < 0.3 THEN 'UNKNOWN' WHEN act THEN 'ACTIVE' WHEN idl THEN 'IDLE' ELSE 'UNKNOWN' END AS state,
-    CASE WHEN reliable_players < 2 THEN 'FEW_PLAYERS' WHEN coverage < 0.3 THEN 'LOW_COVERAGE' WHEN act THEN 'MOVING_TOGETHER' WHEN idl THEN 'STATIONARY' ELSE 'CONFLICTING_EVIDENCE' END AS reason,
+    CASE WHEN reliable_players < 2 THEN 'FEW_PLAYERS' WHEN coverage < 0.3 THEN 'LOW_COVERAGE' WHEN act THEN 'MOVING_TOGETHER' WHEN idl THEN 'STATIONARY' WHEN kitchen_players > 0 THEN 'CONFLICTING_EVIDENCE,KITCHEN_LOW_MOVEMENT_SAFEGUARD' ELSE 'CONFLICTING_EVIDENCE' END AS reason,
     CASE WHEN 1 - coverage >= 0.35 THEN 'SEVERE' WHEN 1 - coverage >= 0.15 THEN 'MINOR' ELSE 'NONE' END AS gap_severity
-  FROM (SELECT *, moving_players >= 2 AND simultaneous_us >= 0.35::DOUBLE / 3 * 86400000000 AND intensity >= 0.25 AS act, moving_players = 0 AND intensity <= 0.12 AND stationary_share >= 0.55 AS idl FROM ft))"""
+  FROM (SELECT *, moving_players >= 2 AND simultaneous_us >= 0.35::DOUBLE / 3 * 86400000000 AND intensity >= 0.25 AS act, moving_players = 0 AND kitchen_players = 0 AND intensity <= 0.12 AND stationary_share >= 0.55 AS idl FROM ft))"""
 STATES_SQL = f"{_UPTO}, {STATES_CTE} SELECT analysis_id, win, state, reason, gap_severity FROM st"
 
 
@@ -231,7 +232,7 @@ n1 AS (SELECT *, CASE WHEN lag(state) OVER w = state AND win - lag(win) OVER w =
 n2 AS (SELECT *, sum(brk) OVER (PARTITION BY analysis_id ORDER BY win ROWS UNBOUNDED PRECEDING) AS k FROM n1),
 iv AS (SELECT analysis_id, min(state) AS state, min(win) AS first_win, max(win) AS last_win, count(*) AS windows, min(reliable_players) AS reliable_players, min(moving_players) AS moving_players,
     sum(simultaneous_us)::BIGINT AS simultaneous_us, round(avg(intensity), 9) AS intensity, arg_max(gap_severity, CASE gap_severity WHEN 'SEVERE' THEN 2 WHEN 'MINOR' THEN 1 ELSE 0 END) AS gap_severity,
-    array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM n2 GROUP BY analysis_id, k)"""
+    array_to_string(list_sort(list_distinct(flatten(list(string_split(reason, ','))))), ',') AS reasons, max(kitchen_players) AS kitchen_players FROM n2 GROUP BY analysis_id, k)"""
 INTERVALS_SQL = f"{_UPTO}, {STATES_CTE}, {INTERVALS_CTE} SELECT * FROM iv"
 
 
@@ -252,10 +253,11 @@ SELECT analysis_id, state, windows, round(windows * 100::DOUBLE / sum(windows) O
 
 
 def reason_histogram(spark, sf_dir):
-    return _states(spark, sf_dir).groupBy("analysis_id", "reason").agg(F.count(F.lit(1)).alias("windows"))
+    rows = _states(spark, sf_dir).select("analysis_id", F.explode(F.split("reason", ",")).alias("reason"))
+    return rows.groupBy("analysis_id", "reason").agg(F.count(F.lit(1)).alias("windows"))
 
 
-REASONS_SQL = f"{_UPTO}, {STATES_CTE} SELECT analysis_id, reason, count(*) AS windows FROM st GROUP BY ALL"
+REASONS_SQL = f"{_UPTO}, {STATES_CTE} SELECT analysis_id, reason, count(*) AS windows FROM (SELECT analysis_id, unnest(string_split(reason, ',')) AS reason FROM st) GROUP BY ALL"
 
 
 def review_overlap_state(spark, sf_dir):
@@ -307,7 +309,7 @@ SELECT analysis_id, count(*) AS boundaries, round(avg(error), 9) AS mean_error,
 
 def threshold_what_if(spark, sf_dir):
     """Window states under changed coverage thresholds: how many change, and how many of them become known."""
-    features = A.window_features(observations(spark, sf_dir), RULE)
+    features = A.window_features(observations(spark, sf_dir), RULE, COURT)
     rows = A.window_states(features, RULE).withColumnRenamed("state", "base")
     thresholds = (0.1, 0.2, 0.5)
     for k, threshold in enumerate(thresholds):

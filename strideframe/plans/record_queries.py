@@ -30,22 +30,23 @@ SELECT o_orderkey, CASE WHEN o_totalprice < 5000 THEN 'EXCLUDED' WHEN o_ordersta
 
 
 def _split(spark, sf_dir):
-    return H.chronological_split(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return H.even_split(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_orderdate")
 
 
 def chronological_split(spark, sf_dir):
+    """The newest eight orders of a customer in two halves of one size; the middle one of an odd number has none, as have all of fewer than four."""
     return _split(spark, sf_dir).select("o_custkey", "o_orderkey", "split", "n")
 
 
 SPLIT_CTE = """
 b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders),
 n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM b WHERE back <= 8),
-sp AS (SELECT *, CASE WHEN back <= ceil(n / 2) THEN 'recent' ELSE 'earlier' END AS split FROM n)"""
+sp AS (SELECT *, CASE WHEN n < 4 THEN NULL WHEN back <= n // 2 THEN 'recent' WHEN back > n - n // 2 THEN 'earlier' END AS split FROM n)"""
 SPLIT_SQL = f"WITH {SPLIT_CTE} SELECT o_custkey, o_orderkey, split, n FROM sp"
 
 
 def ratio_of_sums_trend(spark, sf_dir):
-    """Discounted price per piece of the earlier and recent orders, and the shares of the three return flags; n <= 2 gives no trend."""
+    """Discounted price per piece of the earlier and recent orders, and the shares of the three return flags; fewer than four orders give no trend."""
     rows = _split(spark, sf_dir).join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     out = rows.groupBy("o_custkey", "n").agg(
@@ -61,7 +62,7 @@ def ratio_of_sums_trend(spark, sf_dir):
         "o_custkey",
         F.round(earlier, 6).alias("earlier"),
         F.round(recent, 6).alias("recent"),
-        F.when(F.col("n") > 2, H.trend(change, 50.0)).alias("trend"),
+        H.trend(change, 50.0).alias("trend"),
         *[F.round(F.try_divide(F.col(f"pieces_{f}"), F.col("pieces")) * 100, 6).alias(f"share_{f.lower()}") for f in "ANR"],
         (F.col("largest") > 0.6 * F.col("pieces")).alias("dominated"),
     )
@@ -73,7 +74,7 @@ j AS (SELECT *, round(l_extendedprice * 100)::BIGINT AS cents FROM sp JOIN linei
 a AS (SELECT o_custkey, n, sum(cents) FILTER (split = 'earlier') / sum(l_quantity) FILTER (split = 'earlier') AS earlier, sum(cents) FILTER (split = 'recent') / sum(l_quantity) FILTER (split = 'recent') AS recent,
     coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS a, coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0) AS nn, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS r, sum(l_quantity) AS pieces, max(l_quantity) AS largest
   FROM j GROUP BY 1, 2)
-SELECT o_custkey, round(earlier, 6) AS earlier, round(recent, 6) AS recent, CASE WHEN n > 2 THEN CASE WHEN abs((recent - earlier) / 100) < 50 THEN 'STABLE' WHEN recent > earlier THEN 'HIGHER' WHEN recent < earlier THEN 'LOWER' END END AS trend,
+SELECT o_custkey, round(earlier, 6) AS earlier, round(recent, 6) AS recent, CASE WHEN abs((recent - earlier) / 100) < 50 THEN 'STABLE' WHEN recent > earlier THEN 'HIGHER' WHEN recent < earlier THEN 'LOWER' END AS trend,
   round(a / pieces * 100, 6) AS share_a, round(nn / pieces * 100, 6) AS share_n, round(r / pieces * 100, 6) AS share_r, largest > 0.6 * pieces AS dominated FROM a
 """
 
