@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..plans.policy import ActivityPolicy, Court
 from . import windows as W
+from .decisions import ordinal_least
 
 KEYS = ["analysis_id", "player_id", "track_id"]
 
@@ -75,6 +76,8 @@ def window_features(obs: DataFrame, rule: ActivityPolicy, court: Court | None =
         share = F.avg((G.zone(F.col("court_y"), court) == "kitchen").cast("int"))
         players = players.join(seen.agg(share.alias("kitchen_share")), keys, "left")
         kitchen = [F.count_if((F.col("stationary_us") >= rule.idle_stationary * width) & (F.col("kitchen_share") >= 0.5)).alias("kitchen_players")]
+    parts = obs.groupBy("analysis_id", "player_id", F.floor(F.col("ts_us") / width).alias("win")).agg(F.count_distinct("track_id").alias("parts"))
+    players = players.join(parts, keys, "left")
     moving = v.where(F.col("speed") >= rule.moving_speed)
     both = W.concurrency(moving, ["analysis_id", "win"], "clip_start", "clip_end", rule.min_players).withColumnRenamed("length", "simultaneous_us")
     out = players.groupBy("analysis_id", "win").agg(
@@ -85,6 +88,7 @@ def window_features(obs: DataFrame, rule: ActivityPolicy, court: Court | None =
         F.avg("stationary_us").alias("stationary_us"),
         F.sum("turns").alias("turns"),
         F.try_divide(F.sum("change_sum"), F.sum("change_n")).alias("speed_change"),
+        F.max("parts").alias("fragments"),
         *kitchen,
     )
     out = out.join(together, ["analysis_id", "win"], "left").join(both, ["analysis_id", "win"], "left")
@@ -104,10 +108,70 @@ def window_features(obs: DataFrame, rule: ActivityPolicy, court: Court | None =
         F.coalesce("moving_players", F.lit(0)).alias("moving_players"),
         F.coalesce("simultaneous_us", F.lit(0)).alias("simultaneous_us"),
         (F.coalesce("stationary_us", F.lit(0.0)) / width).alias("stationary_share"),
+        F.coalesce("fragments", F.lit(0)).alias("fragments"),
         *([F.coalesce("kitchen_players", F.lit(0)).alias("kitchen_players")] if court else []),
     )
 
 
+def classifier_inputs(features: DataFrame, obs: DataFrame, rule: ActivityPolicy) -> DataFrame:
+    """The features of windows (made with a court) as inputs of the full classifier; nothing is known of the recording, and the sources are current."""
+    length = obs.groupBy("analysis_id").agg(G.seconds(F.max("ts_us") - F.min("ts_us")).alias("source_seconds"))
+    window = F.lit(rule.window_us / 1_000_000)
+    return features.join(length, "analysis_id").select(
+        "analysis_id",
+        "win",
+        F.col("visible_players").alias("visible"),
+        F.col("reliable_players").alias("reliable"),
+        "fragments",
+        "coverage",
+        (1 - F.col("coverage")).alias("gap_ratio"),
+        window.alias("window_seconds"),
+        "source_seconds",
+        F.lit(None).cast("string").alias("quality"),
+        F.lit(True).alias("current"),
+        F.col("moving_players").alias("moving"),
+        (F.col("simultaneous_us") >= rule.min_simultaneous_share * rule.window_us).alias("simultaneous"),
+        "intensity",
+        F.col("kitchen_players").alias("kitchen"),
+        (F.col("stationary_share") * window).alias("stationary_seconds"),
+        F.col("turn_rate").alias("direction_rate"),
+        "speed",
+        "speed_change",
+        G.seconds(F.col("simultaneous_us")).alias("simultaneous_seconds"),
+    )
+
+
+def classified_intervals(windows: DataFrame) -> DataFrame:
+    """Runs of neighbouring classified windows of one state: weakest confidence, visibility and continuity, worst gap, means weighted by length, sums, and all codes."""
+    w = Window.partitionBy("analysis_id").orderBy("win")
+    new = F.when((F.lag("state").over(w) == F.col("state")) & (F.col("win") - F.lag("win").over(w) == 1), 0).otherwise(1)
+    rows = windows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seconds = F.col("window_seconds")
+    mean = lambda c: (F.sum(F.col(c) * seconds) / F.sum(seconds)).alias(c)
+    levels = ["NOT_AVAILABLE", "LOW", "MODERATE", "HIGH"]
+    out = rows.groupBy("analysis_id", "__run").agg(
+        F.min("state").alias("state"),
+        F.min("win").alias("first_win"),
+        F.max("win").alias("last_win"),
+        F.count(F.lit(1)).alias("windows"),
+        (F.sum(F.col("coverage") * seconds) / F.sum(seconds)).alias("observed_ratio"),
+        F.min("visible").alias("visible"),
+        F.min("reliable").alias("reliable"),
+        F.min("moving").alias("moving"),
+        F.max("kitchen").alias("kitchen"),
+        F.bool_and("simultaneous").alias("simultaneous"),
+        F.sum("simultaneous_seconds").alias("simultaneous_seconds"),
+        F.sum("stationary_seconds").alias("stationary_seconds"),
+        *map(mean, ("speed", "speed_change", "intensity", "direction_rate")),
+        ordinal_least(F.col("confidence"), levels).alias("confidence"),
+        ordinal_least(F.col("visibility"), levels).alias("visibility"),
+        ordinal_least(F.col("continuity"), ["NOT_AVAILABLE", "POOR", "LIMITED", "STRONG"]).alias("continuity"),
+        ordinal_least(F.col("gap_severity"), ["SEVERE", "MINOR", "NONE"]).alias("gap_severity"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("reason_codes")))).alias("reason_codes"),  # sets of few codes
+    )
+    return out.drop("__run")
+
+
 def window_states(features: DataFrame, rule: ActivityPolicy, coverage: float = 0.3) -> DataFrame:
     """ACTIVE, IDLE or UNKNOWN with the reasons that decided. Where the features count `kitchen_players`, a window with one is not IDLE."""
     c = F.col

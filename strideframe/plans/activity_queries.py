@@ -9,10 +9,12 @@ from ..functions import geometry as G
 from ..operators import activity as A
 from ..operators import association as J
 from ..operators import ball as B
+from ..operators import decisions as D
 from ..operators import tracks as T
 from ..operators import windows as W
 from ..session import written
 from ..sources.observations import OBS_SQL, observations
+from .decision_queries import classified_cte
 from .movement_queries import COURT, FRAGMENTS_CTE, POLICY, SMOOTH_CTE
 from .policy import EVENT_ACTIVITY, EVENT_ASSOCIATION, BallPolicy
 
@@ -190,20 +192,21 @@ mv AS (SELECT * FROM vr WHERE speed >= 0.0005::DOUBLE), {_sweep('mv', 'analysis_
 pl AS (SELECT analysis_id, player_id, win, sum(ov)::BIGINT AS ov, sum(speed * ov) AS wt, coalesce(sum(ov) FILTER (speed >= 0.0005::DOUBLE), 0)::BIGINT AS moving, coalesce(sum(ov) FILTER (speed <= 0.0001875::DOUBLE), 0)::BIGINT AS still,
     count(*) FILTER (fin AND turn) AS turns, sum(speed_change) FILTER (fin) AS chs, count(speed_change) FILTER (fin) AS chn FROM vr GROUP BY ALL),
 ki AS (SELECT analysis_id, player_id, ts_us // 86400000000 AS win, avg(CASE WHEN abs(court_y - 22) <= 7 THEN 1 ELSE 0 END) AS kitchen_share FROM obs WHERE inside GROUP BY ALL),
-pa AS (SELECT analysis_id, player_id, win, cover_us, coalesce(ov, 0) AS ov, wt, coalesce(moving, 0) AS moving, coalesce(still, 0) AS still, coalesce(turns, 0) AS turns, chs, coalesce(chn, 0) AS chn, kitchen_share
-  FROM cov LEFT JOIN pl USING (analysis_id, player_id, win) LEFT JOIN ki USING (analysis_id, player_id, win)),
+pa AS (SELECT analysis_id, player_id, win, cover_us, coalesce(ov, 0) AS ov, wt, coalesce(moving, 0) AS moving, coalesce(still, 0) AS still, coalesce(turns, 0) AS turns, chs, coalesce(chn, 0) AS chn, kitchen_share, parts
+  FROM cov LEFT JOIN pl USING (analysis_id, player_id, win) LEFT JOIN ki USING (analysis_id, player_id, win)
+    LEFT JOIN (SELECT analysis_id, player_id, ts_us // 86400000000 AS win, count(DISTINCT track_id) AS parts FROM obs GROUP BY ALL) USING (analysis_id, player_id, win)),
 ag AS (SELECT analysis_id, win, count(*) AS reliable_players, sum(cover_us) AS cover_us, sum(wt) / nullif(sum(ov), 0) AS speed, count(*) FILTER (moving >= 0.5::DOUBLE / 3 * 86400000000) AS moving_players, avg(still) AS still,
-    sum(turns) AS turns, sum(chs) / nullif(sum(chn), 0) AS speed_change, count(*) FILTER (still >= 0.55::DOUBLE * 86400000000 AND kitchen_share >= 0.5) AS kitchen_players FROM pa GROUP BY ALL),
+    sum(turns) AS turns, sum(chs) / nullif(sum(chn), 0) AS speed_change, count(*) FILTER (still >= 0.55::DOUBLE * 86400000000 AND kitchen_share >= 0.5) AS kitchen_players, max(parts) AS fragments FROM pa GROUP BY ALL),
 vi AS (SELECT analysis_id, ts_us // 86400000000 AS win, count(DISTINCT player_id) AS visible_players FROM obs GROUP BY ALL),
 ft AS (SELECT analysis_id, win, visible_players, coalesce(reliable_players, 0) AS reliable_players, coalesce(tg.length, 0) / 86400000000.0::DOUBLE AS coverage, coalesce(speed, 0) AS speed,
     least(1, coalesce(speed, 0) / 0.0025::DOUBLE) AS intensity, coalesce(speed_change, 0) AS speed_change, coalesce(turns / nullif(cover_us / 1000000.0::DOUBLE, 0), 0) AS turn_rate, coalesce(moving_players, 0) AS moving_players,
-    coalesce(sm.length, 0) AS simultaneous_us, coalesce(still, 0) / 86400000000.0::DOUBLE AS stationary_share, coalesce(kitchen_players, 0) AS kitchen_players
+    coalesce(sm.length, 0) AS simultaneous_us, coalesce(still, 0) / 86400000000.0::DOUBLE AS stationary_share, coalesce(kitchen_players, 0) AS kitchen_players, coalesce(fragments, 0) AS fragments
   FROM vi LEFT JOIN ag USING (analysis_id, win) LEFT JOIN tg USING (analysis_id, win) LEFT JOIN sm USING (analysis_id, win))"""
 
 _UPTO = f"WITH {OBS_SQL}, {SMOOTH_CTE}, {VELOCITY_CTE}, {ISLANDS_CTE}, {FEATURES_CTE}"
 FEATURES_SQL = f"""
 {_UPTO} SELECT analysis_id, win, visible_players, reliable_players, round(coverage, 9) AS coverage, round(speed, 12) AS speed, round(intensity, 9) AS intensity, round(speed_change, 14) AS speed_change,
-  round(turn_rate, 12) AS turn_rate, moving_players, simultaneous_us, round(stationary_share, 9) AS stationary_share, kitchen_players FROM ft
+  round(turn_rate, 12) AS turn_rate, moving_players, simultaneous_us, round(stationary_share, 9) AS stationary_share, kitchen_players, fragments FROM ft
 """
 
 
@@ -236,6 +239,46 @@ iv AS (SELECT analysis_id, min(state) AS state, min(win) AS first_win, max(win)
 INTERVALS_SQL = f"{_UPTO}, {STATES_CTE}, {INTERVALS_CTE} SELECT * FROM iv"
 
 
+#: Limits of the classifier that fit days as windows.
+DAYS = D.WindowPolicy(window_seconds=86_400.0, min_context=172_800.0, coverage=0.2, strong_coverage=0.45, minor_gap=0.5, severe_gap=0.8, direction_rate=2e-6)
+
+
+def _classified(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    return D.classified_windows(A.classifier_inputs(A.window_features(obs, RULE, COURT), obs, RULE), DAYS)
+
+
+def classified_activity(spark, sf_dir):
+    """The features of every day through the full classifier."""
+    out = _classified(spark, sf_dir)
+    return out.select("analysis_id", "win", "gap_severity", "continuity", "visibility", "state", "confidence", F.array_join("reason_codes", ",").alias("reason_codes"))
+
+
+def activity_intervals(spark, sf_dir):
+    """Runs of days of one state."""
+    out = A.classified_intervals(_classified(spark, sf_dir))
+    places = {"observed_ratio": 9, "speed": 12, "speed_change": 14, "intensity": 9, "direction_rate": 12, "stationary_seconds": 3, "simultaneous_seconds": 3}
+    return out.withColumns({**{c: F.round(c, n) for c, n in places.items()}, "reason_codes": F.array_join("reason_codes", ",")})
+
+
+_CLASSIFIED = f"""{_UPTO},
+le AS (SELECT analysis_id, (max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE AS source_seconds FROM obs GROUP BY 1),
+f AS (SELECT analysis_id, win, visible_players AS visible, reliable_players AS reliable, fragments, coverage, 1 - coverage AS gap_ratio, 86400::DOUBLE AS window_seconds, source_seconds, NULL::VARCHAR AS quality, true AS current,
+    moving_players AS moving, simultaneous_us >= 0.35::DOUBLE / 3 * 86400000000 AS simultaneous, intensity, kitchen_players AS kitchen, stationary_share * 86400 AS stationary_seconds, turn_rate AS direction_rate, speed, speed_change,
+    simultaneous_us / 1000000.0::DOUBLE AS simultaneous_seconds FROM ft JOIN le USING (analysis_id)), {classified_cte(DAYS)}"""
+CLASSIFIED_SQL = f"{_CLASSIFIED} SELECT analysis_id, win, gap_severity, continuity, visibility, state, confidence, array_to_string(codes, ',') AS reason_codes FROM z"
+_WEAKEST = lambda column, *ranks: f"[{', '.join(repr(r) for r in ranks)}][min(list_position([{', '.join(repr(r) for r in ranks)}], {column}))] AS {column}"
+_LEVELS = ("NOT_AVAILABLE", "LOW", "MODERATE", "HIGH")
+ACTIVITY_SQL = f"""{_CLASSIFIED},
+m1 AS (SELECT *, CASE WHEN lag(state) OVER w = state AND win - lag(win) OVER w = 1 THEN 0 ELSE 1 END AS brk FROM z WINDOW w AS (PARTITION BY analysis_id ORDER BY win)),
+m2 AS (SELECT *, sum(brk) OVER (PARTITION BY analysis_id ORDER BY win ROWS UNBOUNDED PRECEDING) AS run FROM m1)
+SELECT analysis_id, min(state) AS state, min(win) AS first_win, max(win) AS last_win, count(*) AS windows, round(avg(coverage), 9) AS observed_ratio, min(visible) AS visible, min(reliable) AS reliable, min(moving) AS moving, max(kitchen) AS kitchen,
+  bool_and(simultaneous) AS simultaneous, round(sum(simultaneous_seconds), 3) AS simultaneous_seconds, round(sum(stationary_seconds), 3) AS stationary_seconds, round(avg(speed), 12) AS speed, round(avg(speed_change), 14) AS speed_change,
+  round(avg(intensity), 9) AS intensity, round(avg(direction_rate), 12) AS direction_rate, {_WEAKEST("confidence", *_LEVELS)}, {_WEAKEST("visibility", *_LEVELS)}, {_WEAKEST("continuity", "NOT_AVAILABLE", "POOR", "LIMITED", "STRONG")},
+  {_WEAKEST("gap_severity", "SEVERE", "MINOR", "NONE")}, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS reason_codes FROM m2 GROUP BY analysis_id, run
+"""
+
+
 def state_totals(spark, sf_dir):
     """Windows by state and analysis, zeros kept, and their share."""
     states = F.explode(F.array(*[F.lit(x) for x in ("ACTIVE", "IDLE", "UNKNOWN")])).alias("state")
@@ -416,12 +459,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         association_edges, association_groups, candidate_rollup, candidate_selection, velocity_direction, observed_islands, concurrency_sweep, window_features,
-        window_states, state_intervals, state_totals, reason_histogram, review_overlap_state, boundary_error, threshold_what_if, ball_tracker, ball_events, ball_segments, ball_path_report, ball_report,
+        window_states, state_intervals, classified_activity, activity_intervals, state_totals, reason_histogram, review_overlap_state, boundary_error, threshold_what_if, ball_tracker, ball_events, ball_segments, ball_path_report, ball_report,
     )
 }
 ORACLES = {
     "association_edges": EDGES_SQL, "association_groups": GROUPS_SQL, "candidate_rollup": ROLLUP_SQL, "candidate_selection": SELECTION_SQL, "velocity_direction": VELOCITY_SQL, "observed_islands": ISLANDS_SQL,
-    "concurrency_sweep": SWEEP_SQL, "window_features": FEATURES_SQL, "window_states": STATES_SQL, "state_intervals": INTERVALS_SQL, "state_totals": TOTALS_SQL,
+    "concurrency_sweep": SWEEP_SQL, "window_features": FEATURES_SQL, "window_states": STATES_SQL, "state_intervals": INTERVALS_SQL, "classified_activity": CLASSIFIED_SQL, "activity_intervals": ACTIVITY_SQL, "state_totals": TOTALS_SQL,
     "reason_histogram": REASONS_SQL, "review_overlap_state": REVIEW_SQL, "boundary_error": BOUNDARY_SQL, "threshold_what_if": WHAT_IF_SQL, "ball_report": BALL_REPORT_SQL,
     "ball_tracker": BALL_TRACKER_SQL, "ball_events": BALL_EVENTS_SQL, "ball_segments": BALL_SEGMENTS_SQL, "ball_path_report": BALL_PATH_REPORT_SQL,
 }

@@ -39,25 +39,31 @@ def window_classifier(spark, sf_dir):
     return out.select("k", "gap_severity", "continuity", "visibility", "state", "confidence", F.array_join("reason_codes", ",").alias("reason_codes"))
 
 
-WINDOW_SQL = f"""
-WITH v AS (SELECT event_id AS k FROM events), f AS (SELECT k, {_sql(WINDOW_FIELDS)} FROM v),
-g AS (SELECT *, CASE WHEN gap_ratio >= 0.35 THEN 'SEVERE' WHEN gap_ratio >= 0.15 THEN 'MINOR' ELSE 'NONE' END AS gap_severity FROM f),
+def classified_cte(p: D.WindowPolicy) -> str:
+    """From inputs `f` to `z` with the state, its grades and the sorted list of codes."""
+    return f"""
+g AS (SELECT *, CASE WHEN gap_ratio >= {p.severe_gap} THEN 'SEVERE' WHEN gap_ratio >= {p.minor_gap} THEN 'MINOR' ELSE 'NONE' END AS gap_severity FROM f),
 h AS (SELECT *, CASE WHEN reliable = 0 THEN 'NOT_AVAILABLE' WHEN gap_severity = 'SEVERE' THEN 'POOR' WHEN gap_severity = 'NONE' AND fragments = 1 THEN 'STRONG' ELSE 'LIMITED' END AS continuity,
-    CASE WHEN reliable < 2 THEN 'NOT_AVAILABLE' WHEN coverage >= 0.85 THEN 'HIGH' WHEN coverage >= 0.65 THEN 'MODERATE' ELSE 'LOW' END AS visibility,
-    source_seconds < 6 OR window_seconds < 3 - 1e-6 AS short, coalesce(quality = 'UNSUITABLE', false) AS bad FROM g),
-i AS (SELECT *, NOT (reliable < 2 OR coverage < 0.65 OR gap_severity = 'SEVERE' OR short OR bad OR NOT current) AS open FROM h),
-j AS (SELECT *, CASE WHEN NOT open THEN 'UNKNOWN' WHEN moving >= 2 AND simultaneous AND intensity >= 0.25 THEN 'LIKELY_ACTIVE'
-    WHEN moving = 0 AND kitchen = 0 AND intensity <= 0.12 AND stationary_seconds >= window_seconds * 0.55::DOUBLE THEN 'LIKELY_IDLE' ELSE 'UNKNOWN' END AS state FROM i)
-SELECT k, gap_severity, continuity, visibility, state,
-  CASE WHEN NOT open THEN 'NOT_AVAILABLE' WHEN state <> 'UNKNOWN' AND coverage >= 0.85 AND continuity = 'STRONG' AND visibility = 'HIGH' THEN 'MODERATE' ELSE 'LOW' END AS confidence,
-  array_to_string(list_sort(list_filter([CASE WHEN visible = 0 THEN 'NO_OBSERVATIONS' END, CASE WHEN reliable < 2 THEN 'INSUFFICIENT_RELIABLE_PLAYERS' END, CASE WHEN reliable = 1 THEN 'ONE_PLAYER_ONLY' END,
-    CASE WHEN coverage >= 0.65 THEN 'SUFFICIENT_TRACKED_COVERAGE' ELSE 'INSUFFICIENT_TRACKED_COVERAGE' END, CASE WHEN gap_severity <> 'NONE' THEN 'TRACKING_GAP' END,
+    CASE WHEN reliable < {p.min_reliable} THEN 'NOT_AVAILABLE' WHEN coverage >= {p.strong_coverage} THEN 'HIGH' WHEN coverage >= {p.coverage} THEN 'MODERATE' ELSE 'LOW' END AS visibility,
+    source_seconds < {p.min_context} OR window_seconds < {p.window_seconds} - 1e-6 AS short, coalesce(quality = 'UNSUITABLE', false) AS bad FROM g),
+i AS (SELECT *, NOT (reliable < {p.min_reliable} OR coverage < {p.coverage} OR gap_severity = 'SEVERE' OR short OR bad OR NOT current) AS open FROM h),
+j AS (SELECT *, CASE WHEN NOT open THEN 'UNKNOWN' WHEN moving >= {p.min_reliable} AND simultaneous AND intensity >= {p.active_intensity} THEN 'LIKELY_ACTIVE'
+    WHEN moving = 0 AND kitchen = 0 AND intensity <= {p.idle_intensity} AND stationary_seconds >= window_seconds * {p.player_coverage}::DOUBLE THEN 'LIKELY_IDLE' ELSE 'UNKNOWN' END AS state FROM i),
+z AS (SELECT *,
+  CASE WHEN NOT open THEN 'NOT_AVAILABLE' WHEN state <> 'UNKNOWN' AND coverage >= {p.strong_coverage} AND continuity = 'STRONG' AND visibility = 'HIGH' THEN 'MODERATE' ELSE 'LOW' END AS confidence,
+  list_sort(list_filter([CASE WHEN visible = 0 THEN 'NO_OBSERVATIONS' END, CASE WHEN reliable < {p.min_reliable} THEN 'INSUFFICIENT_RELIABLE_PLAYERS' END, CASE WHEN reliable = 1 THEN 'ONE_PLAYER_ONLY' END,
+    CASE WHEN coverage >= {p.coverage} THEN 'SUFFICIENT_TRACKED_COVERAGE' ELSE 'INSUFFICIENT_TRACKED_COVERAGE' END, CASE WHEN gap_severity <> 'NONE' THEN 'TRACKING_GAP' END,
     CASE WHEN gap_severity = 'SEVERE' THEN 'SEVERE_TRACKING_GAPS' END, CASE WHEN continuity IN ('LIMITED', 'POOR') THEN 'FRAGMENTED_CANDIDATES' END, CASE WHEN bad THEN 'UNSUITABLE_RECORDING' END,
     CASE WHEN short THEN 'SHORT_CONTEXT' END, CASE WHEN NOT current THEN 'STALE_SOURCE_ARTIFACT' END, CASE WHEN state = 'LIKELY_ACTIVE' THEN 'SUSTAINED_MULTI_PLAYER_MOVEMENT' END,
-    CASE WHEN state = 'LIKELY_ACTIVE' THEN 'SIMULTANEOUS_MOVEMENT' END, CASE WHEN state = 'LIKELY_ACTIVE' AND direction_rate >= 0.08 THEN 'MEANINGFUL_DIRECTION_CHANGES' END,
+    CASE WHEN state = 'LIKELY_ACTIVE' THEN 'SIMULTANEOUS_MOVEMENT' END, CASE WHEN state = 'LIKELY_ACTIVE' AND direction_rate >= {p.direction_rate} THEN 'MEANINGFUL_DIRECTION_CHANGES' END,
     CASE WHEN state = 'LIKELY_ACTIVE' AND moving < reliable THEN 'STATIONARY_PLAYER_WITH_ACTIVE_PEERS' END, CASE WHEN state = 'LIKELY_IDLE' THEN 'SUSTAINED_LOW_MOVEMENT' END,
     CASE WHEN state = 'LIKELY_IDLE' THEN 'STABLE_LOW_ACTIVITY' END, CASE WHEN open AND state = 'UNKNOWN' AND kitchen > 0 THEN 'KITCHEN_LOW_MOVEMENT_SAFEGUARD' END,
-    CASE WHEN open AND state = 'UNKNOWN' THEN 'CONFLICTING_EVIDENCE' END], lambda x: x IS NOT NULL)), ',') AS reason_codes FROM j
+    CASE WHEN open AND state = 'UNKNOWN' THEN 'CONFLICTING_EVIDENCE' END], lambda x: x IS NOT NULL)) AS codes FROM j)"""
+
+
+WINDOW_SQL = f"""
+WITH v AS (SELECT event_id AS k FROM events), f AS (SELECT k, {_sql(WINDOW_FIELDS)} FROM v), {classified_cte(D.WindowPolicy())}
+SELECT k, gap_severity, continuity, visibility, state, confidence, array_to_string(codes, ',') AS reason_codes FROM z
 """
 
 # ---- reports ----

@@ -50,3 +50,19 @@ def test_angle(spark):
     df = spark.createDataFrame([(1.0, 0.0, 0.0, 2.0), (1.0, 0.0, -1.0, 0.0), (0.0, 0.0, 1.0, 0.0)], "a double, b double, c double, d double")
     got = [r[0] for r in df.select(F.round(G.angle_degrees(*[F.col(c) for c in "abcd"]), 6)).collect()]
     assert got == [90.0, 180.0, None]
+
+
+def test_intervals_weigh_means_by_length_and_keep_the_weakest_grades(spark):
+    from strideframe.operators.activity import classified_intervals
+
+    names = "analysis_id long, win long, state string, window_seconds double, coverage double, visible int, reliable int, moving int, kitchen int, simultaneous boolean, simultaneous_seconds double, stationary_seconds double, speed double, speed_change double, intensity double, direction_rate double, confidence string, visibility string, continuity string, gap_severity string, reason_codes array<string>"
+    rows = [
+        (1, 0, "A", 3.0, 1.0, 4, 3, 2, 0, True, 1.0, 0.5, 2.0, 0.0, 0.4, 0.1, "MODERATE", "HIGH", "STRONG", "NONE", ["X", "B"]),
+        (1, 1, "A", 1.0, 0.6, 2, 3, 3, 1, False, 0.5, 0.5, 6.0, 4.0, 0.8, 0.3, "LOW", "MODERATE", "POOR", "MINOR", ["A", "B"]),
+        (1, 3, "A", 3.0, 1.0, 4, 4, 2, 0, True, 1.0, 0.0, 1.0, 1.0, 0.1, 0.0, "NOT_AVAILABLE", "LOW", "LIMITED", "SEVERE", []),
+    ]
+    first, second = classified_intervals(spark.createDataFrame(rows, names)).orderBy("first_win").collect()
+    assert (first.windows, first.speed, first.speed_change, round(first.intensity, 9), round(first.observed_ratio, 9)) == (2, 3.0, 1.0, 0.5, 0.9)
+    assert (first.visible, first.reliable, first.moving, first.kitchen, first.simultaneous, first.simultaneous_seconds) == (2, 3, 2, 1, False, 1.5)
+    assert (first.confidence, first.visibility, first.continuity, first.gap_severity, first.reason_codes) == ("LOW", "MODERATE", "POOR", "MINOR", ["A", "B", "X"])
+    assert (second.first_win, second.windows, second.confidence) == (3, 1, "NOT_AVAILABLE")
