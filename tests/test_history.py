@@ -16,14 +16,14 @@ def test_records_take_what_there_is(spark):
 
 
 def test_halves_leave_the_middle_out_and_equal_moves_take_the_first_part(spark):
-    rows = [(7, k, 100 + k, 1.0, float(a), float(b)) for k, (a, b) in enumerate([(1, 1), (1, 1), (5, 5), (3, 1), (1, 1)])] + [(8, 9, 1, 1.0, 1.0, 1.0)]
+    rows = [(7, k, 100 + k, 1.0, float(a), float(b)) for k, (a, b) in enumerate([(1, 1), (1, 1), (5, 5), (3, 1), (3, 1)])] + [(8, 9, 1, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "owner long, analysis_id long, at long, seconds double, near double, far double")
     groups = H.comparison_groups(H.even_split(df, ["owner"], "analysis_id", "at"), ["owner"], "at", ["seconds", "near", "far"])
     got = {r.split: (r.period_start, r.period_end, r.analyses, r.analysis_ids, r.near, r.far) for r in groups.collect()}
-    assert got == {"earlier": (100, 101, 2, [0, 1], 2.0, 2.0), "recent": (103, 104, 2, [3, 4], 4.0, 2.0)}
+    assert got == {"earlier": (100, 101, 2, [0, 1], 2.0, 2.0), "recent": (103, 104, 2, [3, 4], 6.0, 2.0)}
     (row,) = H.share_changes(groups, ["owner"], ["near", "far"], 5.0).collect()
-    assert (row["style"], round(row.style_change, 6), row.style_status) == ("near", 16.666667, "PROVISIONAL_CHANGE")
-    (row,) = H.share_changes(groups, ["owner"], ["far", "near"], 20.0).collect()
-    assert (row["style"], round(row.style_change, 6), row.style_status) == ("far", -16.666667, "NO_CLEAR_CHANGE")
+    assert (row["style"], round(row.style_change, 6), row.style_status) == ("near", 25.0, "PROVISIONAL_CHANGE")
+    (row,) = H.share_changes(groups, ["owner"], ["far", "near"], 30.0).collect()
+    assert (row["style"], round(row.style_change, 6), row.style_status) == ("far", -25.0, "NO_CLEAR_CHANGE")
     (row,) = H.share_changes(groups.where("split = 'recent'"), ["owner"], ["far", "near"], 5.0).collect()
     assert (row["style"], row.style_status) == (None, None)
