@@ -121,3 +121,52 @@ def summary(samples: DataFrame, first: int = 10) -> DataFrame:
     open_ = F.when(F.col("category") == "confidence", False).when(F.col("category").startswith("active_play"), F.col("played")).otherwise(True)
     none = F.array().cast("array<string>")
     return out.select("number", "category", F.when(open_, F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("first_ids", none).alias("first_ids"), F.when(open_, "AVAILABLE").otherwise("NOT_REVIEWED").alias("availability"))
+
+
+#: Labels of quality from worst to best, and the gates that a review can expect.
+QUALITY_ORDER = ("UNSUITABLE", "LIMITED", "GOOD", "EXCELLENT")
+REVIEWED_GATES = ("INSUFFICIENT_EVIDENCE", "MEASUREMENT_ONLY", "CAUTIOUS", "NORMAL")
+
+
+def outcomes(samples: DataFrame) -> DataFrame:
+    """Adds to samples (system_quality, verdict, label, system_gate, expected_gate, warnings, errors): the expected quality, a reviewed verdict or else the label; its
+    distance to the system's; whether it is exact or within one step; whether the gates agree; null where either side is missing. `outcome`: FAILED with neither
+    quality nor gate of the system, PARTIAL with a warning or an error, else EVALUATED."""
+    rank = lambda q: F.nullif(F.array_position(F.array(*map(F.lit, QUALITY_ORDER)), q), F.lit(0))
+    expected = F.when(F.col("verdict").isin(*QUALITY_ORDER), F.col("verdict")).otherwise(F.col("label"))
+    df = samples.withColumn("expected_quality", expected)
+    delta = (rank(F.col("system_quality")) - rank(F.col("expected_quality"))).cast("int")
+    clean = (F.coalesce(F.size("warnings"), F.lit(0)) <= 0) & (F.coalesce(F.size("errors"), F.lit(0)) <= 0)
+    return df.withColumn("quality_delta", delta).withColumns(
+        {
+            "exact": F.col("quality_delta") == 0,
+            "acceptable": F.abs("quality_delta") <= 1,
+            "gate_agrees": F.when(F.col("expected_gate").isin(*REVIEWED_GATES), F.col("system_gate") == F.col("expected_gate")),
+            "outcome": F.when(F.col("system_quality").isNull() & F.col("system_gate").isNull(), "FAILED").when(clean, "EVALUATED").otherwise("PARTIAL"),
+        }
+    )
+
+
+def optional_count(explicit: Column) -> Column:
+    """The sum of what reviewers counted; null, not 0, where none did."""
+    return F.sum(explicit)
+
+
+def count_or_role(explicit: Column, mappings: str, role: str) -> Column:
+    """A reviewer's own count, else how many of the mappings have the role; null without mappings."""
+    return F.coalesce(explicit, F.when(F.size(mappings) > 0, F.size(F.filter(mappings, lambda m: m["role"] == role))))
+
+
+def duration_rate(part: Column, whole: Column, intervals: Column, provisional: Column) -> dict[str, Column]:
+    """The percentage of a duration, null for none, and its text."""
+    percent = F.when(whole > 0, part / whole * 100)
+    share = F.when(percent.isNull(), "not available").otherwise(F.format_string("%.1f%%", percent))
+    text = F.format_string("%.3f/%.3fs (%s; %d intervals)%s", part, whole, share, intervals, F.when(provisional, " — provisional").otherwise(""))
+    return {"percent": percent, "text": text}
+
+
+def raw_metric(total: Column, labelled: Column, least: int) -> dict[str, Column]:
+    """A count over labelled samples, for which a percentage means nothing, with its note."""
+    thin = labelled < least
+    note = F.format_string("Raw total across %d labeled samples; a percentage is not meaningful.", labelled)
+    return {"provisional": thin, "note": F.concat(note, F.when(thin, F.lit(f" Coverage is provisional below {least} reviewed samples.")).otherwise(""))}

@@ -94,6 +94,63 @@ n AS (SELECT category, count(*) AS n, array_to_string(list(sample_id ORDER BY sa
 SELECT number, category, CASE WHEN category <> 'confidence' THEN coalesce(n, 0) END AS n, coalesce(ids, '') AS first_ids, CASE WHEN category <> 'confidence' THEN 'AVAILABLE' ELSE 'NOT_REVIEWED' END AS availability FROM c LEFT JOIN n USING (category)
 """
 
+# ---- outcomes and counts ----
+
+_OUTCOME_FIELDS = """
+CASE WHEN o_orderkey % 8 > 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'UNSUITABLE' WHEN 1 THEN 'LIMITED' WHEN 2 THEN 'GOOD' WHEN 3 THEN 'EXCELLENT' ELSE 'ODD' END END AS system_quality,
+CASE o_orderkey % 7 WHEN 0 THEN 'NOT_REVIEWED' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'GOOD' WHEN 3 THEN 'LIMITED' WHEN 4 THEN 'EXCELLENT' END AS verdict, CASE WHEN o_orderkey % 3 = 0 THEN 'GOOD' ELSE 'UNSUITABLE' END AS label,
+CASE WHEN o_orderkey % 4 > 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'CAUTIOUS' ELSE 'MEASUREMENT_ONLY' END END AS system_gate,
+CASE o_orderkey % 11 WHEN 0 THEN 'NOT_REVIEWED' WHEN 1 THEN 'NORMAL' WHEN 2 THEN 'CAUTIOUS' WHEN 3 THEN 'MEASUREMENT_ONLY' ELSE 'NORMAL' END AS expected_gate"""
+
+
+def sample_outcomes(spark, sf_dir):
+    """How the system's verdicts on each sample stand to the reviewed ones."""
+    k = F.col("o_orderkey")
+    code = lambda n, name: F.filter(F.array(F.when(k % n == 0, name)), lambda x: x.isNotNull())
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *[e.strip() for e in _fields(_OUTCOME_FIELDS)]).withColumns({"warnings": code(6, "thin"), "errors": code(10, "lost")})
+    return E.outcomes(rows).select("o_orderkey", "expected_quality", "quality_delta", "exact", "acceptable", "gate_agrees", "outcome")
+
+
+def _fields(text: str) -> list[str]:
+    """Expressions that end in `AS name`."""
+    out, at = [], 0
+    for part in text.split(" AS ")[1:]:
+        end = text.index(" AS ", at) + 4 + len(part.split(",")[0].rstrip())
+        out.append(text[at:end])
+        at = end + 1
+    return out
+
+
+def review_counts(spark, sf_dir):
+    """Per customer: duplicates that reviewers counted, spectators counted or mapped, the share of active time, and their texts."""
+    k = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_partkey") % 2 == 0, "SPECTATOR").otherwise("COURT_PLAYER").alias("role"))).alias("mappings"), F.sum("l_quantity").alias("seconds"))
+    rows = table(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left").withColumn("mappings", F.when(k % 2 == 0, F.col("mappings")))
+    explicit, seconds = F.when(k % 3 == 0, k % 4), F.coalesce("seconds", F.lit(0.0))
+    out = rows.groupBy("o_custkey").agg(
+        E.optional_count(F.when(k % 5 == 0, k % 7)).alias("duplicates"), F.sum(E.count_or_role(explicit, "mappings", "SPECTATOR")).alias("spectators"), F.coalesce(F.sum(F.when(k % 2 == 0, seconds)), F.lit(0.0)).alias("active"),
+        F.sum(F.when(k % 7 > 0, seconds).otherwise(0.0)).alias("whole"), F.count(F.lit(1)).alias("n"),
+    )
+    rate, raw = E.duration_rate(F.col("active"), F.col("whole"), F.col("n"), F.col("n") < 5), E.raw_metric(F.coalesce("spectators", F.lit(0)), F.col("n"), 8)
+    return out.select("o_custkey", "duplicates", "spectators", F.round(rate["percent"], 6).alias("percent"), rate["text"].alias("text"), raw["provisional"].alias("provisional"), raw["note"].alias("note"))
+
+
+OUTCOMES_SQL = f"""
+WITH r AS (SELECT o_orderkey, {_OUTCOME_FIELDS} FROM orders), e AS (SELECT *, CASE WHEN verdict IN ('UNSUITABLE', 'LIMITED', 'GOOD', 'EXCELLENT') THEN verdict ELSE label END AS expected_quality FROM r),
+d AS (SELECT *, nullif(list_position(['UNSUITABLE', 'LIMITED', 'GOOD', 'EXCELLENT'], system_quality), 0) - nullif(list_position(['UNSUITABLE', 'LIMITED', 'GOOD', 'EXCELLENT'], expected_quality), 0) AS quality_delta FROM e)
+SELECT o_orderkey, expected_quality, quality_delta, quality_delta = 0 AS exact, abs(quality_delta) <= 1 AS acceptable, CASE WHEN expected_gate <> 'NOT_REVIEWED' THEN system_gate = expected_gate END AS gate_agrees,
+  CASE WHEN system_quality IS NULL AND system_gate IS NULL THEN 'FAILED' WHEN o_orderkey % 6 > 0 AND o_orderkey % 10 > 0 THEN 'EVALUATED' ELSE 'PARTIAL' END AS outcome FROM d
+"""
+COUNTS_SQL = """
+WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_partkey % 2 = 0) AS s, sum(l_quantity) AS seconds FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey, o_orderkey AS k, n, s, coalesce(seconds, 0) AS seconds FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+g AS (SELECT o_custkey, sum(CASE WHEN k % 5 = 0 THEN k % 7 END)::BIGINT AS duplicates, sum(CASE WHEN k % 3 = 0 THEN k % 4 WHEN k % 2 = 0 AND n > 0 THEN s END)::BIGINT AS spectators, coalesce(sum(seconds) FILTER (k % 2 = 0), 0) AS active,
+    coalesce(sum(seconds) FILTER (k % 7 > 0), 0) AS whole, count(*) AS n FROM o GROUP BY 1)
+SELECT o_custkey, duplicates, spectators, CASE WHEN whole > 0 THEN round(active / whole * 100, 6) END AS percent,
+  printf('%.3f/%.3fs (', active, whole) || CASE WHEN whole > 0 THEN printf('%.1f%%', round(active / whole * 100, 1)) ELSE 'not available' END || '; ' || n || ' intervals)' || CASE WHEN n < 5 THEN ' — provisional' ELSE '' END AS text,
+  n < 8 AS provisional, 'Raw total across ' || n || ' labeled samples; a percentage is not meaningful.' || CASE WHEN n < 8 THEN ' Coverage is provisional below 8 reviewed samples.' ELSE '' END AS note FROM g
+"""
+
 # ---- configurations ----
 
 SCALARS, SECTIONS = ["frames", "extra"], {"detector": ["model", "threshold", "deep"]}
@@ -119,5 +176,5 @@ u AS (SELECT *, CASE m
 SELECT o_orderkey, text, sha256(text) AS fingerprint, ['', 'password', 'detector', 'detector.size,unknown'][m + 1] AS unknown FROM u
 """
 
-QUERIES = {f.__name__: f for f in (disagreements, failure_reasons, policy_errors, disagreement_summary, stage_configurations)}
-ORACLES = dict(zip(QUERIES, (DISAGREEMENTS_SQL, FAILURES_SQL, POLICY_SQL, SUMMARY_SQL, CONFIGURATION_SQL)))
+QUERIES = {f.__name__: f for f in (disagreements, failure_reasons, policy_errors, disagreement_summary, sample_outcomes, review_counts, stage_configurations)}
+ORACLES = dict(zip(QUERIES, (DISAGREEMENTS_SQL, FAILURES_SQL, POLICY_SQL, SUMMARY_SQL, OUTCOMES_SQL, COUNTS_SQL, CONFIGURATION_SQL)))

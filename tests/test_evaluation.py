@@ -90,3 +90,18 @@ def test_the_summary_keeps_the_first_ten_of_many(spark):
     df = spark.createDataFrame([sample(sample_id=f"s{i:04d}", artifact_readiness="MISSING") for i in range(500)], E.SAMPLE).repartition(7)
     row = {r.category: r for r in E.summary(df).collect()}["artifact_compatibility"]
     assert row.n == 500 and row.first_ids == [f"s{i:04d}" for i in range(10)]
+
+
+def test_outcomes_and_counts_keep_missing_apart_from_zero(spark):
+    names = "k int, system_quality string, verdict string, label string, system_gate string, expected_gate string, warnings array<string>, errors array<string>"
+    rows = [(0, "GOOD", "LIMITED", "EXCELLENT", "NORMAL", "NORMAL", [], None), (1, "UNSUITABLE", "NOT_REVIEWED", "EXCELLENT", None, "CAUTIOUS", ["w"], []), (2, None, None, "GOOD", None, "NOT_REVIEWED", None, None)]
+    got = {r.k: (r.expected_quality, r.quality_delta, r.exact, r.acceptable, r.gate_agrees, r.outcome) for r in E.outcomes(spark.createDataFrame(rows, names)).collect()}
+    assert got == {0: ("LIMITED", 1, False, True, True, "EVALUATED"), 1: ("EXCELLENT", -3, False, False, None, "PARTIAL"), 2: ("GOOD", None, None, None, None, "FAILED")}
+    mappings = "g int, n int, m array<struct<role:string>>"
+    df = spark.createDataFrame([(1, None, [("SPECTATOR",), ("DUPLICATE",)]), (1, 0, [("SPECTATOR",)]), (2, None, []), (2, None, None), (3, 0, None)], mappings)
+    sums = df.groupBy("g").agg(E.optional_count(F.col("n")).alias("a"), F.sum(E.count_or_role(F.col("n"), "m", "SPECTATOR")).alias("b")).collect()
+    assert {r.g: (r.a, r.b) for r in sums} == {1: (0, 1), 2: (None, None), 3: (0, 0)}
+    rate = E.duration_rate(F.lit(6.25), F.lit(0.0), F.lit(2), F.lit(True))
+    raw = E.raw_metric(F.lit(3), F.lit(2), 5)
+    row = spark.range(1).select(rate["percent"].alias("p"), rate["text"].alias("t"), raw["note"].alias("n")).first()
+    assert (row.p, row.t) == (None, "6.250/0.000s (not available; 2 intervals) — provisional") and row.n.endswith("Coverage is provisional below 5 reviewed samples.")
