@@ -186,17 +186,23 @@ def write_markdown(metrics: DataFrame, path: str, title: str, key: str, value: s
 def publish(df: DataFrame, path: str, replace: bool = False) -> None:
     """JSON lines that appear under `path` whole or not at all: written beside it, then renamed.
 
-    Without `replace` a path that exists is an error. With it the old folder goes right before the renaming.
+    Without `replace` a path that exists is an error. With it the old folder is put aside before the renaming, goes after it, and comes back if the renaming fails.
     """
     fs, at = _filesystem(df.sparkSession, path)
-    _, partial = _filesystem(df.sparkSession, f"{path}.partial-{uuid.uuid4().hex}")
+    mark = uuid.uuid4().hex
+    _, partial = _filesystem(df.sparkSession, f"{path}.partial-{mark}")
+    _, aside = _filesystem(df.sparkSession, f"{path}.before-{mark}")
     if fs.exists(at) and not replace:
         raise FileExistsError(path)
     try:
         df.write.json(partial.toString())
-        if replace:
-            fs.delete(at, True)
+        held = replace and fs.exists(at)
+        if held and not fs.rename(at, aside):
+            raise OSError(f"cannot put {path} aside")
         if not fs.rename(partial, at):
+            if held:
+                fs.rename(aside, at)
             raise OSError(f"cannot rename to {path}")
+        fs.delete(aside, True)
     finally:
         fs.delete(partial, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -24,6 +24,33 @@ def read_observations(spark: SparkSession, path: str, on_error: str = "raise") -
     return df.withColumns({"court_x": F.try_element_at("court_position", F.lit(1)), "court_y": F.try_element_at("court_position", F.lit(2))})
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, problem) of every line of JSON lines that is no observation: NOT_JSON, NO_TIME without frame or seconds, NOT_FINITE with a court position that is no
+    pair of finite numbers. Blank lines are none.
+
+    A line's number is its place in its block of the file and the lines of the blocks before, so that files are read in parts.
+    """
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))  # a row per read partition and file
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    row = F.from_json("value", OBSERVATION + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.where(F.trim("value") != "").withColumn("r", row)
+    finite = (F.size("r.court_position") == 2) & F.forall("r.court_position", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    problem = F.when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), "NOT_JSON").when(F.col("r.frame_index").isNull() | F.col("r.timestamp_seconds").isNull(), "NO_TIME").when(~F.coalesce(finite, F.lit(False)), "NOT_FINITE")
+    bad = rows.withColumn("problem", problem).where("problem IS NOT NULL")
+    return bad.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "problem")
+
+
+def checked_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Observations of JSON lines; an error that names the first bad line if there is one."""
+    first = bad_lines(spark, path).orderBy("file", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}, line {first[0]['line']}: {first[0]['problem']}")
+    return read_observations(spark, path)
+
+
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON documents (reports, manifests), one row each."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
