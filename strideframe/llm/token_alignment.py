@@ -119,9 +119,9 @@ def aligned(tokens: DataFrame) -> DataFrame:
         cuts = sides[other].select("chunk_id", "end", F.lit(1).alias("cut"))
         g = F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g")
         marked = sides[side].join(cuts.hint("merge"), ["chunk_id", "end"], "left").select("chunk_id", "end", "id", g)
-        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda t: t["id"])
+        ids = F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda t: t["id"])
         grouped.append(marked.groupBy("chunk_id", "g").agg(ids.alias(side)))
-    groups = grouped[0].join(grouped[1].hint("merge"), ["chunk_id", "g"]).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    groups = grouped[0].join(grouped[1].hint("merge"), ["chunk_id", "g"]).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
     return tokens.select("chunk_id", "chunk", "hot", "whole").join(groups.hint("merge"), "chunk_id", "left")
 
 
@@ -174,7 +174,7 @@ def assembled(docs: DataFrame, words: DataFrame, split: bool = True) -> DataFram
     both = hot.alias("h").join(rest.alias("r"), "row", "full")
     whole = F.coalesce("h.whole", F.lit(True)) & F.coalesce("r.whole", F.lit(True))
     no_parts, no_ids = F.array().cast("array<struct<pos:int,groups:string>>"), F.array().cast("array<long>")
-    parts = F.array_sort(F.concat(F.coalesce("h.parts", no_parts), F.coalesce("r.parts", no_parts)))
+    parts = F.sort_array(F.concat(F.coalesce("h.parts", no_parts), F.coalesce("r.parts", no_parts)))
     digest = F.when(whole, F.sha2(F.array_join(F.transform(parts, lambda p: p["groups"]), ";"), 256)).otherwise("")
     ids = [F.when(whole, F.coalesce(c, no_ids)).otherwise(no_ids).alias(c) for c in ("hot_ids", "rest_ids")]
     out = saved(both.select("row", F.coalesce("h.doc_id", "r.doc_id").alias("doc_id"), digest.alias("groups_sha256"), *ids), "assembled", compression="zstd")
