@@ -390,7 +390,7 @@ def ball_events(spark, sf_dir):
 
 def ball_segments(spark, sf_dir):
     out = B.segments(B.reconstruct(_ball(spark, sf_dir), BallPolicy()), BallPolicy())
-    return out.withColumn("mean_confidence", F.round("mean_confidence", 6))
+    return out.withColumn("mean_confidence", F.round("mean_confidence", 12))
 
 
 def ball_path_report(spark, sf_dir):
@@ -430,7 +430,7 @@ ev AS (
 BALL_TRACKER_SQL = f"WITH RECURSIVE {_BALL} SELECT analysis_id, frame, segment, interpolated, gap, round(x, 6) AS x, round(y, 6) AS y, round(confidence, 6) AS confidence, round(distance, 6) AS distance FROM po"
 BALL_EVENTS_SQL = f"WITH RECURSIVE {_BALL} SELECT * FROM ev"
 BALL_SEGMENTS_SQL = f"""
-WITH RECURSIVE {_BALL} SELECT analysis_id, segment, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS points, count(*) FILTER (NOT interpolated) AS observed, round(avg(confidence), 6) AS mean_confidence,
+WITH RECURSIVE {_BALL} SELECT analysis_id, segment, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS points, count(*) FILTER (NOT interpolated) AS observed, round(avg(confidence), 12) AS mean_confidence,
   count(*) FILTER (NOT interpolated) < 3 AS fragment FROM po GROUP BY 1, 2
 """
 BALL_PATH_REPORT_SQL = f"""
