@@ -121,9 +121,10 @@ def frame_number(name: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Bytes as they are, KB and MB with one decimal, GB with two."""
-    part = lambda n, text: F.format_string(text, size / F.lit(float(n)))
-    return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024**2, part(1024, "%.1f KB")).when(size < 1024**3, part(1024**2, "%.1f MB")).otherwise(part(1024**3, "%.2f GB"))
+    """Bytes (an integer or a decimal without digits behind the point) as they are, KB and MB with one decimal, GB with two."""
+    rounded = lambda n, tens: F.round(size.cast("double") / F.lit(float(n)) * tens) / tens
+    part = lambda n, text: F.format_string(text, rounded(n, 100.0 if "2" in text else 10.0))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, part(1024, "%.1f KB")).when(size < 1024**3, part(1024**2, "%.1f MB")).otherwise(part(1024**3, "%.2f GB"))
 
 
 def change_label(direction: Column, change: Column, unit: Column) -> Column:

@@ -245,6 +245,7 @@ REASONS = ["too_short", "off_court"]
 
 def name_scalars(spark, sf_dir):
     k, s = F.col("k"), lambda c: c.cast("string")
+    wide = k.cast("decimal(12,0)")  # a long holds the cubes of keys up to 2,097,151 only
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("priority"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"))
     folder = F.when(k % 4 == 0, "tracks").when(k % 4 == 1, "reports").when(k % 4 == 2, "frames").otherwise("misc")
     rows = rows.withColumn("key", F.concat(folder, F.lit("/frame_"), F.lpad(s(k % 1000000), 6, "0"), F.when(k % 3 == 0, F.concat(F.lit(".v"), s(k % 9 + 1), F.lit(".json"))).otherwise(".jpg")))
@@ -255,7 +256,7 @@ def name_scalars(spark, sf_dir):
     return rows.select(
         "k", S.artifact_kind(F.col("key"), KINDS).alias("kind"), S.name_version(F.col("key")).alias("version"), S.frame_number(F.col("key")).alias("frame"), S.title(name, F.col("digest")).alias("title"),
         S.safe_stem(F.concat(F.lit("_a b*"), F.col("priority"), F.lit("."))).alias("stem"), S.structured_reason(reason, REASONS, "other").alias("reason"), S.attempt_prefix(F.lit("TRACKING"), k % 20000).alias("prefix"),
-        S.short_id(F.when(k % 2 == 0, F.col("digest")).otherwise(s(k))).alias("short"), S.duration_text(seconds).alias("duration"), S.size_text(k * k * k).alias("size"),
+        S.short_id(F.when(k % 2 == 0, F.col("digest")).otherwise(s(k))).alias("short"), S.duration_text(seconds).alias("duration"), S.size_text(wide * wide * wide).alias("size"),
         S.change_label(direction, (k % 21 - 10) / F.lit(4.0), F.when(k % 2 == 0, "%").otherwise("ft")).alias("change"),
         S.distance_text(F.when(k % 17 > 0, (k % 997) / F.lit(8.0))).alias("distance"), S.tracked_time_text(F.when(k % 19 > 0, (k % 997) / F.lit(8.0))).alias("tracked"), S.capacity_state(k * 10, F.lit(5000), 50_000, 10_000).alias("capacity"),
     )
