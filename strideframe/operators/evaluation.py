@@ -158,9 +158,9 @@ def count_or_role(explicit: Column, mappings: str, role: str) -> Column:
 
 
 def duration_rate(part: Column, whole: Column, intervals: Column, provisional: Column) -> dict[str, Column]:
-    """The percentage of a duration, null for none, and its text."""
+    """The percentage of a duration, null for none, and its text, rounded as binary numbers are: tenfold, to the next integer."""
     percent = F.when(whole > 0, part / whole * 100)
-    share = F.when(percent.isNull(), "not available").otherwise(F.format_string("%.1f%%", percent))
+    share = F.when(percent.isNull(), "not available").otherwise(F.format_string("%.1f%%", F.round(percent * 10) / 10))
     text = F.format_string("%.3f/%.3fs (%s; %d intervals)%s", part, whole, share, intervals, F.when(provisional, " — provisional").otherwise(""))
     return {"percent": percent, "text": text}
 

@@ -132,7 +132,7 @@ def review_counts(spark, sf_dir):
         F.sum(F.when(k % 7 > 0, seconds).otherwise(0.0)).alias("whole"), F.count(F.lit(1)).alias("n"),
     )
     rate, raw = E.duration_rate(F.col("active"), F.col("whole"), F.col("n"), F.col("n") < 5), E.raw_metric(F.coalesce("spectators", F.lit(0)), F.col("n"), 8)
-    return out.select("o_custkey", "duplicates", "spectators", F.round(rate["percent"], 6).alias("percent"), rate["text"].alias("text"), raw["provisional"].alias("provisional"), raw["note"].alias("note"))
+    return out.select("o_custkey", "duplicates", "spectators", (F.round(rate["percent"] * 1e6) / 1e6).alias("percent"), rate["text"].alias("text"), raw["provisional"].alias("provisional"), raw["note"].alias("note"))
 
 
 OUTCOMES_SQL = f"""
