@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,34 +136,72 @@ def calibrated(df: DataFrame, court: Court, rule: CalibrationPolicy = Calibratio
     """Adds problem, image_to_court, court_to_image, reprojection_error and round_trip_error to rows with corners, width and height.
 
     After the corners' own problems come SINGULAR (no regular matrix) and INACCURATE (an error over the tolerance). Rows with a problem have no matrices.
-    All of it is one expression in which every part is bound once, so that filters pushed down don't multiply it.
+    The equations of a batch of rows are solved together, and once: filters on what comes out stay behind.
     """
-    middle, kitchen, corners_of_court = court.width / 2, court.kitchen_depth, court_corners(court)
-    landmarks = F.concat(corners_of_court, points((middle, court.net), (middle, court.net - kitchen), (middle, court.net + kitchen)))
-
-    def solve(s):
-        fine = s["problem"].isNull()
-        back, there = F.when(fine, homography(s["corners"], corners_of_court)), F.when(fine, homography(corners_of_court, s["corners"]))
-        return F.struct(s["problem"].alias("problem"), s["corners"].alias("corners"), back.alias("back"), there.alias("there"))
-
-    def measure(s):
-        errors = reprojection_error(s["corners"], corners_of_court, s["back"]).alias("reprojection"), round_trip_error(s["there"], s["back"], landmarks).alias("round_trip")
-        return F.struct(s["problem"].alias("problem"), s["back"].alias("back"), s["there"].alias("there"), *errors)
-
-    def judge(s):
-        exact = F.coalesce((s["reprojection"] <= rule.tolerance) & (s["round_trip"] <= rule.tolerance), F.lit(False))
-        problem = F.coalesce(s["problem"], F.when(s["back"].isNull() | s["there"].isNull(), "SINGULAR").when(~exact, "INACCURATE"))
-        fine = exact & s["problem"].isNull()
-        matrices = F.when(fine, s["back"]).alias("image_to_court"), F.when(fine, s["there"]).alias("court_to_image")
-        return F.struct(problem.alias("problem"), *matrices, s["reprojection"].alias("reprojection_error"), s["round_trip"].alias("round_trip_error"))
-
-    def checked(s):
-        return F.struct(corner_problem(s["corners"], s["width"], s["height"], rule).alias("problem"), s["corners"].alias("corners"))
-
-    out = F.struct("corners", "width", "height")
-    for part in (checked, solve, measure, judge):
-        out = R.let(out, part)
-    return df.withColumn("__calibration", out).select(*df.columns, "__calibration.*")
+    rows = df.select(*df.columns, F.inline(F.array(R.let(F.struct("corners", "width", "height"), lambda s: F.struct(corner_problem(s["corners"], s["width"], s["height"], rule).alias("__problem"))))))
+    places = [F.when(F.col("__problem").isNull(), F.col("corners")[i][c]) for i in range(4) for c in "xy"]
+    solved_rows = rows.withColumn("__s", _solving(court)(*places))
+    part = lambda c: F.col(f"__s.{c}")
+    exact = F.coalesce((part("reprojection") <= rule.tolerance) & (part("round_trip") <= rule.tolerance), F.lit(False))
+    problem = F.coalesce("__problem", F.when(part("back").isNull() | part("there").isNull(), "SINGULAR").when(~exact, "INACCURATE"))
+    fine = exact & F.col("__problem").isNull()
+    return solved_rows.select(
+        *df.columns, problem.alias("problem"), F.when(fine, part("back")).alias("image_to_court"), F.when(fine, part("there")).alias("court_to_image"),
+        part("reprojection").alias("reprojection_error"), part("round_trip").alias("round_trip_error"),
+    )
+
+
+def _eliminated(rows: np.ndarray) -> np.ndarray:
+    """`solved` for many systems at once, (systems, n, n + 1) numbers, by the same steps; not finite where there is no solution."""
+    every = np.arange(len(rows))
+    for k in range(rows.shape[1]):
+        best = k + np.abs(rows[:, k:, k]).argmax(axis=1)
+        pivot = rows[every, best]
+        rows[every, best] = rows[:, k]
+        rows[:, k] = pivot / pivot[:, k, None]
+        for i in range(rows.shape[1]):
+            if i != k:
+                rows[:, i] -= rows[:, i, k, None] * rows[:, k]
+    return rows[:, :, -1]
+
+
+def _homographies(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """`homography` for many pairs of four points, (rows, 4, 2); not a number where there is none."""
+    (x, y), (u, v) = (np.moveaxis(p.astype(np.float32).astype(float), 2, 0) for p in (source, target))
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    own = np.stack([np.stack([x, y, one, zero, zero, zero, -x * u, -y * u, u], 2), np.stack([zero, zero, zero, x, y, one, -x * v, -y * v, v], 2)], 2)
+    m = np.concatenate([_eliminated(own.reshape(len(x), 8, 9)), np.ones((len(x), 1))], 1)
+    det = m[:, 0] * (m[:, 4] * m[:, 8] - m[:, 5] * m[:, 7]) - m[:, 1] * (m[:, 3] * m[:, 8] - m[:, 5] * m[:, 6]) + m[:, 2] * (m[:, 3] * m[:, 7] - m[:, 4] * m[:, 6])
+    return np.where((np.isfinite(m).all(axis=1) & (np.abs(det) > _TINY))[:, None], m, np.nan)
+
+
+def _images(points: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """`mapped` for (rows, points, 2) and one matrix a row; not a number where a point has no image."""
+    u, v, w = (m[:, i, None] * points[:, :, 0] + m[:, i + 1, None] * points[:, :, 1] + m[:, i + 2, None] for i in (0, 3, 6))
+    out = np.stack([u / w, v / w], 2)
+    return np.where(((np.abs(w) > _TINY) & np.isfinite(out).all(axis=2))[:, :, None], out, np.nan)
+
+
+def _solving(court: Court):
+    """A function of the four corners' coordinates: both matrices, the mean reprojection error and the largest round-trip error, a batch of rows at a time."""
+    middle, kitchen = court.width / 2, court.kitchen_depth
+    corners_of_court = np.array([(0, 0), (court.width, 0), (court.width, court.length), (0, court.length)], float)
+    landmarks = np.concatenate([corners_of_court, [(middle, court.net), (middle, court.net - kitchen), (middle, court.net + kitchen)]])
+
+    def matrices(m):
+        return [None if np.isnan(row[0]) else row for row in m]
+
+    def solve(*places: pd.Series) -> pd.DataFrame:
+        corners = np.stack([p.to_numpy(float) for p in places], 1).reshape(-1, 4, 2)
+        goal, marks = (np.broadcast_to(p, (len(corners), *p.shape)) for p in (corners_of_court, landmarks))
+        with np.errstate(all="ignore"):
+            back, there = _homographies(corners, goal), _homographies(goal, corners)
+            off = _images(corners, back) - goal
+            trip = _images(_images(marks, there), back) - marks
+            reprojection, round_trip = np.hypot(off[:, :, 0], off[:, :, 1]).mean(axis=1), np.hypot(trip[:, :, 0], trip[:, :, 1]).max(axis=1)
+        return pd.DataFrame({"back": matrices(back), "there": matrices(there), "reprojection": reprojection, "round_trip": round_trip})
+
+    return F.pandas_udf(solve, "back array<double>, there array<double>, reprojection double, round_trip double")
 
 
 def projection_state(calibration: Column, checksum: Column, verification: Column) -> Column:

@@ -23,7 +23,9 @@ CAST(CASE WHEN k % 43 = 0 THEN 700 + k % 7 ELSE 380 + k * 19 % 90 END AS DOUBLE)
 
 
 def _calibrations(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey AS k").selectExpr("c_custkey", *[e.strip() for e in _split(_CORNERS)])
+    # keys compress to few bytes, so that a file of many calibrations is read in one task: they are dealt out before anything is solved
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = keys.selectExpr("c_custkey", "c_custkey AS k").selectExpr("c_custkey", *[e.strip() for e in _split(_CORNERS)])
     corners = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(4)])
     two = F.col("c_custkey") % 47 == 0
     return rows.select("c_custkey", F.when(two, F.slice(corners, 1, 2)).otherwise(corners).alias("corners"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
