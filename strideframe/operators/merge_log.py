@@ -6,10 +6,14 @@ these tracks. Candidates are rows (collection_id, place, tracks, rejected, reaso
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .components import components
 
 REPLAYED = "kind string, collection_id long, seq long, place long, tracks array<long>, rejected boolean, reason string"
@@ -19,7 +23,7 @@ NO_REASON = "not_a_player"
 
 def track_set(column: str = "tracks") -> Column:
     """The tracks as a set that compares: sorted, each once."""
-    return F.array_sort(F.array_distinct(column))
+    return F.sort_array(F.array_distinct(column))
 
 
 def merge_entries(pairs: DataFrame, candidates: DataFrame, seq: Column) -> DataFrame:
@@ -41,45 +45,67 @@ def standing(log: DataFrame) -> DataFrame:
     return log.withColumn("state", F.when(F.col("action") == "MERGE", merge).when(before == "MERGE", "DONE").otherwise("NOT_FOUND"))
 
 
-def _replay_component(base: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-    """Candidates after the active merges in their order; every merge with whether it applied (place 1) or not (0)."""
-    current = [(None, int(r.place), frozenset(r.tracks), bool(r.rejected), r.reason, r.collection_id) for r in base.sort_values("place").itertuples()]
+def _replay_component(base: list[tuple], log: list[tuple]) -> list[tuple]:
+    """REPLAYED rows: candidates after the active merges in their order; every merge with whether it applied (place 1) or not (0).
+
+    `base` (collection_id, place, tracks, rejected, reason) and `log` (collection_id, seq, tracks) are in order.
+    """
+    current = [(None, place, frozenset(tracks), rejected, reason, c) for c, place, tracks, rejected, reason in base]
     rows = []
-    for entry in log.sort_values("seq").itertuples():
-        tracks = frozenset(entry.tracks)
-        source = [c for c in current if c[2] <= tracks]
-        applies = sum(len(c[2]) for c in source) == len(tracks)
-        rows.append(("merge", entry.collection_id, entry.seq, int(applies), sorted(tracks), None, None))
+    for c, seq, own in log:
+        tracks = frozenset(own)
+        source = [x for x in current if x[2] <= tracks]
+        applies = sum(len(x[2]) for x in source) == len(tracks)
+        rows.append(("merge", c, seq, int(applies), sorted(tracks), None, None))
         if applies:
-            rejected = any(c[3] for c in source)
-            reason = next((c[4] for c in source if c[4] is not None), NO_REASON) if rejected else None
-            current = [c for c in current if c not in source] + [(int(entry.seq), None, tracks, rejected, reason, entry.collection_id)]
-    rows += [("candidate", c[5], c[0], c[1], sorted(c[2]), c[3], c[4]) for c in current]
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in REPLAYED.split(", ")])
-    return out.astype({"seq": "Int64", "place": "Int64"})
+            rejected = any(x[3] for x in source)
+            reason = next((x[4] for x in source if x[4] is not None), NO_REASON) if rejected else None
+            current = [x for x in current if x not in source] + [(seq, None, tracks, rejected, reason, c)]
+    return rows + [("candidate", x[5], x[0], x[1], sorted(x[2]), x[3], x[4]) for x in current]
+
+
+def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replays components that lie behind each other, each with its candidates before its merges; holds one component and one batch."""
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLAYED.split(", ")]).astype({"seq": "Int64", "place": "Int64"})
+
+    at, base, log = None, [], []
+    for pdf in batches:
+        out = []
+        columns = (pdf[c].tolist() for c in ("c1", "c2", "merge", "at", "collection_id", "tracks", "rejected", "reason"))
+        for component, rows in groupby(zip(*columns), lambda r: r[:2]):
+            if component != at:
+                out += _replay_component(base, log)
+                at, base, log = component, [], []
+            for _, _, merge, place, c, tracks, rejected, reason in rows:
+                if merge:
+                    log.append((c, place, tracks.tolist()))
+                else:
+                    base.append((c, place, tracks.tolist(), bool(rejected), reason))
+        yield frame(out)
+    yield frame(_replay_component(base, log))
 
 
 def replay(candidates: DataFrame, log: DataFrame) -> DataFrame:
     """REPLAYED rows: the candidates that the active merges leave (seq of the merge that made it, or its place in the list), and each active merge.
 
     A merge applies if the current candidates that lie within its tracks cover them all, so merges depend on each other only through shared
-    tracks: each connected component of tracks is replayed by itself, and a collection with many merges spreads over many tasks.
+    tracks: each connected component of tracks is replayed by itself, and a collection with many merges spreads over many tasks. The components come
+    to the tasks in order, behind each other, so that a small one costs no call of its own. A log with `state` is taken as standing() gave it.
     """
-    log = standing(log).where("state = 'ACTIVE'").select("collection_id", "seq", "tracks")
+    log = (log if "state" in log.columns else standing(log)).where("state = 'ACTIVE'").select("collection_id", "seq", "tracks")
+    log = written(log, "active-merges")
     base = candidates.select("collection_id", "place", track_set().alias("tracks"), "rejected", "reason")
     node = lambda t: F.struct(F.col("collection_id"), t.alias("track"))
-    sets = base.select("collection_id", "tracks").unionByName(log.select("collection_id", "tracks"))
+    sets = base.select("collection_id", "tracks").unionByName(log.select("collection_id", "tracks")).distinct()
     star = sets.select(node(F.col("tracks")[0]).alias("u"), "collection_id", F.explode("tracks").alias("t")).select("u", node(F.col("t")).alias("v"))
-    found = components(star).select("node", F.struct(F.col("component.collection_id"), F.col("component.track")).alias("component"))
-
-    def placed(df):
-        return df.withColumn("node", node(F.col("tracks")[0])).join(found, "node").drop("node")
-
-    def fold(key, own, entries):
-        return _replay_component(own, entries)
-
-    flat = lambda df: df.select("*", F.col("component.collection_id").alias("c1"), F.col("component.track").alias("c2")).drop("component")
-    return flat(placed(base)).groupBy("c1", "c2").cogroup(flat(placed(log)).groupBy("c1", "c2")).applyInPandas(fold, REPLAYED)
+    found = components(star).select("node", F.col("component.collection_id").alias("c1"), F.col("component.track").alias("c2"))
+    entries = base.withColumnRenamed("place", "at").withColumn("merge", F.lit(False))
+    entries = entries.unionByName(log.withColumnRenamed("seq", "at").withColumn("merge", F.lit(True)), allowMissingColumns=True)
+    placed = entries.withColumn("node", node(F.col("tracks")[0])).join(found, "node").drop("node")
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: few bytes, but Python's time
+    return placed.repartition(tasks, "c1", "c2").sortWithinPartitions("c1", "c2", "merge", "at").mapInPandas(_replayed, REPLAYED)
 
 
 def membership(replayed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import association as J
 from ..operators import merge_log as M
+from ..session import written
 from ..sources.observations import OBS_SQL, observations
 from .activity_queries import _ROLLUP
 
@@ -46,9 +47,9 @@ def merge_replay(spark, sf_dir):
 
 def merge_log_states(spark, sf_dir):
     """What became of every entry of the log."""
-    log = _log(spark, sf_dir)
+    log = written(M.standing(_log(spark, sf_dir)), "standing")
     applied = M.replay(_candidates(spark, sf_dir), log).where("kind = 'merge'").select("collection_id", "seq", (F.col("place") == 1).alias("applied"))
-    rows = M.standing(log).join(applied, ["collection_id", "seq"], "left")
+    rows = log.join(applied, ["collection_id", "seq"], "left")
     state = F.when(F.col("state") == "ACTIVE", F.when(F.col("applied"), "APPLIED").otherwise("SKIPPED")).otherwise(F.col("state"))
     return rows.select("collection_id", "seq", "action", _text("tracks").alias("tracks"), state.alias("state"))
 
@@ -65,7 +66,7 @@ def review_carry_over(spark, sf_dir):
     Collections divisible by five have a track from before candidates, and none of these; the others have chosen their candidate number collection % 6.
     """
     before = _candidates(spark, sf_dir)
-    after = M.replay(before, _log(spark, sf_dir)).where("kind = 'candidate'")
+    after = written(M.replay(before, _log(spark, sf_dir)).where("kind = 'candidate'"), "regrouped")
     name = lambda mark: F.concat(F.lit("c"), F.col("tracks")[0].cast("string"), F.lit("x"), F.size("tracks").cast("string"), mark).alias("candidate_id")
     renamed = F.when(F.col("tracks")[0] % 3 == 0, "b").otherwise("")  # ids that the regrouping changes
     order = F.row_number().over(Window.partitionBy("collection_id").orderBy(F.col("seq").asc_nulls_first(), F.col("tracks")[0]))
