@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..plans.policy import AssociationPolicy
-from .components import components
+from ..session import written
 from .windows import with_next
 
 EDGE_REASONS = ["non_overlapping_fragments", "short_temporal_gap", "plausible_endpoint_distance", "plausible_movement_speed", "similar_bounding_box_size", "court_side_consistent"]
 #: Fixed value: tasks that the ends of one time bucket are dealt out to.
 SPREAD = 16
+#: Links that one task folds at most, and fragments of an analysis per band of gaps.
+FOLD_LINKS = 200_000
+BAND_FRAGMENTS = 256
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 EDGE_ORDER = ["gap_us", "distance", "area_ratio", "from_track", "to_track"]
 
 
@@ -62,21 +68,37 @@ def association_edges(fragments: DataFrame, rule: AssociationPolicy, gaps: DataF
     so a busy analysis spreads over many tasks; the ends of a bucket are dealt out over SPREAD tasks and meet all of its starts there. Pairs are tested within
     the join, where a track's intervals lie beside it in order: no row per pair and interval is made, and no pair is shuffled.
     """
-    limit = int(rule.max_gap * 1_000_000)
+    pairs, reasons = _pairs(_prepared(fragments, gaps), rule, 0, _limit(rule))
+    return pairs.select("analysis_id", "from_track", "to_track", "gap_us", "distance", "area_ratio", "speed", "similarity", reasons.alias("reasons"))
+
+
+def _limit(rule: AssociationPolicy) -> int:
+    return int(rule.max_gap * 1_000_000)
+
+
+def _prepared(fragments: DataFrame, gaps: DataFrame | None) -> DataFrame:
     if "appearance" not in fragments.columns:
         fragments = fragments.withColumn("appearance", F.lit(None).cast("array<double>"))
-    fragments = fragments.withColumn("us", F.col("last_us") - F.col("first_us"))
-    fragments = _with_gaps(fragments, gaps)
-    shared = ("track_id", "area", "side", "appearance", "us", "gaps", "median_gap")
-    a = fragments.select(F.explode(F.array(F.floor(F.col("last_us") / limit), F.floor(F.col("last_us") / limit) + 1)).alias("bucket"), F.pmod(F.hash("track_id"), F.lit(SPREAD)).alias("part"), "analysis_id", *[F.col(c).alias(f"a_{c}") for c in (*shared, "last_us", "last_x", "last_y")])
-    b = fragments.select(F.floor(F.col("first_us") / limit).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), "analysis_id", *[F.col(c).alias(f"b_{c}") for c in (*shared, "first_us", "first_x", "first_y")])
+    return _with_gaps(fragments.withColumn("us", F.col("last_us") - F.col("first_us")), gaps)
+
+
+def _pairs(fragments: DataFrame, rule: AssociationPolicy, low: int, high: int, carried: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
+    """The edges of prepared fragments with low < gap <= high, and the column of their reasons. Of a pair also a_ and b_ columns named in `carried`; of
+    fragments with `a_meets` and `b_class`, ends meet starts of these classes only."""
+    shared = ("track_id", "area", "side", "appearance", "us", "gaps", "median_gap", *carried)
+    at = F.floor((F.col("last_us") + low) / (high - low))
+    spread = max(1, SPREAD * (high - low) // _limit(rule))  # a narrow range has many buckets
+    a = fragments.select("*", F.explode("a_meets").alias("class")) if carried else fragments.withColumn("class", F.lit(0))
+    a = a.select("class", F.explode(F.array(at, at + 1)).alias("bucket"), F.pmod(F.hash("track_id"), F.lit(spread)).alias("part"), "analysis_id", *[F.col(c).alias(f"a_{c}") for c in (*shared, "last_us", "last_x", "last_y")])
+    b = fragments.withColumn("class", F.col("b_class") if carried else F.lit(0)).where("class IS NOT NULL")
+    b = b.select("class", F.floor(F.col("first_us") / (high - low)).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"), "analysis_id", *[F.col(c).alias(f"b_{c}") for c in (*shared, "first_us", "first_x", "first_y")])
     gap = F.col("b_first_us") - F.col("a_last_us")
     across = F.lit(False)
     for one, other in (("NEAR", "FAR"), ("FAR", "NEAR")):
         across |= F.col("a_side").eqNullSafe(one) & F.col("b_side").eqNullSafe(other)
-    keys = ["analysis_id", "bucket", "part"]
+    keys = ["analysis_id", "bucket", "part", "class"]
     tasks = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: fragments are few bytes, their pairs are many rows
-    pairs = a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys).where((gap > 0) & (gap <= limit) & ~across)
+    pairs = a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys).where((gap > low) & (gap <= high) & ~across)
     pairs = pairs.withColumns(
         {
             "gap_us": gap,
@@ -95,45 +117,137 @@ def association_edges(fragments: DataFrame, rule: AssociationPolicy, gaps: DataF
     reentry = F.coalesce(alike >= rule.reentry_appearance, F.lit(False)) & (F.least("a_us", "b_us") >= rule.reentry_duration * 1_000_000)
     pairs = pairs.where(F.coalesce(alike >= rule.appearance, F.lit(True)) & (short | reentry)).withColumn("speed", speed(interval))
     reasons = F.array_compact(F.array(*map(F.lit, EDGE_REASONS), F.when(alike.isNotNull(), "appearance_histogram_consistent"), F.when(~short, "appearance_supported_reentry")))
-    return pairs.where(F.col("speed") <= rule.speed).select("analysis_id", "from_track", "to_track", "gap_us", "distance", "area_ratio", "speed", "similarity", reasons.alias("reasons"))
-
-
-def _grouped(own: pd.DataFrame, links: pd.DataFrame, overlap_us: float) -> pd.DataFrame:
-    group = {t: t for t in own["track_id"]}
-    members = {t: [t] for t in own["track_id"]}
-    span = {r.track_id: (r.first_us, r.last_us, r.side) for r in own.itertuples()}
-    for r in links.sort_values(EDGE_ORDER).itertuples():
-        a, b = group[r.from_track], group[r.to_track]
-        if a == b:
-            continue
-        if any(min(span[x][1], span[y][1]) - max(span[x][0], span[y][0]) > overlap_us or {span[x][2], span[y][2]} == {"NEAR", "FAR"} for x in members[a] for y in members[b]):
-            continue
-        root, other = min(a, b), max(a, b)
-        members[root] += members.pop(other)
-        for t in members[root]:
-            group[t] = root
-    return pd.DataFrame({"analysis_id": own["analysis_id"].iloc[0], "track_id": list(group), "group_id": list(group.values())})
+    return pairs.where(F.col("speed") <= rule.speed), reasons
+
+
+def _clash(a: Column, b: Column, overlap_us: float) -> Column:
+    """Whether members of two groups overlap in time or face each other across the net."""
+
+    def two(x, y):
+        sides = ((x["side"] == "NEAR") & (y["side"] == "FAR")) | ((x["side"] == "FAR") & (y["side"] == "NEAR"))
+        return F.coalesce(F.least(x["last_us"], y["last_us"]) - F.greatest(x["first_us"], y["first_us"]) > overlap_us, F.lit(False)) | F.coalesce(sides, F.lit(False))
+
+    return F.exists(a, lambda x: F.exists(b, lambda y: two(x, y)))
+
+
+MOVES = "analysis_id long, old long, new long"
+
+
+def _fold(overlap_us: float):
+    """Links in their order, joined one after another; the groups that have another name afterwards."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, members = {}, {}
+        for pdf in batches:
+            names = ("analysis_id", "u", "v", *[f"{s}_{c}" for s in "uv" for c in ("first", "last", "side")])
+            for analysis, u, v, *lists in zip(*[pdf[c].tolist() for c in names]):
+                for node, own in (((analysis, u), lists[:3]), ((analysis, v), lists[3:])):
+                    if node not in group:
+                        group[node], members[node] = node, ([node], list(zip(*own)))
+                a, b = group[analysis, u], group[analysis, v]
+                if a == b or any(min(x[1], y[1]) - max(x[0], y[0]) > overlap_us or {x[2], y[2]} == {"NEAR", "FAR"} for x in members[a][1] for y in members[b][1]):
+                    continue
+                root, other = min(a, b), max(a, b)
+                for node in members[other][0]:
+                    group[node] = root
+                for held, more in zip(members[root], members.pop(other)):
+                    held += more
+        rows = [(c, old, root[1]) for (c, old), root in group.items() if old != root[1]]
+        yield pd.DataFrame(rows, columns=["analysis_id", "old", "new"])
+
+    return run
+
+
+def _joined(state: DataFrame, links: DataFrame, overlap_us: float) -> DataFrame:
+    """`state` (analysis_id, track_id, group_id) after `links` (analysis_id, u, v, EDGE_ORDER, u_members, v_members) between its groups, in EDGE_ORDER.
+
+    A link that is the first of all at both of its groups depends on no other, so all such links are joined at once. Groups only grow, so a link whose groups
+    clash is dropped for good. At most FOLD_LINKS links that are left are folded by one task.
+    """
+    order = F.struct(*EDGE_ORDER).alias("at")
+    while True:
+        links = written(links.where((F.col("u") != F.col("v")) & ~_clash(F.col("u_members"), F.col("v_members"), overlap_us)), "links")
+        n = links.count()
+        if n == 0:
+            return state
+        if n <= FOLD_LINKS:
+            lists = [F.col(f"{s}_members.{c}").alias(f"{s}_{c.split('_')[0]}") for s in "uv" for c in ("first_us", "last_us", "side")]
+            moves = links.repartition(1).sortWithinPartitions("analysis_id", *EDGE_ORDER).select("analysis_id", "u", "v", *lists).mapInPandas(_fold(overlap_us), MOVES)
+        else:
+            ends = links.select("analysis_id", F.col("u").alias("node"), order).unionByName(links.select("analysis_id", F.col("v").alias("node"), order))
+            best = ends.groupBy("analysis_id", "node").agg(F.min("at").alias("at"))
+            # first at both ends: its order comes twice
+            both = best.groupBy("analysis_id", "at").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("analysis_id", "at.*")
+            first = links.join(both, ["analysis_id", *EDGE_ORDER], "left_semi").dropDuplicates(["analysis_id", "u", "v"])
+            moved = lambda c: F.struct(F.col(c).alias("old"), F.least("u", "v").alias("new"), F.concat("u_members", "v_members").alias("members"))
+            moves = first.select("analysis_id", F.explode(F.array(moved("u"), moved("v"))).alias("m")).select("analysis_id", "m.*")
+        moves = written(moves, "moves")
+        of_track = moves.select("analysis_id", F.col("old").alias("group_id"), "new")
+        state = state.join(of_track, ["analysis_id", "group_id"], "left").select("analysis_id", "track_id", F.coalesce("new", "group_id").alias("group_id"))
+        state = written(state, "groups")
+        if n <= FOLD_LINKS:
+            return state
+        for side in ("u", "v"):
+            own = moves.select("analysis_id", F.col("old").alias(side), "new", "members")
+            links = links.join(own, ["analysis_id", side], "left").withColumns({side: F.coalesce("new", side), f"{side}_members": F.coalesce("members", f"{side}_members")}).drop("new", "members")
+
+
+def _members(state: DataFrame, fragments: DataFrame) -> DataFrame:
+    """`state` with the spans and sides of each group's fragments."""
+    rows = state.join(fragments.select("analysis_id", "track_id", F.struct("first_us", "last_us", "side").alias("m")), ["analysis_id", "track_id"])
+    return state.join(rows.groupBy("analysis_id", "group_id").agg(F.collect_list("m").alias("members")), ["analysis_id", "group_id"])
 
 
 def association_groups(fragments: DataFrame, edges: DataFrame, rule: AssociationPolicy = AssociationPolicy()) -> DataFrame:
     """(analysis_id, track_id, group_id): edges taken in EDGE_ORDER join two groups unless any of their fragments overlap in time or face each
-    other across the net. Each step depends on those before among the fragments that edges connect, so a connected component is
-    folded in one call; fragments without an edge stay alone and in the JVM."""
-    node = lambda c: F.struct(F.col("analysis_id"), F.col(c).alias("track_id"))
-    named = components(edges.select(node("from_track").alias("u"), node("to_track").alias("v"))).select("node.*", F.col("component.analysis_id").alias("c1"), F.col("component.track_id").alias("c2"))
-    own = fragments.select("analysis_id", "track_id", "first_us", "last_us", "side")
-    renamed = named.select(F.col("analysis_id").alias("of_analysis"), F.col("track_id").alias("of_track"), F.col("c1").alias("e1"), F.col("c2").alias("e2"))
-    links = edges.select(F.col("analysis_id").alias("of_analysis"), F.col("from_track").alias("of_track"), *EDGE_ORDER).join(renamed, ["of_analysis", "of_track"])
-    overlap_us = rule.overlap * 1_000_000
+    other across the net. Each step depends on those before at the same groups, see _joined."""
+    state = fragments.select("analysis_id", "track_id", F.col("track_id").alias("group_id"))
+    links = edges.select("analysis_id", *EDGE_ORDER, F.col("from_track").alias("u"), F.col("to_track").alias("v"))
+    for side in ("u", "v"):
+        own = fragments.select("analysis_id", F.col("track_id").alias(side), F.array(F.struct("first_us", "last_us", "side")).alias(f"{side}_members"))
+        links = links.join(own, ["analysis_id", side])
+    return _joined(state, links, rule.overlap * 1_000_000)
 
-    def fold(key, pdf, own_links):
-        return _grouped(pdf, own_links, overlap_us)
 
-    joined = own.join(named, ["analysis_id", "track_id"])
-    schema = "analysis_id long, track_id long, group_id long"
-    grouped = joined.groupBy("c1", "c2").cogroup(links.groupBy("e1", "e2")).applyInPandas(fold, schema)
-    alone = own.join(named, ["analysis_id", "track_id"], "left_anti").select("analysis_id", "track_id", F.col("track_id").alias("group_id"))
-    return grouped.unionByName(alone)
+def grouped_fragments(fragments: DataFrame, rule: AssociationPolicy, gaps: DataFrame | None = None) -> DataFrame:
+    """association_groups() of all association_edges(), most of which are never made.
+
+    Edges are taken by their gaps first, so they are made in bands of gaps, each twice as wide as all before, and each band is joined before the next is made. Where a
+    group's fragment runs on over all that a band could offer an end or a start, that can only meet fragments too short to overlap (or, without any of these, is left
+    out): what has been joined early makes no more pairs, and only edges between groups that do not clash are written.
+    """
+    conf = fragments.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")  # all is written: a band's shuffles need not outlive it
+    try:
+        return _banded(fragments, rule, gaps)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def _banded(fragments: DataFrame, rule: AssociationPolicy, gaps: DataFrame | None) -> DataFrame:
+    overlap_us = rule.overlap * 1_000_000
+    held = written(_prepared(fragments, gaps).select("analysis_id", "track_id", "first_us", "last_us", "first_x", "first_y", "last_x", "last_y", "area", "side", "appearance", "us", "gaps", "median_gap"), "fragments")
+    state = written(held.select("analysis_id", "track_id", F.col("track_id").alias("group_id")), "groups")
+    most = held.groupBy("analysis_id").count().agg(F.max("count")).first()[0] or 0
+    short = F.coalesce(F.col("us") <= overlap_us, F.lit(True))
+    any_short = not held.where(short).isEmpty()
+    limit = _limit(rule)
+    ends = [e for e in (limit >> k for k in range(max(0, (most // BAND_FRAGMENTS).bit_length()), -1, -1)) if e > 0]
+    for low, high in zip([0, *ends], ends):
+        rows = _members(state, held).join(held, ["analysis_id", "track_id"])
+        over = lambda start, end, least: F.coalesce(F.exists("members", lambda m: (m["first_us"] <= start) & (m["last_us"] >= end) & least(m)), F.lit(False))
+        no_end = over(F.col("last_us") + low, F.col("last_us") + high, lambda m: m["last_us"] - F.col("last_us") - high > overlap_us)
+        no_start = over(F.col("first_us") - high, F.col("first_us") - low, lambda m: F.col("first_us") - high - m["first_us"] > overlap_us)
+        # classes of starts: 2 if only short ends may meet it, and 1 if it is short itself
+        meets = F.filter(F.array(*map(F.lit, range(4))), lambda c: (~no_end | (c % 2 == 1)) & (short | (c < 2)))
+        rows = rows.withColumns({"a_meets": meets, "b_class": F.when(no_start, 2).otherwise(0) + F.when(short, 1).otherwise(0)})
+        if not any_short:
+            rows = rows.withColumns({"a_meets": F.filter("a_meets", lambda c: c == 0), "b_class": F.when(F.col("b_class") == 0, 0)})
+        pairs, _ = _pairs(rows, rule, low, high, ("group_id", "members"))
+        names = {"a_group_id": "u", "b_group_id": "v", "a_members": "u_members", "b_members": "v_members"}
+        state = _joined(state, pairs.select("analysis_id", *EDGE_ORDER, *[F.col(c).alias(n) for c, n in names.items()]), overlap_us)
+    return state.select("analysis_id", "track_id", "group_id")
 
 
 def rollup(obs: DataFrame, membership: DataFrame) -> DataFrame:

@@ -25,12 +25,11 @@ def _fragments(spark, sf_dir):
     return T.fragments(observations(spark, sf_dir), COURT, POLICY)
 
 
-def _edges(spark, sf_dir):
-    """Fragments, every sixth without a descriptor and one in five with one of another length, and their edges."""
+def _looking(spark, sf_dir):
+    """Fragments, every sixth without a descriptor and one in five with one of another length."""
     t = F.col("track_id")
     look = F.array(*[F.array(*map(F.lit, v)) for v in LOOKS])
-    own = _fragments(spark, sf_dir).withColumn("appearance", F.when(t % 6 > 0, look[(t % 5).cast("int")]))
-    return own, J.association_edges(own, EVENT_ASSOCIATION, J.intervals(observations(spark, sf_dir)))
+    return _fragments(spark, sf_dir).withColumn("appearance", F.when(t % 6 > 0, look[(t % 5).cast("int")]))
 
 
 #: Descriptors of length 1 by track % 5.
@@ -38,7 +37,7 @@ LOOKS = [(1.0, 0.0), (0.96, 0.28), (0.28, 0.96), (1.0, 0.0), (1.0, 0.0, 0.0)]
 
 
 def association_edges(spark, sf_dir):
-    _, out = _edges(spark, sf_dir)
+    out = J.association_edges(_looking(spark, sf_dir), EVENT_ASSOCIATION, J.intervals(observations(spark, sf_dir)))
     numbers = [F.round("distance", 6).alias("distance"), F.round("area_ratio", 6).alias("area_ratio"), F.round("speed", 9).alias("speed"), F.round("similarity", 6).alias("similarity")]
     return out.select("analysis_id", "from_track", "to_track", "gap_us", *numbers, F.array_join("reasons", ",").alias("reasons"))
 
@@ -65,8 +64,7 @@ FROM ed WHERE speed <= 1.5e-4::DOUBLE
 
 
 def association_groups(spark, sf_dir):
-    own, edges = _edges(spark, sf_dir)
-    return J.association_groups(own, written(edges, "association-edges"), EVENT_ASSOCIATION)
+    return J.grouped_fragments(_looking(spark, sf_dir), EVENT_ASSOCIATION, J.intervals(observations(spark, sf_dir)))
 
 
 GROUPS_SQL = f"""
