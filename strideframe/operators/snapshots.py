@@ -15,13 +15,27 @@ def _same(content: list[str], other: str) -> Column:
     return out
 
 
-def outcomes(snapshot: DataFrame, changes: DataFrame, keys: list[str], content: list[str], seq: str = "seq") -> DataFrame:
+#: Rows of changes in a task, about.
+TASK_ROWS = 100_000
+
+
+def tasks_for(rows: int) -> int:
+    """How many tasks `rows` rows are dealt over, so that a task's share does not grow with them."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def _dealt(df: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def outcomes(snapshot: DataFrame, changes: DataFrame, keys: list[str], content: list[str], seq: str = "seq", tasks: int | None = None) -> DataFrame:
     """`changes` (*keys, seq, *content) with `outcome` and, for what makes a version, `version`.
 
     BEFORE: not later than the key's current version in `snapshot` (*keys, version, seq, *content, is_current); IMPORTED: the key's first; PRESENT: the content is that of
-    the registration before; VERSION: it differs. A change that comes twice counts once.
+    the registration before; VERSION: it differs. A change that comes twice counts once. With `tasks` both are dealt over so many by key, else as the session does.
     """
-    head = snapshot.where("is_current").select(*keys, F.col("version").alias("__version"), F.col(seq).alias("__seq"), *[F.col(c).alias(f"__head_{c}") for c in content])
+    snapshot, changes = _dealt(snapshot.where("is_current"), keys, tasks), _dealt(changes, keys, tasks)
+    head = snapshot.select(*keys, F.col("version").alias("__version"), F.col(seq).alias("__seq"), *[F.col(c).alias(f"__head_{c}") for c in content])
     rows = changes.select(*keys, seq, *content).dropDuplicates([*keys, seq]).join(head, keys, "left")
     before = F.coalesce(F.col(seq) <= F.col("__seq"), F.lit(False))
     rows = rows.withColumn("__before", before)
@@ -36,12 +50,12 @@ def outcomes(snapshot: DataFrame, changes: DataFrame, keys: list[str], content:
     return rows.select(*keys, seq, *content, "outcome", F.when(fresh, number).alias("version"))
 
 
-def merged(snapshot: DataFrame, changes: DataFrame, keys: list[str], content: list[str], seq: str = "seq") -> DataFrame:
+def merged(snapshot: DataFrame, changes: DataFrame, keys: list[str], content: list[str], seq: str = "seq", tasks: int | None = None) -> DataFrame:
     """The snapshot after the changes: new versions behind the old ones, the last of each key current. Merging a log again changes nothing."""
-    fresh = outcomes(snapshot, changes, keys, content, seq).where("version IS NOT NULL").select(*keys, "version", seq, *content)
+    fresh = outcomes(snapshot, changes, keys, content, seq, tasks).where("version IS NOT NULL").select(*keys, "version", seq, *content)
     last = fresh.groupBy(*keys).agg(F.max("version").alias("__last"))
     new = fresh.join(last, keys).withColumn("is_current", F.col("version") == F.col("__last")).drop("__last")
-    old = snapshot.join(last, keys, "left").withColumn("is_current", F.col("is_current") & F.col("__last").isNull()).drop("__last")
+    old = _dealt(snapshot, keys, tasks).join(last, keys, "left").withColumn("is_current", F.col("is_current") & F.col("__last").isNull()).drop("__last")
     columns = [*keys, "version", seq, *content, "is_current"]
     return old.select(columns).unionByName(new.select(columns))
 

@@ -11,8 +11,11 @@ KEYS, CONTENT = ["o_custkey", "o_orderpriority"], ["status", "size"]
 
 
 def _registrations(spark, sf_dir):
+    """All registrations dealt by customer, and over how many tasks."""
     price = F.floor(F.col("o_totalprice") / 250000).cast("long")
-    return table(spark, sf_dir, "orders").select(*KEYS, F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"), price.alias("size"))
+    orders = table(spark, sf_dir, "orders")
+    tasks = S.tasks_for(orders.count())
+    return orders.select(*KEYS, F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"), price.alias("size")).repartition(tasks, "o_custkey"), tasks
 
 
 def _thirds(rows):
@@ -24,24 +27,24 @@ def _thirds(rows):
     return [rows.where(c).drop("most") for c in cuts]
 
 
-def _history(rows):
+def _history(rows, tasks):
     first, second, _ = _thirds(rows)
-    held = S.merged(S.empty(rows, KEYS, CONTENT), first, KEYS, CONTENT)
-    return written(S.merged(written(held, "first"), second, KEYS, CONTENT), "second")
+    held = S.merged(S.empty(rows, KEYS, CONTENT), first, KEYS, CONTENT, tasks=tasks)
+    return written(S.merged(written(held, "first"), second, KEYS, CONTENT, tasks=tasks), "second")
 
 
 def snapshot_merge(spark, sf_dir):
     """The snapshot after three deliveries, the last one twice."""
-    rows = _registrations(spark, sf_dir)
+    rows, tasks = _registrations(spark, sf_dir)
     last = _thirds(rows)[2]
-    held = written(S.merged(_history(rows), last, KEYS, CONTENT), "third")
-    return S.merged(held, last, KEYS, CONTENT)
+    held = written(S.merged(_history(rows, tasks), last, KEYS, CONTENT, tasks=tasks), "third")
+    return S.merged(held, last, KEYS, CONTENT, tasks=tasks)
 
 
 def change_outcomes(spark, sf_dir):
     """What each registration of the last delivery means for the snapshot before it."""
-    rows = _registrations(spark, sf_dir)
-    return S.outcomes(_history(rows), _thirds(rows)[2], KEYS, CONTENT).select(*KEYS, "seq", "outcome", "version")
+    rows, tasks = _registrations(spark, sf_dir)
+    return S.outcomes(_history(rows, tasks), _thirds(rows)[2], KEYS, CONTENT, tasks=tasks).select(*KEYS, "seq", "outcome", "version")
 
 
 _VERSIONS = """

@@ -59,3 +59,17 @@ def test_a_stored_snapshot_rewrites_touched_folders_only(spark, tmp_path):
     assert stored() == sorted(plain(log + more), key=key)
     now = {f for d, _, names in os.walk(path) for f in (os.path.join(d, n) for n in names) if f.endswith(".parquet")}
     assert {os.path.dirname(f) for f in files ^ now} == {os.path.dirname(next(iter(now - files)))} and files & now
+
+
+def test_a_task_gets_a_bounded_share_of_the_changes(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 20)
+    log, steps = deliveries(4)
+    changes = spark.createDataFrame(log, CHANGES)
+    tasks = S.tasks_for(len(log))
+    assert tasks == 6 and S.tasks_for(0) == 1
+    rows = S.outcomes(S.empty(changes, KEYS, CONTENT), changes, KEYS, CONTENT, tasks=tasks)
+    assert rows.rdd.getNumPartitions() == 6  # the session has 4
+    key = lambda r: tuple(map(repr, r))
+    first = S.merged(S.empty(changes, KEYS, CONTENT), spark.createDataFrame(steps[0], CHANGES), KEYS, CONTENT, tasks=3)
+    got = S.merged(spark.createDataFrame(first.collect(), first.schema), changes, KEYS, CONTENT, tasks=tasks)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(plain(log), key=key)
