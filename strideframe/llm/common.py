@@ -16,7 +16,7 @@ from ..session import table  # noqa: F401  (queries take it from here)
 
 _written: list = []
 #: A join on (key, more) may keep sides that are dealt out by the key alone.
-PLANNING = {"all_keys": "spark.sql.requireAllClusterKeysForCoPartition", "rows_per_file": "spark.sql.files.maxRecordsPerFile"}
+PLANNING = {"all_keys": "spark.sql.requireAllClusterKeysForCoPartition", "rows_per_file": "spark.sql.files.maxRecordsPerFile", "batch_rows": "spark.sql.execution.arrow.maxRecordsPerBatch"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from strideframe.llm.token_alignment import op13_alignment
+from strideframe.llm.token_alignment import chunks, op13_alignment
 
 DOCS = "doc_id long, text string, chunk string, row long, hot string"
 RANKS, A_PATH, B_PATH = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -113,3 +113,11 @@ def brute_sizes(docs):
 
 def test_empty_table(spark):
     assert op13_alignment(spark.createDataFrame([], DOCS), RANKS, B_PATH).count() == 0
+
+
+def test_line_feeds_are_breaks_and_odd_ones_stay(spark):
+    texts = ["one two.\nThree", "\nstart", " \nx", "a\n\nb", "a \nb", "a\n", "a\r\nb", "'\n's a\n's don't\n't", "1\n2\n3", "日\n本\n\t語"]
+    docs = [(k, t, "c", k, "h") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, DOCS)
+    assert df.where("doc_id = 0").select(chunks(df)).first()[0] == [" one", " two.", "\nThree"]
+    assert sorted((tuple(r) for r in op13_alignment(df.repartition(2), RANKS, B_PATH, 12).collect()), key=repr) == brute(docs)
