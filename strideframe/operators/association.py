@@ -16,8 +16,9 @@ from .windows import with_next
 EDGE_REASONS = ["non_overlapping_fragments", "short_temporal_gap", "plausible_endpoint_distance", "plausible_movement_speed", "similar_bounding_box_size", "court_side_consistent"]
 #: Fixed value: tasks that the ends of one time bucket are dealt out to.
 SPREAD = 16
-#: Links that one task folds at most, and fragments of an analysis per band of gaps.
+#: Links of an analysis that are folded at once, the steps in which more of them are cut, and fragments of an analysis per band of gaps.
 FOLD_LINKS = 200_000
+CUTS = 1_000
 BAND_FRAGMENTS = 256
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 EDGE_ORDER = ["gap_us", "distance", "area_ratio", "from_track", "to_track"]
@@ -130,11 +131,11 @@ def _clash(a: Column, b: Column, overlap_us: float) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: two(x, y)))
 
 
-MOVES = "analysis_id long, old long, new long"
+MOVES = "analysis_id long, old long, new long, first_us array<long>, last_us array<long>, side array<string>"
 
 
 def _fold(overlap_us: float):
-    """Links in their order, joined one after another; the groups that have another name afterwards."""
+    """Links in their order, joined one after another; the groups that have been joined, with the name and the members they have afterwards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, members = {}, {}
@@ -152,8 +153,9 @@ def _fold(overlap_us: float):
                     group[node] = root
                 for held, more in zip(members[root], members.pop(other)):
                     held += more
-        rows = [(c, old, root[1]) for (c, old), root in group.items() if old != root[1]]
-        yield pd.DataFrame(rows, columns=["analysis_id", "old", "new"])
+        lists = {root: [list(x) for x in zip(*own)] for root, (nodes, own) in members.items() if len(nodes) > 1}
+        rows = [(c, old, root[1], *lists[root]) for (c, old), root in group.items() if root in lists]
+        yield pd.DataFrame(rows, columns=["analysis_id", "old", "new", "first_us", "last_us", "side"])
 
     return run
 
@@ -161,32 +163,29 @@ def _fold(overlap_us: float):
 def _joined(state: DataFrame, links: DataFrame, overlap_us: float) -> DataFrame:
     """`state` (analysis_id, track_id, group_id) after `links` (analysis_id, u, v, EDGE_ORDER, u_members, v_members) between its groups, in EDGE_ORDER.
 
-    A link that is the first of all at both of its groups depends on no other, so all such links are joined at once. Groups only grow, so a link whose groups
-    clash is dropped for good. At most FOLD_LINKS links that are left are folded by one task.
+    Analyses do not depend on each other, and what comes first of an analysis depends on nothing after it: of each the first FOLD_LINKS links or so, cut between two gaps, are folded
+    as a sorted stream. Groups only grow, so a link whose groups clash then is dropped for good, which leaves few for the next round.
     """
-    order = F.struct(*EDGE_ORDER).alias("at")
     while True:
         links = written(links.where((F.col("u") != F.col("v")) & ~_clash(F.col("u_members"), F.col("v_members"), overlap_us)), "links")
-        n = links.count()
-        if n == 0:
+        sizes = links.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("gap_us", [k / CUTS for k in range(1, CUTS + 1)]).alias("at"))
+        step = F.greatest(F.lit(1), F.floor(F.lit(CUTS * FOLD_LINKS) / F.col("n"))).cast("int")
+        cuts = written(sizes.select("analysis_id", F.when(F.col("n") > FOLD_LINKS, F.element_at("at", F.least(step, F.lit(CUTS)))).alias("cut")), "cuts")
+        if cuts.isEmpty():
             return state
-        if n <= FOLD_LINKS:
-            lists = [F.col(f"{s}_members.{c}").alias(f"{s}_{c.split('_')[0]}") for s in "uv" for c in ("first_us", "last_us", "side")]
-            moves = links.repartition(1).sortWithinPartitions("analysis_id", *EDGE_ORDER).select("analysis_id", "u", "v", *lists).mapInPandas(_fold(overlap_us), MOVES)
-        else:
-            ends = links.select("analysis_id", F.col("u").alias("node"), order).unionByName(links.select("analysis_id", F.col("v").alias("node"), order))
-            best = ends.groupBy("analysis_id", "node").agg(F.min("at").alias("at"))
-            # first at both ends: its order comes twice
-            both = best.groupBy("analysis_id", "at").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("analysis_id", "at.*")
-            first = links.join(both, ["analysis_id", *EDGE_ORDER], "left_semi").dropDuplicates(["analysis_id", "u", "v"])
-            moved = lambda c: F.struct(F.col(c).alias("old"), F.least("u", "v").alias("new"), F.concat("u_members", "v_members").alias("members"))
-            moves = first.select("analysis_id", F.explode(F.array(moved("u"), moved("v"))).alias("m")).select("analysis_id", "m.*")
-        moves = written(moves, "moves")
+        more = not cuts.where("cut IS NOT NULL").isEmpty()
+        marked = links.join(cuts, "analysis_id")
+        lists = [F.col(f"{s}_members.{c}").alias(f"{s}_{c.split('_')[0]}") for s in "uv" for c in ("first_us", "last_us", "side")]
+        first = marked.where("cut IS NULL OR gap_us <= cut").select("analysis_id", "u", "v", *EDGE_ORDER, *lists)
+        tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: few bytes, much work
+        moves = first.repartition(tasks, "analysis_id").sortWithinPartitions("analysis_id", *EDGE_ORDER).drop(*EDGE_ORDER).mapInPandas(_fold(overlap_us), MOVES)
+        moves = written(moves.select("analysis_id", "old", "new", F.arrays_zip("first_us", "last_us", "side").alias("members")), "moves")
         of_track = moves.select("analysis_id", F.col("old").alias("group_id"), "new")
         state = state.join(of_track, ["analysis_id", "group_id"], "left").select("analysis_id", "track_id", F.coalesce("new", "group_id").alias("group_id"))
         state = written(state, "groups")
-        if n <= FOLD_LINKS:
+        if not more:
             return state
+        links = marked.where("gap_us > cut").drop("cut")
         for side in ("u", "v"):
             own = moves.select("analysis_id", F.col("old").alias(side), "new", "members")
             links = links.join(own, ["analysis_id", side], "left").withColumns({side: F.coalesce("new", side), f"{side}_members": F.coalesce("members", f"{side}_members")}).drop("new", "members")
